@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from silverloop.functions.labels import text_or_empty
 from silverloop.operators.metrics import metric_rows
 from silverloop.operators.text import TOKEN_SPACE
+from silverloop.session import stage_table
 
 # Texts per encoder call, solver steps, inverse penalty.
 ENCODE_BATCH = 32
@@ -120,26 +121,46 @@ def predict_proba(
     )
 
 
-def text_pipeline(n_features: int = 1 << 14, max_iter: int = 100, reg_param: float = 1e-4) -> Pipeline:
+def text_pipeline(
+    n_features: int = 1 << 12, max_iter: int = 100, reg_param: float = 0.1, tol: float = 1e-3
+) -> Pipeline:
     """Tokens, hashed counts, inverse document frequency, logistic regression."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=f"[{TOKEN_SPACE}]+"),
             HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=n_features),
             IDF(inputCol="_counts", outputCol="_features"),
-            LogisticRegression(featuresCol="_features", labelCol="label", maxIter=max_iter, regParam=reg_param),
+            LogisticRegression(
+                featuresCol="_features", labelCol="label", maxIter=max_iter, regParam=reg_param, tol=tol
+            ),
         ]
     )
 
 
+def _stateless_head(pipeline: Pipeline) -> tuple[list[Transformer], list]:
+    """The stages that need no fit, up to the first that does, and the others."""
+    stages = list(pipeline.getStages())
+    n = next((i for i, stage in enumerate(stages) if not isinstance(stage, Transformer)), len(stages))
+    return stages[:n], stages[n:]
+
+
 def retrain_eval(
     train: DataFrame, evaluation: DataFrame, run: str, pipeline: Pipeline | None = None
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on (``text``, ``label``) rows and return the model with its metric rows."""
-    model = (pipeline or text_pipeline()).fit(train.withColumn("label", F.col("label").cast("double")))
+    """Fit on (``text``, ``label``) rows and return the model with its metric rows.
+
+    Two tables go to the shared folder: the training rows after the stages that
+    need no fit (hashed counts, not text), since the fit passes over them many
+    times, and the narrow predictions, so that no metric runs the model again.
+    """
+    head, rest = _stateless_head(pipeline or text_pipeline())
+    typed = train.select("text", F.col("label").cast("double").alias("label"))
+    prepared = PipelineModel(head).transform(typed).drop("text", *[s.getOutputCol() for s in head[:-1]])
+    fitted = Pipeline(stages=rest).fit(stage_table(prepared, "training"))
+    model = PipelineModel(head + fitted.stages)
     predicted = model.transform(evaluation.select("text", F.col("label").cast("double").alias("label"))).select(
         F.col("label").cast("int").alias("y_true"),
         F.col("prediction").cast("int").alias("y_pred"),
         vector_to_array("probability")[1].alias("p_true"),
     )
-    return model, metric_rows(predicted, run, p_one="p_true")
+    return model, metric_rows(stage_table(predicted, "predictions"), run, p_one="p_true")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Learning rate and first weight.
@@ -20,7 +20,31 @@ ALPHA = 1e-6
 FIRST_WEIGHT = 0.5
 
 CHUNK = 65_536
-_RUN = 64
+
+
+def _chunk_maps(rate: float):
+    """Batch function over sorted rows: one map (``a``, ``b``) per chunk.
+
+    A chunk may run over many batches; only the open one is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "chunk", "a", "b"]
+        current, a, b = None, 1.0, 0.0
+        for batch in batches:
+            done = []
+            for key, chunk, x, t in zip(*(batch[c].tolist() for c in ("key", "chunk", "x", "t"))):
+                if (key, chunk) != current:
+                    if current is not None:
+                        done.append((*current, a, b))
+                    current, a, b = (key, chunk), 1.0, 0.0
+                step = 1.0 - rate * x * x
+                a, b = step * a, step * b + rate * x * t
+            yield pd.DataFrame(done, columns=columns)
+        if current is not None:
+            yield pd.DataFrame([(*current, a, b)], columns=columns)
+
+    return run
 
 
 def _first_weights(w0: float):
@@ -30,7 +54,7 @@ def _first_weights(w0: float):
         current, w = None, w0
         for batch in batches:
             starts = []
-            for key, a, b in zip(batch["key"].tolist(), batch["a"].tolist(), batch["b"].tolist()):
+            for key, a, b in zip(*(batch[c].tolist() for c in ("key", "a", "b"))):
                 if key != current:
                     current, w = key, w0
                 starts.append(w)
@@ -40,42 +64,21 @@ def _first_weights(w0: float):
     return run
 
 
-def _trace(items: Column, first: Column, alpha: float) -> Column:
-    """Items with the weight before and after each, as one array.
-
-    Folding by appending copies the array at every step. Appending inside short
-    runs, and whole runs to the outer array, keeps that copying small.
-    """
-
-    def row(before: Column, r: Column) -> Column:
-        step = F.lit(alpha) * (2 * r["x"] * (r["x"] * before - r["t"]))
-        return F.struct(
-            r["pos"].alias("pos"), r["x"].alias("x"), r["t"].alias("t"), before.alias("w_old"), (before - step).alias("w_new")
-        )
-
-    nothing = F.lit(None)
-    head = F.array(
-        F.struct(
-            nothing.cast("bigint").alias("pos"),
-            nothing.cast("double").alias("x"),
-            nothing.cast("double").alias("t"),
-            nothing.cast("double").alias("w_old"),
-            first.alias("w_new"),
-        )
-    )
-    runs = F.transform(
-        F.sequence(F.lit(0), F.expr(f"(size(items) - 1) div {_RUN}").cast("int")),
-        lambda i: F.slice(items, i * _RUN + 1, F.lit(_RUN)),
-    )
-
-    def append_row(acc: Column, r: Column) -> Column:
-        return F.concat(acc, F.array(row(F.element_at(acc, -1)["w_new"], r)))
+def _row_weights(alpha: float):
+    """Batch function over sorted rows: the weight before each row."""
 
-    def append_run(acc: Column, run: Column) -> Column:
-        last = F.slice(F.element_at(acc, -1), -1, 1)
-        return F.concat(acc, F.array(F.slice(F.aggregate(run, last, append_row), 2, _RUN)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, w = None, 0.0
+        for batch in batches:
+            before = []
+            for key, chunk, x, t, first in zip(*(batch[c].tolist() for c in ("key", "chunk", "x", "t", "w_first"))):
+                if (key, chunk) != current:
+                    current, w = (key, chunk), first
+                before.append(w)
+                w -= alpha * (2 * x * (x * w - t))
+            yield batch[["key", "pos", "x", "t"]].assign(w_old=before)
 
-    return F.slice(F.flatten(F.aggregate(runs, F.array(head), append_run)), 2, F.size(items))
+    return run
 
 
 def sgd_trace(
@@ -92,8 +95,8 @@ def sgd_trace(
     """Per key, in order of ``pos``: ``w_old, prediction, loss, gradient, w_new``.
 
     ``pos`` is a whole number that numbers the rows of a key; stray equal ones go
-    by ``x``, then ``t``. A chunk is a run of ``chunk`` positions, so it holds about
-    that many rows at most. ``first_n`` keeps the first rows of every key only.
+    by ``x``, then ``t``. A chunk is a run of ``chunk`` positions. ``first_n`` keeps the
+    first rows of every key only.
     """
     rows = df.select(
         F.col(key).alias("key"),
@@ -104,29 +107,31 @@ def sgd_trace(
     if first_n is not None:
         ranked = F.row_number().over(Window.partitionBy("key").orderBy("pos", "x", "t"))
         rows = rows.withColumn("rank", ranked).where(F.col("rank") <= first_n).drop("rank")
-    chunks = rows.groupBy("key", F.expr(f"pos div {chunk}").alias("chunk")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "x", "t"))).alias("items")
+    # The one shuffle of the rows; both passes below read it. Named partitions are
+    # never split by adaptive execution, so a chunk stays in one piece and in order.
+    order = ["key", "chunk", "pos", "x", "t"]
+    # The filter states what the join implies, so that both passes have the same plan.
+    placed = (
+        rows.withColumn("chunk", F.expr(f"pos div {chunk}"))
+        .where(F.col("key").isNotNull() & F.col("chunk").isNotNull())
+        .repartition("key", "chunk")
+        .sortWithinPartitions(*order)
     )
-
-    def compose(acc: Column, r: Column) -> Column:
-        a = F.lit(1.0) - F.lit(2.0 * alpha) * r["x"] * r["x"]
-        b = F.lit(2.0 * alpha) * r["x"] * r["t"]
-        return F.struct((a * acc["a"]).alias("a"), (a * acc["b"] + b).alias("b"))
-
-    identity = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    maps = chunks.select("key", "chunk", F.aggregate("items", identity, compose).alias("m"))
     key_type = rows.schema["key"].dataType.simpleString()
+    maps = placed.mapInPandas(_chunk_maps(2.0 * alpha), f"key {key_type}, chunk bigint, a double, b double")
     # One narrow row per chunk, streamed in order; a task holds one batch of them.
     firsts = (
-        maps.select("key", "chunk", "m.a", "m.b")
-        .repartition("key")
+        maps.repartition("key")
         .sortWithinPartitions("key", "chunk")
         .mapInPandas(_first_weights(w0), f"key {key_type}, chunk bigint, w_first double")
     )
-    traced = chunks.join(firsts, ["key", "chunk"]).select(
-        "key", F.inline(_trace(F.col("items"), F.col("w_first"), alpha))
+    traced = (
+        placed.join(firsts, ["key", "chunk"])
+        .sortWithinPartitions(*order)
+        .mapInPandas(_row_weights(alpha), f"key {key_type}, pos bigint, x double, t double, w_old double")
     )
     prediction = F.col("x") * F.col("w_old")
+    gradient = 2 * F.col("x") * (prediction - F.col("t"))
     return traced.select(
         F.col("key").alias(key),
         F.col("pos").alias(pos),
@@ -135,6 +140,6 @@ def sgd_trace(
         "w_old",
         prediction.alias("prediction"),
         F.pow(F.col("t") - prediction, F.lit(2)).alias("loss"),
-        (2 * F.col("x") * (prediction - F.col("t"))).alias("gradient"),
-        "w_new",
+        gradient.alias("gradient"),
+        (F.col("w_old") - F.lit(alpha) * gradient).alias("w_new"),
     )

@@ -19,9 +19,8 @@ MAX_TOKENS = {"encoder": 256, "labeller": 2048, "debate": 3072, "pack": 512}
 
 def tokens_of(text: Column) -> Column:
     """White-space tokens as an array, empty for blank text."""
-    trimmed = F.regexp_replace(text, f"^[{TOKEN_SPACE}]+|[{TOKEN_SPACE}]+$", "")
-    split = F.split(trimmed, f"[{TOKEN_SPACE}]+")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(split)
+    # Space at either end leaves an empty first or last piece.
+    return F.array_remove(F.split(text, f"[{TOKEN_SPACE}]+"), "")
 
 
 def render_prompt(df: DataFrame, template: str, out: str = "prompt", **slots: str) -> DataFrame:
@@ -153,23 +152,28 @@ def sequence_pack(
     # array would be about three times the bytes.
     counted = df.select(
         seeded_key(seed, key).alias("h"), F.col(text).alias("text"), F.size(tokens_of(F.col(text))).alias("n")
-    ).where(F.col("n") > 0)
-    placed = running_total(counted, F.col("h"), F.col("n"), "start", digits).withColumn("tokens", tokens_of(F.col("text")))
+    )
+    placed = running_total(counted, F.col("h"), F.col("n"), "start", digits).where(F.col("n") > 0)
 
     size = F.lit(block).cast("bigint")
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}")
 
-    def piece(b: Column) -> Column:
+    def piece(tokens: Column, b: Column) -> Column:
         begin = F.greatest(b * size - F.col("start"), F.lit(0))
         end = F.least((b + 1) * size - F.col("start"), F.col("n").cast("bigint"))
         return F.struct(
             b.alias("block_id"),
             (F.col("start") + begin).alias("at"),
             (end - begin).alias("n"),
-            F.array_join(F.slice("tokens", (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("text"),
+            F.array_join(F.slice(tokens, (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("text"),
         )
 
-    pieces = placed.select(F.inline(F.transform(F.sequence(first, last), piece)))
+    # The outer transform runs once and holds the split text for all pieces.
+    cut = F.transform(
+        F.array(tokens_of(F.col("text"))),
+        lambda tokens: F.transform(F.sequence(first, last), lambda b: piece(tokens, b)),
+    )
+    pieces = placed.select(F.inline(F.element_at(cut, 1)))
     ordered = F.sort_array(F.collect_list(F.struct("at", "text")))
     return pieces.groupBy("block_id").agg(
         F.sum("n").alias("n_tokens"), F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("text")

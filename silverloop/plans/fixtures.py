@@ -121,7 +121,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     """A fixture as a DataFrame over the tables in ``sf_dir``."""
-    return spark.sql(select.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    used = [t for t in TABLES if "{" + t + "}" in select]
+    return spark.sql(select, **{t: read(spark, sf_dir, t) for t in used})
 
 
 def sql(select: str) -> str:

@@ -328,8 +328,8 @@ ORACLES["token_truncate"] = f"""SELECT doc_id, CAST(len(l[1:256]) AS BIGINT) AS
 FROM (SELECT doc_id, {tokens('text')} AS l FROM documents)"""
 ORACLES["sequence_pack"] = f"""WITH t AS (SELECT doc_id, {tokens('text')} AS l FROM documents),
 s AS (SELECT l, sum(len(l)) OVER (ORDER BY {_HASH} ROWS UNBOUNDED PRECEDING) - len(l) AS start FROM t WHERE len(l) > 0),
-w AS (SELECT CAST(start AS BIGINT) + unnest(generate_series(0, len(l) - 1)) AS at, unnest(l) AS token FROM s)
-SELECT at // 512 AS block_id, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY at) AS text FROM w GROUP BY 1"""
+w AS (SELECT CAST(start AS BIGINT) + unnest(generate_series(0, len(l) - 1)) AS place, unnest(l) AS token FROM s)
+SELECT place // 512 AS block_id, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY place) AS text FROM w GROUP BY 1"""
 
 # -- vectors, attention, fold -------------------------------------------------
 

@@ -499,14 +499,23 @@ def argmax_label(spark, sf_dir):
 
 @query
 def retrain_eval(spark, sf_dir):
-    """A replace round, an append round and a stratified round; their metric rows."""
-    corpus, gold = _corpus_and_gold(spark, sf_dir)
-    reviewed = sampling.dedupe_keep_last(cleaning.clean_doc_id(gold, "doc_id"), "doc_id", "source_pos")
-    alone = cleaning.coerce_binary(reviewed.select("doc_id", "text", F.col("is_green_human").alias("label")))
-    _, replaced = workflows.replace_round(corpus, gold, "replace")
-    _, appended = workflows.append_round(corpus, gold, "is_green_human", "append")
-    _, stratified = workflows.stratified_round(alone, "doc_id", "stratified")
-    return replaced.unionByName(appended).unionByName(stratified)
+    """Silver labels replaced by reviewed ones; metric rows on the evaluation split."""
+    return workflows.replace_round(*_corpus_and_gold(spark, sf_dir), "replace")[1]
+
+
+@query
+def retrain_eval_append(spark, sf_dir):
+    """Reviewed rows added to the silver ones."""
+    return workflows.append_round(*_corpus_and_gold(spark, sf_dir), "is_green_human", "append")[1]
+
+
+@query
+def retrain_eval_stratified(spark, sf_dir):
+    """Train and test on the reviewed rows alone."""
+    _, gold = _corpus_and_gold(spark, sf_dir)
+    last = sampling.dedupe_keep_last(cleaning.clean_doc_id(gold, "doc_id"), "doc_id", "source_pos")
+    alone = cleaning.coerce_binary(last.select("doc_id", "text", F.col("is_green_human").alias("label")))
+    return workflows.stratified_round(alone, "doc_id", "stratified")[1]
 
 
 @query

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import LongType, StructType
 
 from silverloop.operators.cleaning import REVIEW_COLUMNS, ensure_columns, pending_filter
 from silverloop.operators.inference import Generate, label_rows
@@ -19,7 +19,7 @@ _BATCH = "batch_id"
 def _sink(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """The labelled rows so far, or None before the first batch is written."""
     try:
-        return spark.read.schema(schema.add(_BATCH, "bigint")).parquet(path)
+        return spark.read.schema(schema.add(_BATCH, LongType())).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
