@@ -48,13 +48,26 @@ def kv_reply(reply: Column) -> Column:
     )
 
 
+def _whole_json(text: Column) -> Column:
+    """``VARIANT`` of a text that is one JSON value and nothing more.
+
+    The parser stops at the end of the first value and ignores the rest. Text that
+    is valid both as a list item and as a member of an object is a single value:
+    what could close or continue the one breaks the other.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(item.isNotNull() & member.isNotNull(), F.try_variant_get(item, "$[0]", "variant"))
+
+
 def first_json_object(reply: Column) -> Column:
     """``VARIANT`` of the first ``{…}``; failing that of the whole text in braces."""
     block = _empty_to_null(F.regexp_extract(reply, FIRST_OBJECT, 0))
     text = strip(reply)
     opened = F.when(text.startswith("{"), text).otherwise(F.concat(F.lit("{"), text))
     closed = F.when(opened.endswith("}"), opened).otherwise(F.concat(opened, F.lit("}")))
-    return F.coalesce(F.try_parse_json(block), F.try_parse_json(F.when(text != "", closed)))
+    # A block ends at its first closing brace, so nothing can follow its object.
+    return F.coalesce(F.try_parse_json(block), F.when(text != "", _whole_json(closed)))
 
 
 def label_token(reply: Column) -> Column:
@@ -123,7 +136,8 @@ def salvaged_json(reply: Column) -> Column:
             F.coalesce(rationale, F.lit(NO_RATIONALE)).alias("rationale"),
         )
     )
-    return F.try_parse_json(F.coalesce(block, F.when(label.isNotNull(), rebuilt), strip(reply)))
+    object_text = F.coalesce(block, F.when(label.isNotNull(), rebuilt))
+    return F.when(object_text.isNotNull(), F.try_parse_json(object_text)).otherwise(_whole_json(strip(reply)))
 
 
 def judge_verdict(reply: Column, obj: Column | None = None) -> Column:

@@ -35,6 +35,10 @@ def test_json_reply(column):
         '{"label": NaN} 0': (0, None, False),
         '{"label": 0, "label": 1}': (1, None, True),
         "[1, 2]": (1, None, False),
+        '{"label": 1, "m": {"k": 2}} and {"label": 0}': (1, None, False),
+        '{"label": 1, "m": {"k": 2}}, {"label": 0}': (1, None, False),
+        '{"label": 1, "m": {"k": 2}}] }': (1, None, False),
+        '{"label": 1, "m": {"k": 2}}} }': (1, None, False),
     }
     assert column(replies.json_reply, list(cases)) == list(cases.values())
 
@@ -54,6 +58,11 @@ def test_judge_verdict(column):
     assert column(replies.judge_verdict, list(cases)) == list(cases.values())
 
 
+def test_text_after_a_value_is_not_json(column):
+    parsed = lambda c: replies.salvaged_json(c).isNotNull()
+    assert column(parsed, ["1", "1 foo", "[1] 2", "1], [2", " null ", "1, 2"]) == [True, False, False, False, True, False]
+
+
 def test_prompt_slots_are_not_searched_again(column):
     claim = 'a {claim} <<advocate>> "quoted"'
     (got,) = column(lambda c: prompts.render("A <<claim>> B <<advocate>> C", claim=c, advocate=c), [claim])
