@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,23 +38,18 @@ def hashed_mean_encoder(dim: int = 16, max_tokens: int = 256) -> Encoder:
     The stand-in where no model runtime is at hand. Token limits are part of an
     encoder, so the text itself is passed to it whole.
     """
-    slots: dict[str, int] = {}
+    word = re.compile(f"[^{TOKEN_SPACE}]+")
 
+    @lru_cache(maxsize=1 << 18)
     def slot(token: str) -> int:
-        if token not in slots:
-            if len(slots) >= 1_000_000:
-                slots.clear()
-            slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % dim
-        return slots[token]
+        return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % dim
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for separator in TOKEN_SPACE[1:]:
-                text = text.replace(separator, " ")
-            tokens = [t for t in text.split(" ") if t][:max_tokens]
-            if tokens:
-                out[i] = np.bincount([slot(t) for t in tokens], minlength=dim) / len(tokens)
+            slots = [slot(t.group()) for t in islice(word.finditer(text), max_tokens)]
+            if slots:
+                out[i] = np.bincount(slots, minlength=dim) / len(slots)
         return out
 
     return encode

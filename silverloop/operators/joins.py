@@ -64,13 +64,14 @@ def exclude_ids(
     df: DataFrame, ids: DataFrame, key: str = "id", ids_key: str = "doc_id", normalize: bool = True
 ) -> DataFrame:
     """Rows whose id is not in ``ids``; null ids on either side match nothing."""
-    listed = ids.select(_join_id(ids[ids_key], normalize).alias("_id")).where(F.col("_id").isNotNull())
+    # Distinct, so that copies of one listed id are folded before the shuffle.
+    listed = ids.select(_join_id(ids[ids_key], normalize).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     return df.join(listed, _join_id(df[key], normalize) == F.col("_id"), "left_anti")
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` that were not drawn into ``sample``."""
-    return df.join(sample.select(key), key, "left_anti")
+    return df.join(sample.select(key).distinct(), key, "left_anti")
 
 
 def embedding_align(

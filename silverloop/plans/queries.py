@@ -636,14 +636,15 @@ def map_batches(spark, sf_dir):
 @query
 def review_list(spark, sf_dir):
     """The flagship: the 100 unlabelled documents the model is least sure of."""
-    pool = workflows.unlabelled(fx.read(spark, sf_dir, "documents"), fx.read(spark, sf_dir, "labels"))
+    documents = fx.read(spark, sf_dir, "documents")
     listed = workflows.review_list(
-        pool,
+        workflows.unlabelled(documents, fx.read(spark, sf_dir, "labels")),
         fx.read(spark, sf_dir, "embeddings"),
         (fx.WEIGHTS, fx.INTERCEPT),
         key="doc_id",
         vector_key="vec_id",
         on_missing="drop",
+        texts=documents,
     )
     return listed.withColumns({"p_green": r6(F.col("p_green")), "u": r6(F.col("u"))})
 

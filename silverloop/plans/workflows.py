@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from silverloop.operators.assembly import augment_append, augment_replace, eval_rows
 from silverloop.operators.classify import predict_proba, retrain_eval
-from silverloop.operators.cleaning import any_positive_label, ensure_columns
+from silverloop.operators.cleaning import REVIEW_COLUMNS, any_positive_label, ensure_columns
 from silverloop.operators.joins import complement, embedding_align
 from silverloop.operators.sampling import class_sample, split_60_20_20, stratified_split, top_uncertain
 from silverloop.operators.vectors import linear_score, uncertainty
@@ -30,19 +30,25 @@ def review_list(
     key: str = "id",
     vector_key: str = "id",
     on_missing: str = "error",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` least certain rows of the pool with empty review columns.
 
-    ``model`` is a fitted model, or its weights and intercept.
+    ``model`` is a fitted model, or its weights and intercept. A probability needs
+    its vector only, so vectors are scored where they lie and one number per id is
+    joined and ranked. Text is looked up for the ``k`` chosen ids, which are
+    broadcast. ``texts`` is the table it is read from; give the plain corpus where
+    the pool is itself a join, so that the join is not run on whole texts.
     """
-    aligned = embedding_align(pool.select(key, "text"), vectors, key, vector_key, on_missing=on_missing)
     if isinstance(model, PipelineModel):
-        scored = predict_proba(aligned, model)
+        scored = predict_proba(vectors.select(vector_key, "embedding"), model)
     else:
-        scored = linear_score(aligned, *model, prediction=None)
-    ranked = top_uncertain(uncertainty(scored).select(F.col(key).alias("doc_id"), "text", "p_green", "u"), k, tie="doc_id")
+        scored = linear_score(vectors.select(vector_key, "embedding"), *model, prediction=None)
+    aligned = embedding_align(pool.select(key), scored, key, vector_key, "p_green", on_missing)
+    top = top_uncertain(uncertainty(aligned), k, tie=key)
+    listed = (pool if texts is None else texts).select(key, "text").join(F.broadcast(top), key)
     return ensure_columns(
-        ranked, {"llm_green_suggested": "", "llm_confidence": "", "llm_rationale": "", "is_green_human": ""}
+        listed.select(F.col(key).alias("doc_id"), "text", "p_green", "u"), dict.fromkeys(REVIEW_COLUMNS, "")
     )
 
 

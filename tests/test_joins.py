@@ -125,3 +125,32 @@ def test_contracts(spark):
         contracts.check_contract(df, ["id", "text"])
     with pytest.raises(ValueError, match="nothing here"):
         contracts.require_rows(df.where("id > 5"), "nothing here")
+
+
+def test_a_hot_key_is_split_by_adaptive_execution(spark):
+    """Half of the tokens are one word; with sizes scaled down the join splits its partition."""
+    scaled = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in scaled}
+    for k, v in scaled.items():
+        spark.conf.set(k, v)
+    try:
+        tokens = spark.range(0, 60_000, 1, 8).select(
+            "id", F.array(F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 500)).alias("tokens")
+        )
+        words = spark.range(500).select(F.concat(F.lit("w"), "id").alias("word"), F.array(F.lit(1.0)).alias("vec"))
+        words = words.union(spark.createDataFrame([("hot", [2.0])], "word string, vec array<double>"))
+        joined = joins.token_lookup(tokens, words)
+        counted = joined.select("id", F.col("vec")[0].alias("x"))
+        assert len(counted.collect()) == 120_000
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        assert counted.agg(F.sum("x")).first()[0] == 180_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

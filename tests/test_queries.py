@@ -41,3 +41,11 @@ def test_query_agrees_with_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["model_store", "fit_logreg", "retrain_eval_stratified"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_review_list_joins_numbers_not_vectors_or_text(spark):
+    df = entry.queries()["review_list"](spark, SF_DIR)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=100" in physical
+    exchanged = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanged and "embedding" not in "".join(exchanged)
