@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverloop.operators.cleaning import coerce_binary, project_rename, split_filter
+from silverloop.contracts import require_columns
+from silverloop.operators.cleaning import CORPUS_COLUMNS, coerce_binary, project_rename, split_filter
 from silverloop.operators.joins import gold_join, gold_matched, gold_override
 
 
@@ -30,6 +31,7 @@ def augment_replace(
     comes. "Train without reviewed ids, plus reviewed rows" is one filter on the
     joined corpus, so the corpus is read once.
     """
+    require_columns(corpus, CORPUS_COLUMNS)
     labelled = gold_override(gold_join(corpus, gold, normalize=normalize, **gold_columns))
     used = labelled.where(F.col("is_green_human").isNotNull() | (F.col("split") == train_split))
     return coerce_binary(used.select("text", F.col("is_green_gold").alias("label")))
@@ -47,6 +49,7 @@ def eval_rows(
     Reviewed rows stay in unless ``exclude_eval_gold`` takes them out, which
     keeps a reviewed evaluation row from being trained and tested on.
     """
+    require_columns(corpus, ["text", "is_green_silver", "split"])
     rows = split_filter(corpus, eval_split)
     if exclude_eval_gold:
         if gold is None:
@@ -68,6 +71,8 @@ def augment_append(
     train_split: str = "train_silver",
 ) -> DataFrame:
     """Training rows: the silver train split with the reviewed rows added as they are."""
+    require_columns(corpus, ["text", "is_green_silver", "split"])
+    require_columns(reviewed, ["text", label])
     train = split_filter(corpus, train_split).select("text", F.col("is_green_silver").alias("label"))
     extra = project_rename(reviewed, {"text": "text", label: "label"})
     return union_all(coerce_binary(train), coerce_binary(extra))

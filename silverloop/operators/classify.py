@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from silverloop.contracts import require_rows
 from silverloop.functions.labels import text_or_empty
 from silverloop.operators.metrics import metric_rows
 from silverloop.operators.text import TOKEN_SPACE
@@ -154,11 +155,13 @@ def retrain_eval(
     head, rest = _stateless_head(pipeline or text_pipeline())
     typed = train.select("text", F.col("label").cast("double").alias("label"))
     prepared = PipelineModel(head).transform(typed).drop("text", *[s.getOutputCol() for s in head[:-1]])
-    fitted = Pipeline(stages=rest).fit(stage_table(prepared, "training"))
+    training = require_rows(stage_table(prepared, "training"), "no training rows")
+    fitted = Pipeline(stages=rest).fit(training)
     model = PipelineModel(head + fitted.stages)
     predicted = model.transform(evaluation.select("text", F.col("label").cast("double").alias("label"))).select(
         F.col("label").cast("int").alias("y_true"),
         F.col("prediction").cast("int").alias("y_pred"),
         vector_to_array("probability")[1].alias("p_true"),
     )
-    return model, metric_rows(stage_table(predicted, "predictions"), run, p_one="p_true")
+    scored = require_rows(stage_table(predicted, "predictions"), "no evaluation rows")
+    return model, metric_rows(scored, run, p_one="p_true")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silverloop.contracts import require_columns
 from silverloop.functions import labels
 from silverloop.operators.sampling import dedupe_keep_last
 
@@ -23,6 +24,7 @@ def clean_gold(
     gold: DataFrame, key: str = "doc_id", label: str = "is_green_human", position: str = "source_pos"
 ) -> DataFrame:
     """Reviewed labels as (``gold_id``, ``human``): valid ids and labels, last row per id."""
+    require_columns(gold, [key, label, position])
     typed = gold.select(
         labels.clean_doc_id(F.col(key)).alias("gold_id"),
         labels.binary_label(F.col(label)).alias("human"),

@@ -6,7 +6,8 @@ rows are counted by the leading hex digits of the hash, the counts say which
 bucket holds a cut, and only that bucket is ranked. The rows themselves are then
 filtered in place against the cut hash, so no sampling operator shuffles text.
 
-``key`` must be unique; equal keys hash alike and fall on the same side of a cut.
+``key`` must be unique (``check_contract`` counts repeats). Equal keys hash alike and
+fall on the same side of a cut, so a repeated key at a cut makes the part larger.
 """
 
 from __future__ import annotations
@@ -73,11 +74,16 @@ def hash_cuts(
         )
         .select("cls", "bucket", "w.cut", (F.col("w.want") - F.col("upto") + F.col("n")).alias("nth"))
     )
-    within = Window.partitionBy("cut", "bucket").orderBy("h")
+    # Copies of a key are counted before they are ranked, so they take one row here.
+    reached = F.sum("copies").over(
+        Window.partitionBy("cut", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    )
     hits = (
         keyed.join(F.broadcast(edges), ["cls", "bucket"])
-        .withColumn("rank", F.row_number().over(within))
-        .where(F.col("rank") == F.col("nth"))
+        .groupBy("cut", "bucket", "nth", "h")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("reached", reached)
+        .where((F.col("reached") >= F.col("nth")) & (F.col("reached") - F.col("copies") < F.col("nth")))
     )
     return hits.agg(F.map_from_entries(F.collect_list(F.struct("cut", "h")))).scalar()
 

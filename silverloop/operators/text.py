@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silverloop.contracts import require_columns
 from silverloop.functions import prompts, replies
-from silverloop.operators.cleaning import drop_incomplete, split_filter, to_int01
+from silverloop.operators.cleaning import CORPUS_COLUMNS, drop_incomplete, split_filter, to_int01
 from silverloop.operators.joins import exclude_ids
 from silverloop.operators.sampling import BUCKET_DIGITS, cap_sample, running_total, seeded_key
 
@@ -73,6 +74,8 @@ def sft_records(
     Train split, without reviewed ids, complete, with a readable label, at most
     ``max_rows`` by seeded order.
     """
+    require_columns(corpus, CORPUS_COLUMNS)
+    require_columns(reviewed, ["doc_id"])
     train = split_filter(corpus, train_split, normalize=True)
     unseen = exclude_ids(train, reviewed, normalize=normalize)
     complete = drop_incomplete(unseen.select("id", "text", "is_green_silver"), ["text", "is_green_silver"])

@@ -8,18 +8,24 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silverloop.contracts import require_rows
 from silverloop.operators.assembly import augment_append, augment_replace, eval_rows
 from silverloop.operators.classify import predict_proba, retrain_eval
-from silverloop.operators.cleaning import REVIEW_COLUMNS, any_positive_label, ensure_columns
-from silverloop.operators.joins import complement, embedding_align
+from silverloop.operators.cleaning import REVIEW_COLUMNS, any_positive_label, coerce_binary, ensure_columns
+from silverloop.operators.joins import complement, embedding_align, gold_join, gold_matched
 from silverloop.operators.sampling import class_sample, split_60_20_20, stratified_split, top_uncertain
 from silverloop.operators.vectors import linear_score, uncertainty
+from silverloop.session import stage_table
 
 
 def silver_corpus(wide: DataFrame, prefix: str, per_class: int, key: str = "id", seed: int = 42) -> DataFrame:
-    """Silver label from indicator columns, balanced sample, split column."""
-    labelled = any_positive_label(wide, prefix)
-    return split_60_20_20(class_sample(labelled, "is_green_silver", per_class, key, seed), key, seed)
+    """Silver label from indicator columns, balanced sample, split column.
+
+    The sample is written to the shared folder, so that the split does not go back
+    to the wide table.
+    """
+    sample = class_sample(any_positive_label(wide, prefix), "is_green_silver", per_class, key, seed)
+    return split_60_20_20(stage_table(sample, "sample"), key, seed)
 
 
 def review_list(
@@ -59,6 +65,7 @@ def unlabelled(documents: DataFrame, labels: DataFrame, key: str = "doc_id") ->
 
 def replace_round(corpus: DataFrame, gold: DataFrame, run: str) -> tuple[PipelineModel, DataFrame]:
     """Retrain with reviewed labels in place of silver ones; metrics on the evaluation split."""
+    require_rows(gold_matched(gold_join(corpus.select("id"), gold)), "no reviewed id is in the corpus")
     return retrain_eval(augment_replace(corpus, gold), eval_rows(corpus), run)
 
 
@@ -66,6 +73,7 @@ def append_round(
     corpus: DataFrame, reviewed: DataFrame, label: str, run: str
 ) -> tuple[PipelineModel, DataFrame]:
     """Retrain with reviewed rows added; metrics on the evaluation split."""
+    require_rows(coerce_binary(reviewed, label, text=None), f"no reviewed row has a valid {label}")
     return retrain_eval(augment_append(corpus, reviewed, label), eval_rows(corpus), run)
 
 

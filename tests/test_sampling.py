@@ -113,3 +113,16 @@ def test_no_sampling_operator_shuffles_text(spark):
         kinds = [physical.getClass().getSimpleName()]
         main = physical.toString().split("Subquery subquery")[0]
         assert "Exchange" not in main, (kinds, main)
+
+
+def test_copies_of_a_key_stay_together(spark):
+    """A third of the rows share one key; it lies on one side of the cut and counts in full."""
+    ids = [7] * 100 + list(range(1000, 1200))
+    df = spark.createDataFrame([(i,) for i in ids], "id int").repartition(5)
+    order = sampling.seeded_key(42, "id")
+    ranked = by_hash(ids)
+    for want in (1, 60, 150, 299):
+        got = sorted(r.id for r in sampling.cap_sample(df, want, "id").collect())
+        last = ranked[want - 1]
+        expected = ranked[: want] + ([last] * (ranked.count(last) - ranked[:want].count(last)))
+        assert got == sorted(expected)
