@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from silverloop.contracts import require_columns
 from silverloop.functions import labels
@@ -59,7 +60,15 @@ def project_rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def coerce_binary(df: DataFrame, label: str = "label", text: str | None = "text") -> DataFrame:
     """Rows whose label is exactly 0 or 1, as int; text null becomes ``""``."""
-    cleaned = df.withColumn(label, labels.binary_label(F.col(label))).where(F.col(label).isNotNull())
+    value = F.col(label)
+    kind = df.schema[label].dataType
+    # Numbers need no reading as text, and true and false are 1 and 0 when typed as such.
+    if isinstance(kind, BooleanType):
+        cleaned = df.where(value.isNotNull()).withColumn(label, value.cast("int"))
+    elif isinstance(kind, NumericType):
+        cleaned = df.where(value.isin(0, 1)).withColumn(label, value.cast("int"))
+    else:
+        cleaned = df.withColumn(label, labels.binary_label(value)).where(value.isNotNull())
     return text_or_empty(cleaned, text) if text else cleaned
 
 

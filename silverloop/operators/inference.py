@@ -23,8 +23,9 @@ from silverloop.session import stage_table
 
 Generate = Callable[[list[str]], list[str]]
 
-# Fixed value: most rows that a capped evaluation scores.
+# Most rows that a capped evaluation scores; the answer columns.
 EVAL_ROWS = 2000
+ANSWER_COLUMNS = ("qlora_label", "qlora_rationale", "qlora_raw", "qlora_json_ok")
 
 
 def map_batches(
@@ -155,8 +156,7 @@ def predict_and_score(
     """All rows with ``gold01``, ``qlora_label``, ``qlora_rationale``, ``qlora_raw``, ``qlora_json_ok``."""
     require_columns(df, [text, gold])
     typed = df.withColumn("gold01", labels.to_int01(F.col(gold)))
-    names = ("qlora_label", "qlora_rationale", "qlora_raw", "qlora_json_ok")
-    answered = _answered(typed, make_model, text, names)
+    answered = _answered(typed, make_model, text, ANSWER_COLUMNS)
     return answered.withColumn("qlora_label", _on_unparsed(F.col("qlora_label"), on_unparsed))
 
 

@@ -46,8 +46,10 @@ def gold_join(
     ``normalize=False`` compares the stripped corpus id as it stands.
     """
     human = clean_gold(gold, **gold_columns).withColumnRenamed("human", out)
-    joined = corpus.join(human, _join_id(corpus[key], normalize) == human["gold_id"], "left")
-    return joined.drop("gold_id")
+    # The key is a column of its own, so that it is worked out once per row and not
+    # again in the exchange, the sort and the join.
+    keyed = corpus.withColumn("_gid", _join_id(F.col(key), normalize))
+    return keyed.join(human, F.col("_gid") == F.col("gold_id"), "left").drop("_gid", "gold_id")
 
 
 def gold_override(
@@ -68,7 +70,8 @@ def exclude_ids(
     """Rows whose id is not in ``ids``; null ids on either side match nothing."""
     # Distinct, so that copies of one listed id are folded before the shuffle.
     listed = ids.select(_join_id(ids[ids_key], normalize).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    return df.join(listed, _join_id(df[key], normalize) == F.col("_id"), "left_anti")
+    keyed = df.withColumn("_key", _join_id(F.col(key), normalize))
+    return keyed.join(listed, F.col("_key") == F.col("_id"), "left_anti").drop("_key")
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

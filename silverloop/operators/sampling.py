@@ -6,7 +6,7 @@ rows are counted by the leading hex digits of the hash, the counts say which
 bucket holds a cut, and only that bucket is ranked. The rows themselves are then
 filtered in place against the cut hash, so no sampling operator shuffles text.
 
-``key`` must be unique (``check_contract`` counts repeats). Equal keys hash alike and
+``key`` is one column or several and must be unique (``check_contract`` counts repeats). Equal keys hash alike and
 fall on the same side of a cut, so a repeated key at a cut makes the part larger.
 """
 
@@ -110,8 +110,8 @@ def dedupe_keep_last(df: DataFrame, key: str | Sequence[str], position: str) ->
 
 
 def top_uncertain(df: DataFrame, k: int = 100, u: str = "u", tie: str = "id") -> DataFrame:
-    """The ``k`` rows with the highest ``u``; equal ``u`` goes by ``tie``."""
-    return df.orderBy(F.col(u).desc(), F.col(tie)).limit(k)
+    """The ``k`` rows with the highest ``u``; equal ``u`` goes by ``tie``, no number comes last."""
+    return df.orderBy(F.nanvl(u, F.lit(None).cast("double")).desc_nulls_last(), F.col(tie)).limit(k)
 
 
 def class_sample(

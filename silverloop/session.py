@@ -34,7 +34,7 @@ def build(master: str = "local[8]", app: str = "silverloop", **conf: str) -> Spa
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -34,3 +34,12 @@ def test_binary_label(column):
 def test_text_or_empty(column):
     assert column(labels.text_or_empty, [None, "a"]) == ["", "a"]
     assert column(lambda c: labels.text_or_empty(c, literal_null=True), [None, "a"]) == ["None", "a"]
+
+
+def test_coerce_binary_by_type(spark):
+    from silverloop.operators import cleaning
+
+    numbers = spark.createDataFrame([(1.0, "a"), (0.5, "b"), (0.0, None), (None, "d")], "label double, text string")
+    assert [tuple(r) for r in cleaning.coerce_binary(numbers).collect()] == [(1, "a"), (0, "")]
+    flags = spark.createDataFrame([(True, "a"), (False, "b"), (None, "c")], "label boolean, text string")
+    assert [tuple(r) for r in cleaning.coerce_binary(flags).collect()] == [(1, "a"), (0, "b")]

@@ -92,8 +92,11 @@ def test_dedupe_with_a_hot_key(spark):
 
 
 def test_top_uncertain_breaks_ties_by_id(spark):
-    df = spark.createDataFrame([(3, 0.5), (1, 0.5), (2, 0.9), (4, 0.1)], "id int, u double")
-    assert [r.id for r in sampling.top_uncertain(df, 3).collect()] == [2, 1, 3]
+    rows = [(3, 0.5), (1, 0.5), (2, 0.9), (4, 0.1), (5, float("nan")), (6, None)]
+    df = spark.createDataFrame(rows, "id int, u double")
+    top = sampling.top_uncertain(df, 3)
+    assert [r.id for r in top.collect()] == [2, 1, 3]
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
 
 
 def test_complement(spark):
