@@ -62,11 +62,13 @@ def embed_batches(
     text: str = "text",
     out: str = "embedding",
     batch: int = ENCODE_BATCH,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add a vector per text from a pluggable encoder.
 
     ``make_encoder`` runs once per task, before its first batch; the encoder then
-    gets ``batch`` texts at a time. Null text is ``""``.
+    gets ``batch`` texts at a time. Null text is ``""``. ``tasks`` spreads the rows
+    evenly over that many tasks first.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +81,8 @@ def embed_batches(
             yield frame.drop(columns="_text").assign(**{out: vectors})
 
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
-    return df.withColumn("_text", text_or_empty(F.col(text))).mapInPandas(run, schema)
+    spread = df.repartition(tasks) if tasks else df
+    return spread.withColumn("_text", text_or_empty(F.col(text))).mapInPandas(run, schema)
 
 
 def fit_logreg(

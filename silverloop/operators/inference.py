@@ -46,8 +46,13 @@ def batch_generate(
     prompt: str = "prompt",
     out: str = "reply",
     batch: int = 32,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Add one reply per prompt: the prompt's echo is cut off and the reply stripped."""
+    """Add one reply per prompt: the prompt's echo is cut off and the reply stripped.
+
+    ``tasks`` spreads the rows evenly over that many tasks first. A model call costs
+    more than moving a row, and files seldom split into even work for it.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make_model()
@@ -59,7 +64,8 @@ def batch_generate(
                 answered.extend(r.removeprefix(p).strip() for p, r in zip(part, generate(part), strict=True))
             yield frame.assign(**{out: answered})
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    spread = df.repartition(tasks) if tasks else df
+    return spread.mapInPandas(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def label_rows(df: DataFrame, make_model: Callable[[], Generate], text: str = "text") -> DataFrame:
@@ -81,14 +87,18 @@ def debate(
     models: Mapping[str, Callable[[], Generate]],
     text: str = "text",
     stage: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Advocate and skeptic argue, the judge decides, the verdict becomes columns.
 
     ``models`` has one factory each for ``advocate``, ``skeptic`` and ``judge``.
     With ``stage`` (the default) this writes two tables to the shared folder: the
-    arguments, and the judge's replies.
+    arguments, and the judge's replies. ``tasks`` spreads the rows before the first
+    model.
     """
     require_columns(df, [text])
+    if tasks:
+        df = df.repartition(tasks)
     keep: Callable[[DataFrame, str], DataFrame] = stage_table if stage else (lambda d, _: d)
     claim = labels.text_or_empty(F.col(text), literal_null=True)
     asked = df.withColumns(

@@ -75,8 +75,8 @@ def exclude_ids(
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` that were not drawn into ``sample``."""
-    return df.join(sample.select(key).distinct(), key, "left_anti")
+    """Rows of ``df`` that were not drawn into ``sample``; both have one row per key."""
+    return df.join(sample.select(key), key, "left_anti")
 
 
 def embedding_align(

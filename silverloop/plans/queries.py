@@ -41,6 +41,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def r6(c: Column) -> Column:
     """Six decimals, never a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -464,7 +468,9 @@ def masked_mean_pool(spark, sf_dir):
 @query
 def embed_batches(spark, sf_dir):
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    embedded = classify.embed_batches(docs, lambda: classify.hashed_mean_encoder(dim=16, max_tokens=256))
+    embedded = classify.embed_batches(
+        docs, lambda: classify.hashed_mean_encoder(dim=16, max_tokens=256), tasks=_cores(spark)
+    )
     rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
     return embedded.select("doc_id", rounded.alias("embedding"))
 
@@ -560,8 +566,8 @@ def sgd_trace(spark, sf_dir):
 
 @query
 def batch_generate(spark, sf_dir):
-    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = text.render_prompt(docs, "labeller", claim="text")
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text").repartition(_cores(spark))
+    asked = text.render_prompt(docs, "labeller", claim="text").drop("text")
     return inference.batch_generate(asked, standins.kv_model).select("doc_id", "reply")
 
 
@@ -573,7 +579,7 @@ def debate(spark, sf_dir):
         "skeptic": standins.argument_model("skeptic"),
         "judge": standins.judge_model,
     }
-    return inference.debate(docs, models).drop("text")
+    return inference.debate(docs, models, tasks=_cores(spark)).drop("text")
 
 
 @query

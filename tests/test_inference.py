@@ -180,3 +180,12 @@ def test_batch_twin_skips_labelled_and_filled_rows(spark, docs, tmp_path):
     incremental.label_incremental_batch(filled, standins.kv_model, sink)
     got = [r.doc_id for r in spark.read.parquet(sink).collect()]
     assert sorted(got) == list(range(3, 25))
+
+
+def test_rows_are_spread_over_the_asked_tasks(spark):
+    one = spark.createDataFrame(DOCS, "doc_id int, text string").coalesce(1)
+    echo = lambda: lambda prompts: [p + "!" for p in prompts]
+    spread = inference.batch_generate(one, echo, "text", tasks=5).select("doc_id", "reply", F.spark_partition_id().alias("p"))
+    rows = spread.collect()
+    assert len({r.p for r in rows}) == 5 and sorted(r.doc_id for r in rows) == list(range(25))
+    assert classify.embed_batches(one, lambda: lambda t: [[1.0]] * len(t), tasks=3).count() == 25
