@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverloop.llm import decontaminate, langid, simhash, substrings
+from silverloop.llm import decontaminate, htmltext, langid, simhash, substrings
 from silverloop.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a repeated window of 35 words covers go."""
     found = substrings.repeated_words(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmltext.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
