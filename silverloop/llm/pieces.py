@@ -43,6 +43,8 @@ class Vocabulary:
     right: np.ndarray
     pair_keys: np.ndarray  # id pairs that merge, in order
     pair_when: np.ndarray
+    linked: np.ndarray  # pairs of characters that stand side by side in some piece, in order
+    marks: dict[int, int]  # ids of pieces of white space marks only, by length
     spelled: list[bytes]  # bytes by id; control pieces are empty
     byte_ids: np.ndarray
     size: int
@@ -65,8 +67,14 @@ def load(path: str) -> Vocabulary:
         raise ValueError("only models with byte fallback are read")
     plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     names = {sp.id_to_piece(i): i for i in plain}
-    if any(MARK in p.lstrip(MARK) for p in names):
-        raise ValueError("a piece goes on after a white space mark")
+    if MARK not in names or any(MARK in p.lstrip(MARK) for p in names):
+        raise ValueError("only models with pieces that start with white space marks or are one are read")
+    every = dict(names)
+    marks = {len(p): i for p, i in names.items() if not p.strip(MARK)}
+    names = {p: i for p, i in names.items() if len(p) == 1 or p.strip(MARK)}
+    of_marks = {sp.get_score(i) for n, i in marks.items() if n > 1}
+    if len(of_marks) > 1 or max(of_marks, default=-1e30) >= min(sp.get_score(i) for p, i in names.items() if len(p) > 1):
+        raise ValueError("pieces of marks only must have the lowest score, all the same")  # they join by place, last of all
     merged = sorted((i for p, i in names.items() if len(p) > 1), key=lambda i: (-sp.get_score(i), len(sp.id_to_piece(i)), i))
     when = np.zeros(size + 1, np.int64)
     when[merged] = np.arange(1, len(merged) + 1)
@@ -88,7 +96,7 @@ def load(path: str) -> Vocabulary:
     pairs = sorted((names[p[:k]] * (size + 1) + names[p[k:]], int(when[i])) for p, i in names.items() for k in range(1, len(p)) if p[:k] in names and p[k:] in names)
     kept = sorted(made, key=len)
     spelled = [b""] * size
-    for p, i in names.items():
+    for p, i in every.items():
         spelled[i] = p.replace(MARK, " ").encode()
     for b, i in enumerate(byte_ids):
         spelled[i] = bytes([b])
@@ -96,7 +104,8 @@ def load(path: str) -> Vocabulary:
         if sp.is_unknown(i):
             spelled[i] = " ⁇ ".encode()
     keys, times = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-    return Vocabulary(kept, np.array([names[p] for p in kept]), when, left, right, keys, times, spelled, byte_ids, size)
+    linked = np.unique(np.array([(ord(a) << 32) + ord(b) for p in kept for a, b in zip(p, p[1:], strict=False)], np.int64))
+    return Vocabulary(kept, np.array([names[p] for p in kept]), when, left, right, keys, times, linked, marks, spelled, byte_ids, size)
 
 
 def _filter_at(keys: np.ndarray) -> np.ndarray:
@@ -168,6 +177,16 @@ class Encoder:
         count = b - a
         return order[ragged(a, count)], np.repeat(size, count), np.repeat(v.ids[usable], count)
 
+    def _marks(self, n: int) -> bytes:
+        """Ids of ``n`` marks in a row: the leftmost two neighbours that make a piece join, again and again."""
+        stack: list[int] = []
+        for _ in range(n):
+            top = 1
+            while stack and stack[-1] + top in self.v.marks:
+                top += stack.pop()
+            stack.append(top)
+        return np.array([self.v.marks[k] for k in stack], "<i4").tobytes()
+
     def _match(self, words: list[str]) -> list[bytes]:
         v = self.v
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -180,7 +199,11 @@ class Encoder:
         inside = ragged(begins, lengths)
         lone = inside[~single[inside]]
         start, size, piece = np.append(start, lone), np.append(size, np.ones(len(lone), np.int64)), np.append(piece, np.full(len(lone), v.unknown))
-        place = start - begins[np.searchsorted(begins, start, side="right") - 1]
+        # nothing joins characters that are side by side in no piece: paths begin anew there
+        pair = (codes[:-1].astype(np.int64) << 32) + codes[1:]
+        bound = np.append(v.linked[np.minimum(np.searchsorted(v.linked, pair), len(v.linked) - 1)] != pair, True)
+        unit = inside[np.append(True, bound[inside - 1][1:] | (inside[1:] != inside[:-1] + 1))] if len(inside) else inside
+        place = start - unit[np.searchsorted(unit, start, side="right") - 1]
         order = np.argsort(place, kind="stable")
         start, size, piece, place = start[order], size[order], piece[order], place[order]
         last = np.full(len(codes) + 1, -1)  # by end position: the last piece of the path
@@ -195,11 +218,12 @@ class Encoder:
                 fits = self.side_by_side(before, t)
                 t, e = t[fits], e[fits]
             last[e] = t
-        # back from the ends of all words at once
+        # back from the ends of all paths at once
         length_of = np.ones(v.size + 1, np.int64)
         length_of[v.ids] = [len(p) for p in v.pieces]
         on_path = np.zeros(len(codes) + 1, bool)
-        now, floor = begins + lengths, begins
+        now = np.unique(np.concatenate([begins + lengths, inside[bound[inside]] + 1]))
+        floor = unit[np.searchsorted(unit, now, side="left") - 1]
         while len(now):
             on_path[now] = True
             now = now - length_of[last[now]]
@@ -218,7 +242,15 @@ class Encoder:
             ids, word = out, np.repeat(word, extra)
         per_word = np.bincount(word, minlength=len(words)) * 4
         raw, stops = ids.astype("<i4").tobytes(), np.cumsum(per_word)
-        return [raw[b - n : b] for b, n in zip(stops.tolist(), per_word.tolist(), strict=True)]
+        out = [raw[b - n : b] for b, n in zip(stops.tolist(), per_word.tolist(), strict=True)]
+        mark = np.array([v.marks[1]], "<i4").tobytes()
+        for i, word in enumerate(words):
+            if word.startswith(MARK + MARK):
+                n, most = 0, len(word) - len(word.lstrip(MARK))
+                while n < most and out[i][4 * n : 4 * n + 4] == mark:
+                    n += 1
+                out[i] = self._marks(n) + out[i][4 * n :]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers."""
@@ -260,7 +292,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``text`` of every row of ids.
+    """``id_col``, ``ids_col`` and ``text`` of every row of ids.
 
     The space that encoding puts before a text goes. Control pieces are nothing, bytes
     that are no UTF-8 become U+FFFD, null and empty lists are empty texts. An id outside
@@ -281,6 +313,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 raw = b"".join(spelled[ids[a:b]])
                 texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), pa.array(texts, pa.string())], ["_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), lists, pa.array(texts, pa.string())], ["_id", "_ids", "text"])
 
-    return rows.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {kind}, _ids array<int>, text string").withColumnsRenamed({"_id": id_col, "_ids": ids_col})

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverloop.llm import decontaminate, htmltext, langid, simhash, substrings
-from silverloop.llm.common import read
+import public_tokenizers
+
+from silverloop.llm import decontaminate, htmltext, langid, pieces, simhash, substrings, tokenfiles
+from silverloop.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,26 @@ def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    vocabulary = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids_sha256 = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+    decoded = F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256, *decoded)
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, from the files."""
+    folder = shared_path(spark, "token-files")
+    shards = tokenfiles.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    found = tokenfiles.read(spark, shards)
+    n_tokens = F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens")
+    return found.select(F.col("key").alias("doc_id"), "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a benchmark window, and whose they are."""
