@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silverloop.llm import decontaminate, htmltext, langid, pieces, simhash, substrings, tokenfiles, warczip
+from silverloop.llm import decontaminate, fingerprint, htmltext, langid, pieces, simhash, substrings, tokenfiles, warczip
 from silverloop.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,51 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
   CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def _hash_sql(d: str, table: int) -> str:
+    a, c, b = fingerprint.constants(table, 0)
+    return f"((({d} % {fingerprint.PRIME}) * {a} + ({d} >> 31) * {c} + {b}) % {fingerprint.PRIME})"
+
+
+_CELL_SQL = ", ".join(f"{_hash_sql('d', t)} % {fingerprint.CELLS} + {fingerprint.CELLS * t}" for t in range(fingerprint.TABLES))
+ORACLES["op2_fingerprints"] = f"""
+WITH o AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS k FROM documents
+), e AS (
+  SELECT a.doc_id, a.r, a.t, b.r AS nr, length(a.t) AS n_chars,
+    substr(a.t, 1, length(a.t) - length(a.t) // 4) || substr(b.t, 1, length(a.t) // 4) AS ed
+  FROM o a JOIN o b ON b.r = a.r % a.k + 1
+), u AS (
+  SELECT r, v, ('0x' || substr(md5(x), 1, 10))::BIGINT AS d
+  FROM (SELECT r, 0 AS v, unnest(regexp_extract_all(t, '{fingerprint.UNITS}')) AS x FROM e
+        UNION ALL SELECT r, 1, unnest(regexp_extract_all(ed, '{fingerprint.UNITS}')) FROM e)
+), s AS (
+  SELECT r, v, cell, count(*) AS n, sum(d) AS k, sum(g) AS c
+  FROM (SELECT r, v, d, {_hash_sql('d', -1)} AS g, unnest([{_CELL_SQL}]) AS cell FROM u) GROUP BY r, v, cell
+), f AS (
+  SELECT r, v, string_agg(concat_ws('.', cell, n, k, c), ',' ORDER BY cell) AS cells FROM s GROUP BY r, v
+), m AS (SELECT r, v, d, count(*) AS n FROM u GROUP BY r, v, d),
+c AS (SELECT r, v, sum(n) AS n FROM m GROUP BY r, v),
+shared AS (
+  SELECT e.r, sum(least(a.n, b.n)) FILTER (b.v = 1) AS s1, sum(least(a.n, b.n)) FILTER (b.v = 0) AS s2
+  FROM e JOIN m a ON a.r = e.r AND a.v = 0
+  JOIN m b ON b.d = a.d AND ((b.v = 1 AND b.r = e.r) OR (b.v = 0 AND b.r = e.nr)) GROUP BY e.r
+)
+SELECT doc_id, n_chars, sha256(ed) AS edited_sha256,
+  coalesce(c0.n, 0) || ';' || coalesce(f0.cells, '') AS fingerprint,
+  coalesce(c1.n, 0) || ';' || coalesce(f1.cells, '') AS edited_fingerprint,
+  CASE WHEN coalesce(c0.n, 0) + coalesce(c1.n, 0) = 0 THEN 1.0::DOUBLE
+    ELSE (2 * coalesce(s1, 0))::DOUBLE / (coalesce(c0.n, 0) + coalesce(c1.n, 0))::DOUBLE END AS near_edited,
+  CASE WHEN coalesce(c0.n, 0) + coalesce(c2.n, 0) = 0 THEN 1.0::DOUBLE
+    ELSE (2 * coalesce(s2, 0))::DOUBLE / (coalesce(c0.n, 0) + coalesce(c2.n, 0))::DOUBLE END AS near_next
+FROM e LEFT JOIN f f0 ON f0.r = e.r AND f0.v = 0 LEFT JOIN f f1 ON f1.r = e.r AND f1.v = 1
+LEFT JOIN c c0 ON c0.r = e.r AND c0.v = 0 LEFT JOIN c c1 ON c1.r = e.r AND c1.v = 1
+LEFT JOIN c c2 ON c2.r = e.nr AND c2.v = 0 LEFT JOIN shared ON shared.r = e.r
+"""
