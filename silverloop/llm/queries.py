@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silverloop.llm import decontaminate, fingerprint, htmltext, langid, pieces, simhash, substrings, tokenfiles, warczip
+from silverloop.llm import decontaminate, fingerprint, htmltext, langid, pieces, simhash, substrings, tokenfiles, toolcalls, warczip
 from silverloop.llm.common import read, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,59 @@ FROM e LEFT JOIN f f0 ON f0.r = e.r AND f0.v = 0 LEFT JOIN f f1 ON f1.r = e.r AN
 LEFT JOIN c c0 ON c0.r = e.r AND c0.v = 0 LEFT JOIN c c1 ON c1.r = e.r AND c1.v = 1
 LEFT JOIN c c2 ON c2.r = e.nr AND c2.v = 0 LEFT JOIN shared ON shared.r = e.r
 """
+
+
+TOOLS = {
+    "search": {
+        "type": "object",
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "order": {"type": "string", "enum": ["new", "old"]}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "configure": {"type": "object", "properties": {"text": {"type": "string"}, "strict": {"type": "boolean"}}, "required": ["text", "strict"]},
+}
+
+
+@query
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls made of all turns: a user's is a search that the turn after it answers and that follows the
+    user's last; a system's configures, once the first search is done."""
+    turns = read(spark, sf_dir, "conversations")
+    asked = turns.where("role IN ('user', 'system')")
+    name = F.when(F.col("role") == "user", F.lit("search")).otherwise(F.lit("configure"))
+    limit = F.length("text").cast("bigint")
+    search = F.to_json(F.struct(F.col("text").alias("query"), limit.alias("limit"), F.when(limit % 2 == 0, F.lit("new")).otherwise(F.lit("any")).alias("order")))
+    configure = F.to_json(F.struct(F.col("text").alias("text"), F.lit("yes").alias("strict")))
+    after = F.when(F.col("role") == "system", F.col("turn") + 1).otherwise(F.when(F.col("turn") > 1, F.col("turn") - 2))
+    calls = asked.select(
+        "conv_id", F.concat(F.lit("c"), "turn").alias("call_id"), "turn", name.alias("name"), F.when(F.col("role") == "user", search).otherwise(configure).alias("arguments"), F.array(F.concat(F.lit("c"), after)).alias("after")
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    found = toolcalls.link(calls, results, TOOLS)
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
+ORACLES["op10_tool_calls"] = """
+WITH a AS (
+  SELECT conv_id, turn, role, text, 'c' || turn AS id,
+    CASE WHEN role = 'system' THEN turn + 1 WHEN turn > 1 THEN turn - 2 END AS dep, length(text) AS n
+  FROM conversations WHERE role IN ('user', 'system')
+), r AS (SELECT conv_id, 'c' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT a.*, r.text AS result, b.turn AS on_turn
+  FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.id = a.id
+  LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.dep
+)
+SELECT conv_id, id AS call_id, turn, CASE role WHEN 'user' THEN 'search' ELSE 'configure' END AS name,
+  greatest(turn, coalesce(on_turn, turn)) AS ready, CASE WHEN on_turn > turn THEN 1 ELSE 0 END AS depth,
+  CASE WHEN result IS NULL THEN 0 ELSE 1 END AS n_results,
+  concat_ws('; ', CASE WHEN role = 'system' THEN 'strict: not boolean' WHEN n % 2 = 1 THEN 'order: not in enum' END,
+    CASE WHEN dep IS NOT NULL AND on_turn IS NULL THEN 'after: unknown c' || dep END,
+    CASE WHEN result IS NULL THEN 'no result' END) AS errors,
+  '{"arguments":' || CASE role
+      WHEN 'user' THEN '{"limit":' || n || ',"order":"' || CASE WHEN n % 2 = 0 THEN 'new' ELSE 'any' END || '","query":' || to_json(text) || '}'
+      ELSE '{"strict":"yes","text":' || to_json(text) || '}' END
+    || ',"id":"' || id || '","name":"' || CASE role WHEN 'user' THEN 'search' ELSE 'configure' END
+    || '","result":' || coalesce(to_json(result), 'null') || '}' AS line
+FROM j
+"""
