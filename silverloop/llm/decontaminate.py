@@ -185,7 +185,7 @@ def contamination(
     bench = texts_of(items, item_col, item_text, F.lit(0).cast("bigint").alias("_row"))
     side = _fingerprints(bench, gram=gram, span=span, lengths=list(range(1, span)), sent=None, items=True)
     side = side.select("kind", "hash", F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("item_id"), F.col("before").alias("item_before"), F.col("around").alias("item_around")).distinct()
-    hashes = side.select("hash").distinct().limit(max_sent + 1).toPandas()["hash"].to_numpy(np.int64)
+    hashes = side.select("hash").distinct().limit(max_sent + 1).toArrow().column(0).to_numpy()
     lengths = [r.kind for r in side.where("kind > 0").select("kind").distinct().collect()]
     sent = spark.sparkContext.broadcast(np.sort(hashes.view(np.uint64))) if len(hashes) <= max_sent else None
     # written once: the word counts and the hashes to join are read on two ways
@@ -204,3 +204,15 @@ def contamination(
     out = base.join(hits, "_row", "left").select("_id", "n_words", F.coalesce(merged, F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["last"] - x["first"])
     return out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns, whatever their ids.
+
+    Rows are known by a hash of all they hold and one of their text: equal rows have
+    equal fates.
+    """
+    keyed = docs.select(F.xxhash64(*docs.columns).alias("_key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_sum"), F.struct("*").alias("_row_of"))
+    found = contamination(keyed.select(F.struct("_key", "_sum").alias("_pair"), F.col("_row_of")[text_col].alias("_body")), items, "_pair", "_body", **how)
+    hit = found.where("n_hit > 0").select("_pair._key", "_pair._sum").distinct()
+    return keyed.join(hit, ["_key", "_sum"], "left_anti").select("_row_of.*")

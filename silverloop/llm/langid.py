@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from silverloop.llm.common import chunks, texts_of
 
@@ -100,23 +101,16 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_
     names.sort()
     counts = np.ones((len(names), 1 << BUCKET_BITS))
     if names:
-        found = counted.toPandas()
-        np.add.at(counts, (np.searchsorted(np.array(names, object), found["lang"].to_numpy(object)), found["bucket"].to_numpy()), found["n"].to_numpy())
+        lang, bucket, n = (c.to_numpy() for c in counted.toArrow().columns)
+        np.add.at(counts, (np.searchsorted(np.array(names, object), lang), bucket), n)
     logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True)) if names else counts
     return names, np.rint(logs * UNIT).astype(np.int32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred`` and ``score`` for every row, from the text alone.
-
-    ``score`` is the class probability with the evidence scaled to ``EVIDENCE``
-    n-grams. A null text, one without a letter or an empty model gives ``und`` and
-    0. Ties go to the first language. Repeated rows give repeated rows.
-    """
+def _scored(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``rows`` has ``_id`` and ``_text``."""
     names, logs = model
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(logs)
-    rows = texts_of(docs, id_col, text_col)
+    sent = rows.sparkSession.sparkContext.broadcast(logs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = sent.value
@@ -142,5 +136,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 ids = batch.column(batch.schema.get_field_index("_id")).slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(prob)], ["_id", "lang_pred", "score"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    schema = StructType([rows.schema["_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(score, schema)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``lang_pred`` and ``score`` for every row, from the text alone.
+
+    ``score`` is the class probability with the evidence scaled to ``EVIDENCE``
+    n-grams. A null text, one without a letter or an empty model gives ``und`` and
+    0. Ties go to the first language. Repeated rows give repeated rows.
+    """
+    return _scored(texts_of(docs, id_col, text_col), model).withColumnRenamed("_id", id_col)
+
+
+def filtered(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with ``min_score`` or more, with all their columns.
+
+    The other columns go to the tasks and back as they are, so nothing is joined.
+    """
+    kept = docs.select(F.struct("*").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _scored(kept, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_id.*")

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from silverloop.llm.common import chunks, groups, ragged, texts_of
 
@@ -244,31 +245,21 @@ def _repeats(rows: DataFrame, shared, window: int, rounds: int, bits: int) -> Da
     return found.mapInArrow(compare, f"_id {kind}, _t int, first bigint, n bigint")
 
 
-def repeated_words(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, filter_bits: int = FILTER_BITS
-) -> DataFrame:
-    """Per row: ``id_col``, ``n_words``, ``n_removed``, ``kept`` (text of the kept words, joined by a space) and ``kept_sha256``.
-
-    A word goes if a window of ``window`` consecutive words of one text that covers it
-    has the same words as a window that starts anywhere else. Null and wordless texts
-    have no words. Repeated rows are copies of each other and all windows of theirs
-    are repeats. Rows of equal id and text have equal results. An empty table gives an
-    empty result.
-    """
+def _cut(rows: DataFrame, window: int, rounds: int, filter_bits: int) -> DataFrame:
+    """``_id``, ``_with``, ``n_words``, ``n_removed``, ``kept``, ``kept_sha256`` per row of ``_id``, ``_text`` and ``_with``."""
     if window < 2:
         raise ValueError("a window has two words or more")
-    spark = docs.sparkSession
     mark = F.xxhash64("_text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_t")
-    rows = texts_of(docs, id_col, text_col).select("*", mark)
-    shared = spark.sparkContext.broadcast(_shared_filter(rows, window, rounds, filter_bits))
-    runs = _repeats(rows, shared, window, rounds, filter_bits)
+    rows = rows.select("_id", "_text", "_with", mark)
+    narrow = rows.select("_id", "_text", "_t")
+    shared = rows.sparkSession.sparkContext.broadcast(_shared_filter(narrow, window, rounds, filter_bits))
+    runs = _repeats(narrow, shared, window, rounds, filter_bits)
     runs = runs.groupBy(F.col("_id").alias("_r"), F.col("_t").alias("_rt")).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     both = rows.join(runs.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_t") == F.col("_rt")), "left")
-    kind = rows.schema["_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, runs_of = (batch.column(batch.schema.get_field_index(c)) for c in ("_id", "runs"))
+            ids, more, runs_of = (batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_with", "runs"))
             for begin, last, texts in chunks(batch):
                 n_words, n_removed, kept, digests = [], [], [], []
                 for t, found in zip(texts, runs_of.slice(begin, last - begin).to_pylist(), strict=True):
@@ -279,14 +270,42 @@ def repeated_words(
                         first, n = (np.array([x[c] for x in found]) for c in ("first", "n"))
                         np.add.at(change, first, 1)
                         np.add.at(change, first + n - 1 + window, -1)
-                        stays = np.cumsum(change)[:-1] == 0
-                        words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]
                     n_removed.append(n_words[-1] - len(words))
                     left = b" ".join(words)
                     kept.append(left.decode())
                     digests.append(hashlib.sha256(left).hexdigest())
-                arrays = [ids.slice(begin, last - begin), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["_id", "n_words", "n_removed", "kept", "kept_sha256"])
+                here = slice(begin, last)
+                arrays = [ids[here], more[here], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["_id", "_with", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    out = both.select("_id", "_text", "runs").mapInArrow(cut, f"_id {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
-    return out.withColumnRenamed("_id", id_col)
+    schema = StructType([*rows.select("_id", "_with").schema, *(StructField(c, LongType()) for c in ("n_words", "n_removed")), *(StructField(c, StringType()) for c in ("kept", "kept_sha256"))])
+    return both.select("_id", "_with", "_text", "runs").mapInArrow(cut, schema)
+
+
+def repeated_words(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """Per row: ``id_col``, ``n_words``, ``n_removed``, ``kept`` (text of the kept words, joined by a space) and ``kept_sha256``.
+
+    A word goes if a window of ``window`` consecutive words of one text that covers it
+    has the same words as a window that starts anywhere else. Null and wordless texts
+    have no words. Repeated rows are copies of each other and all windows of theirs
+    are repeats. Rows of equal id and text have equal results. An empty table gives an
+    empty result.
+    """
+    rows = texts_of(docs, id_col, text_col, F.lit(0).alias("_with"))
+    return _cut(rows, window, rounds, filter_bits).drop("_with").withColumnRenamed("_id", id_col)
+
+
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """The rows of ``docs`` with ``text_col`` cut as ``repeated_words`` says, and all their other columns.
+
+    A text without repeats stays to the letter; a row with nothing left of it goes.
+    """
+    whole = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct("*").alias("_with"))
+    found = _cut(whole, window, rounds, filter_bits).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("_with")[text_col]).otherwise(F.col("kept"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("_with")[c].alias(c) for c in docs.columns])
