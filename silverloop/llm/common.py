@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silverloop.session import new_path, stage_table
+
 # Code points one step of a task works on at a time; a longer text is a step of its own.
 CHUNK_CHARS = 2_000_000
 # Rows of one Arrow batch: whole texts are long, so batches are kept short.
@@ -23,18 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{named.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder all executors share."""
+    return new_path(spark, f"llm-{name}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, which survive lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage_table(df, f"llm-{name}")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -54,31 +50,36 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_CHARS) -> Iterator[tuple[in
         first = last
 
 
-def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in a stream sorted by these keys."""
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """A stream sorted by ``key`` in tables of about ``rows`` rows that part no group of equal keys."""
     held: list[pa.RecordBatch] = []
-    held_key = None
+    n = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        change[0] = True
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], batch.num_rows)
-        for a, b in zip(starts, ends, strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != held_key:
-                yield pa.Table.from_batches(held)
-                held = []
-            held_key = key
-            held.append(batch.slice(a, b - a))
-    if held:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            values = table.column(key).to_numpy()
+            cut = int(np.searchsorted(values, values[-1], side="left"))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            n -= cut
+    if n:
         yield pa.Table.from_batches(held)
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every (start, length), one after another."""
     total = int(lengths.sum())

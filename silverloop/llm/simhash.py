@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverloop.llm.common import chunks, groups, stage, texts_of
+from silverloop.llm.common import chunks, runs, stage, texts_of, whole_groups
 
 BITS = 64
 SHINGLE = 4
@@ -132,13 +132,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
             break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["choice", "bits"]):
-            if table.num_rows > 1:
-                u, v = bk_links(table.column("fp").to_numpy().view(np.uint64), radius)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    return sharded.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "u bigint, v bigint")
+        for table in whole_groups(batches, "bits", 100_000):
+            choice, bits, fp = (table.column(c).to_numpy() for c in ("choice", "bits", "fp"))
+            starts = runs(bits, choice)
+            found = [bk_links(fp[a:b].view(np.uint64), radius) for a, b in zip(starts, np.append(starts[1:], len(fp)), strict=True) if b - a > 1]
+            if found:
+                u, v = (pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+
+    return sharded.repartition("choice", "bits").sortWithinPartitions("bits", "choice").mapInArrow(run, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from silverloop.llm.common import chunks, groups, ragged, texts_of
+from silverloop.llm.common import chunks, ragged, runs, texts_of, whole_groups
 
 WINDOW = 35
-ROUNDS = 7
+ROUNDS = 6
 FILTER_BITS = 27
 # Run keys a task remembers; beyond it forgets and sends more rows.
 REMEMBERED = 1_000_000
@@ -152,7 +152,8 @@ def _window_hashes(words: np.ndarray, window: int) -> np.ndarray:
 
 
 def _candidates(texts: list[str], shared: np.ndarray, window: int, rounds: int, bits: int):
-    """Runs of windows that may be elsewhere: name, text, first word, number, and the hashes of all of them."""
+    """Runs of windows that may be elsewhere: name, text, first word, number, place of the first of their hashes,
+    hashes of all windows, and whether those of a run are equal."""
     words, counts = _words(texts)
     n = len(words) - window + 1
     if n <= 0:
@@ -179,13 +180,13 @@ def _candidates(texts: list[str], shared: np.ndarray, window: int, rounds: int,
         return None
     hashes = _window_hashes(words, window)[here]
     top = best[here]
-    # a window without a symbol goes under its own hash
+    # a window without a symbol goes under its own hash; such windows in a row are equal inside a run of one word
     name = np.where(top < 0, hashes, names[top] if len(names) else hashes)
-    new = np.append(True, (here[1:] != here[:-1] + 1) | (top[1:] != top[:-1]) | (top[1:] < 0))
+    new = np.append(True, (here[1:] != here[:-1] + 1) | (top[1:] != top[:-1]) | ((top[1:] < 0) & (hashes[1:] != hashes[:-1])))
     cut = np.flatnonzero(new)
     length = np.diff(np.append(cut, len(here)))
     text = owner[here[cut]]
-    return name[cut], text, here[cut] - begins[text], length, cut, hashes
+    return name[cut], text, here[cut] - begins[text], length, cut, hashes, (top[cut] < 0) & (length > 1)
 
 
 
@@ -204,37 +205,43 @@ def _repeats(rows: DataFrame, shared, window: int, rounds: int, bits: int) -> Da
                 got = _candidates(texts, shared.value, window, rounds, bits)
                 if got is None:
                     continue
-                name, text, first, length, cut, hashes = got
-                keys = _mix(_mix(hashes[cut] * _ODD + hashes[cut + length - 1]) + length.astype(np.uint64)).tolist()
+                name, text, first, length, cut, hashes, equal = got
+                sent = np.where(equal, 1, length)  # hashes that say it all
+                keys = _mix(_mix(hashes[cut] * _ODD + hashes[cut + length - 1]) + sent.astype(np.uint64) * 2 + equal).tolist()
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 times = np.empty(len(keys), np.int64)
-                for i, k in enumerate(keys):
-                    times[i] = seen[k] = seen.get(k, 0) + 1
-                # met once: to be compared; again: a copy, told once more without its place to those elsewhere
+                for i, (k, e) in enumerate(zip(keys, equal.tolist(), strict=True)):
+                    times[i] = seen[k] = seen.get(k, int(e)) + 1
+                # met once: to be compared; again, or equal to each other: copies, told once without a place to those elsewhere
                 for rows_of, with_id, with_hashes in ((times == 1, True, True), (times == 2, False, True), (times > 1, True, False)):
                     at = np.flatnonzero(rows_of)
                     if not len(at):
                         continue
-                    n = length[at] if with_hashes else np.zeros(len(at), np.int64)
+                    n = sent[at] if with_hashes else np.zeros(len(at), np.int64)
                     lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(hashes[ragged(cut[at], n)].view(np.int64)))
                     where = pa.array(begin + text[at]) if with_id else pa.nulls(len(at), pa.int64())
                     at_id, at_mark = ids.take(where), marks.take(where)
                     yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), at_id, at_mark, pa.array(first[at] if with_id else np.full(len(at), -1)), pa.array(length[at]), lists], ["name", "_id", "_t", "first", "n", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["name"]):
+        for table in whole_groups(batches, "name", 50_000):
             first, n = (table.column(c).to_numpy() for c in ("first", "n"))
             lists = table.column("hashes").combine_chunks()
-            sizes = np.diff(lists.offsets.to_numpy())
-            hashes = lists.flatten().to_numpy()
+            offsets = lists.offsets.to_numpy()
+            sizes = np.diff(offsets)
+            hashes = lists.values.to_numpy()[offsets[0] : offsets[-1]]
             told = np.flatnonzero((sizes == 0) & (first >= 0))
             row = np.repeat(np.arange(len(n)), sizes)
             place = np.repeat(first, sizes) + ragged(np.zeros(len(sizes), np.int64), sizes)
-            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            hit = (times[back] > 1) & (first[row] >= 0) if len(hashes) else np.zeros(0, bool)
+            order = np.argsort(hashes, kind="stable")
+            begin = runs(hashes[order])
+            times = np.diff(np.append(begin, len(order)))
+            often = np.zeros(len(order), bool)
+            often[order] = np.repeat(times > 1, times)
+            hit = often & (first[row] >= 0)
             row, place = row[hit], place[hit]
-            cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))) if len(row) else np.empty(0, np.int64)
+            cut = runs(row, place - np.arange(len(place)))
             at = np.append(told, row[cut])
             if len(at):
                 out = table.select(["_id", "_t"]).take(pa.array(at)).combine_chunks().to_batches()[0]
