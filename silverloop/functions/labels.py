@@ -14,14 +14,17 @@ NEGATIVE_WORDS = ["0", "false", "not_green", "no", "n"]
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
-# Spaces at either end, all Unicode kinds and the ASCII separators.
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Fixed value: white space of all Unicode kinds and the ASCII separators.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _INFINITY = float("inf")
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, _OUTER_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def text_or_empty(c: Column, literal_null: bool = False) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from silverloop.functions.labels import strip
 
 # Patterns and words of the reply formats.
-FIRST_OBJECT = r"(?s)\{.*?\}"
 LABEL_TOKEN = r'(?U)("label"\s*:\s*([01]))|(\b([01])\b)'
 LABEL_FIELD = r'(?U)"label"\s*:\s*([01])'
 CONFIDENCE_FIELD = r'(?U)"confidence"\s*:\s*"(low|medium|high)"'
@@ -23,13 +22,24 @@ _BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 _INTEGER = r"^[+-]?[0-9]+$"
 
 
+def _first_block(reply: Column) -> Column:
+    """From the first opening brace to the first closing one after it, else null.
+
+    Two searches, so a reply of many lone braces takes no longer than its length.
+    """
+    begin = F.position(F.lit("{"), reply)
+    end = F.position(F.lit("}"), reply, F.greatest(begin, F.lit(1)))
+    return F.when((begin > 0) & (end > 0), F.substring(reply, begin, end - begin + 1))
+
+
 def _empty_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def _last_line_value(reply: Column, key: str) -> Column:
     """What follows ``key:`` on the last line that starts with it, or ``""``."""
-    pattern = rf"(?is)^(?:.*[{_BREAKS}])?(?U:\s*){key}:([^{_BREAKS}]*)"
+    # The space before a key is that of its own line: over line breaks it would be gone through again from each.
+    pattern = rf"(?is)^(?:.*[{_BREAKS}])?(?U:[\s&&[^{_BREAKS}]]*){key}:([^{_BREAKS}]*)"
     return strip(F.regexp_extract(reply, pattern, 1))
 
 
@@ -62,7 +72,7 @@ def _whole_json(text: Column) -> Column:
 
 def first_json_object(reply: Column) -> Column:
     """``VARIANT`` of the first ``{…}``; failing that of the whole text in braces."""
-    block = _empty_to_null(F.regexp_extract(reply, FIRST_OBJECT, 0))
+    block = _first_block(reply)
     text = strip(reply)
     opened = F.when(text.startswith("{"), text).otherwise(F.concat(F.lit("{"), text))
     closed = F.when(opened.endswith("}"), opened).otherwise(F.concat(opened, F.lit("}")))
@@ -125,7 +135,7 @@ def json_reply(reply: Column, obj: Column | None = None) -> Column:
 
 def salvaged_json(reply: Column) -> Column:
     """``VARIANT`` of a judge reply, rebuilt from its fields where braces are missing."""
-    block = _empty_to_null(F.regexp_extract(reply, FIRST_OBJECT, 0))
+    block = _first_block(reply)
     label = _empty_to_null(F.regexp_extract(reply, LABEL_FIELD, 1))
     confidence = _empty_to_null(F.regexp_extract(reply, CONFIDENCE_FIELD, 1))
     rationale = F.when(reply.rlike(RATIONALE_FIELD), F.regexp_extract(reply, RATIONALE_FIELD, 1))

@@ -21,7 +21,8 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from silverloop.contracts import require_rows
 from silverloop.functions.labels import text_or_empty
 from silverloop.operators.metrics import metric_rows
-from silverloop.operators.text import TOKEN_SPACE
+from silverloop.operators.text import TOKEN_SPACE, tokens_of
+from silverloop.operators.vectors import masked_mean_pool
 from silverloop.session import stage_table
 
 # Texts per encoder call, solver steps, inverse penalty.
@@ -33,11 +34,11 @@ C = 1.0
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
-def hashed_mean_encoder(dim: int = 16, max_tokens: int = 256) -> Encoder:
+def hashed_mean_encoder(dim: int = 16, max_tokens: int | None = None) -> Encoder:
     """Mean of one-hot token vectors; a token's slot comes from its md5.
 
-    The stand-in where no model runtime is at hand. Token limits are part of an
-    encoder, so the text itself is passed to it whole.
+    The stand-in where no model runtime is at hand. ``max_tokens`` makes it one that
+    reads so many tokens only; give such an encoder windows (``embed_documents``).
     """
     word = re.compile(f"[^{TOKEN_SPACE}]+")
 
@@ -85,6 +86,32 @@ def embed_batches(
     return spread.withColumn("_text", text_or_empty(F.col(text))).mapInPandas(run, schema)
 
 
+def embed_documents(
+    df: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    key: str = "doc_id",
+    text: str = "text",
+    out: str = "embedding",
+    window: int = 256,
+    batch: int = ENCODE_BATCH,
+    tasks: int | None = None,
+) -> DataFrame:
+    """(``key``, ``out``) of whole texts by an encoder that reads ``window`` tokens at once.
+
+    Every text is cut into windows, each is encoded, and the vectors are averaged by
+    their tokens. ``key`` is unique; a text without tokens is one empty window with
+    no weight, so its vector is 0. Only vectors are shuffled.
+    """
+    tokens = df.select(key, tokens_of(text_or_empty(F.col(text))).alias("_tokens"))
+    last = F.greatest(F.ceil(F.size("_tokens") / window).cast("int") - 1, F.lit(0))
+    cut = tokens.select(
+        key, F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_tokens", i * window + 1, window))).alias("_part")
+    )
+    windows = cut.select(key, F.array_join("_part", " ").alias("_window"), F.size("_part").alias("_n"))
+    vectors = embed_batches(windows, make_encoder, "_window", "_vector", batch, tasks)
+    return masked_mean_pool(vectors, key, "_n", "_vector", out)
+
+
 def fit_logreg(
     df: DataFrame,
     vector: str = "embedding",

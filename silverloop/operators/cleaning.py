@@ -14,7 +14,7 @@ from silverloop.functions import labels
 
 # The column names of the two working tables.
 CORPUS_COLUMNS = ["id", "text", "is_green_silver", "split"]
-REVIEW_COLUMNS = ["llm_green_suggested", "llm_confidence", "llm_rationale", "is_green_human"]
+REVIEW_COLUMNS = ["llm_green_suggested", "llm_confidence", "llm_rationale", "is_green_human", "human_notes"]
 
 
 def prefix_columns(df: DataFrame, prefix: str) -> list[str]:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -23,8 +24,7 @@ from silverloop.session import stage_table
 
 Generate = Callable[[list[str]], list[str]]
 
-# Most rows that a capped evaluation scores; the answer columns.
-EVAL_ROWS = 2000
+# The answer columns.
 ANSWER_COLUMNS = ("qlora_label", "qlora_rationale", "qlora_raw", "qlora_json_ok")
 
 
@@ -69,7 +69,7 @@ def batch_generate(
 
 
 def label_rows(df: DataFrame, make_model: Callable[[], Generate], text: str = "text") -> DataFrame:
-    """Fill the suggestion columns of review rows from the labeller's replies."""
+    """Fill the suggestion columns of review rows from the labeller's replies; ``llm_raw`` is the whole reply."""
     asked = df.withColumn("_prompt", prompts.render_named("labeller", claim=labels.text_or_empty(F.col(text))))
     parsed = parse_kv_response(batch_generate(asked, make_model, "_prompt", "_reply"), "_reply")
     filled = parsed.withColumns(
@@ -77,47 +77,83 @@ def label_rows(df: DataFrame, make_model: Callable[[], Generate], text: str = "t
             "llm_green_suggested": F.col("label"),
             "llm_confidence": F.col("confidence"),
             "llm_rationale": F.col("rationale"),
+            "llm_raw": F.col("_reply"),
         }
     )
     return filled.drop("_prompt", "_reply", "label", "confidence", "rationale")
 
 
+def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows an earlier run has left at a path, or None."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def resumed(
+    rows: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame], slices: int = 16
+) -> DataFrame:
+    """``make(rows)`` written to ``path`` in slices by key; a run that starts again makes only keys not there yet.
+
+    A failed run loses the slice it was in. ``key`` is unique and not null.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(slices))
+    for i in range(slices):
+        todo, at = rows.where(part == i), f"{path}/slice={i}"
+        made = make(todo)
+        done = _written(rows.sparkSession, at, made.schema)
+        if done is not None:
+            made = make(todo.join(done.select(key), key, "left_anti"))
+        made.write.mode("append").parquet(at)
+    return rows.sparkSession.read.schema(made.schema).parquet(*[f"{path}/slice={i}" for i in range(slices)])
+
+
 def debate(
     df: DataFrame,
     models: Mapping[str, Callable[[], Generate]],
     text: str = "text",
     stage: bool = True,
     tasks: int | None = None,
+    run: str | None = None,
+    key: str = "doc_id",
+    slices: int = 16,
 ) -> DataFrame:
     """Advocate and skeptic argue, the judge decides, the verdict becomes columns.
 
     ``models`` has one factory each for ``advocate``, ``skeptic`` and ``judge``.
     With ``stage`` (the default) this writes two tables to the shared folder: the
     arguments, and the judge's replies. ``tasks`` spreads the rows before the first
-    model.
+    model. With ``run``, a path of the caller's, they are written there in slices
+    by ``key``, and a run that starts again goes on from what is there.
     """
     require_columns(df, [text])
     if tasks:
         df = df.repartition(tasks)
     keep: Callable[[DataFrame, str], DataFrame] = stage_table if stage else (lambda d, _: d)
     claim = labels.text_or_empty(F.col(text), literal_null=True)
-    asked = df.withColumns(
-        {
-            "_advocate": prompts.render_named("advocate", claim=claim),
-            "_skeptic": prompts.render_named("skeptic", claim=claim),
-        }
-    )
-    argued = batch_generate(asked, models["advocate"], "_advocate", "agent1_advocate")
-    argued = batch_generate(argued, models["skeptic"], "_skeptic", "agent2_skeptic").drop("_advocate", "_skeptic")
-    argued = keep(argued, "debate-arguments")
-    judged = argued.withColumn(
-        "_judge",
-        prompts.render_named(
-            "judge", claim=claim, advocate=F.col("agent1_advocate"), skeptic=F.col("agent2_skeptic")
-        ),
-    )
-    judged = batch_generate(judged, models["judge"], "_judge", "judge_json").drop("_judge")
-    return judge_columns(keep(judged, "debate-verdicts"))
+
+    def argue(rows: DataFrame) -> DataFrame:
+        asked = rows.withColumns(
+            {
+                "_advocate": prompts.render_named("advocate", claim=claim),
+                "_skeptic": prompts.render_named("skeptic", claim=claim),
+            }
+        )
+        argued = batch_generate(asked, models["advocate"], "_advocate", "agent1_advocate")
+        return batch_generate(argued, models["skeptic"], "_skeptic", "agent2_skeptic").drop("_advocate", "_skeptic")
+
+    def decide(argued: DataFrame) -> DataFrame:
+        said = {"advocate": F.col("agent1_advocate"), "skeptic": F.col("agent2_skeptic")}
+        asked = argued.withColumn("_judge", prompts.render_named("judge", claim=claim, **said))
+        return batch_generate(asked, models["judge"], "_judge", "judge_json").drop("_judge")
+
+    if run:
+        argued = resumed(df, f"{run}/arguments", key, argue, slices)
+        return judge_columns(resumed(argued, f"{run}/verdicts", key, decide, slices))
+    return judge_columns(keep(decide(keep(argue(df), "debate-arguments")), "debate-verdicts"))
 
 
 def _answered(df: DataFrame, make_model: Callable[[], Generate], text: str, names: tuple[str, str, str, str]) -> DataFrame:
@@ -140,19 +176,23 @@ def evaluate_capped(
     key: str = "id",
     text: str = "text",
     gold: str = "is_green_silver",
-    max_rows: int | None = EVAL_ROWS,
+    max_rows: int | None = None,
     seed: int = 42,
     on_unparsed: str = "zero",
+    stage: bool = True,
 ) -> DataFrame:
-    """Predictions (``key``, ``y_true``, ``y_pred``, ``label``, ``ok``) on at most ``max_rows`` rows.
+    """Predictions (``key``, ``y_true``, ``y_pred``, ``label``, ``ok``) on all rows, or ``max_rows`` by seeded order.
 
     The rows are complete and have a readable gold label. Feed the result to the
-    metrics; ``label`` and ``ok`` go to ``parse_quality``.
+    metrics; ``label`` and ``ok`` go to ``parse_quality``. With ``stage`` the answers
+    are written once to the shared folder, however many readers they have.
     """
     complete = drop_incomplete(df.select(key, text, gold), [text, gold])
     typed = complete.withColumn("y_true", labels.to_int01(F.col(gold)))
     chosen = cap_sample(drop_incomplete(typed, ["y_true"]), max_rows, key, seed)
     answered = _answered(chosen, make_model, text, ("label", "rationale", "raw", "ok"))
+    if stage:
+        answered = stage_table(answered.drop(text), "evaluated")
     return answered.select(key, "y_true", _on_unparsed(F.col("label"), on_unparsed).alias("y_pred"), "label", "ok")
 
 
@@ -162,11 +202,18 @@ def predict_and_score(
     text: str = "text",
     gold: str = "is_green_human",
     on_unparsed: str = "null",
+    stage: bool = True,
 ) -> DataFrame:
-    """All rows with ``gold01``, ``qlora_label``, ``qlora_rationale``, ``qlora_raw``, ``qlora_json_ok``."""
+    """All rows with ``gold01``, ``qlora_label``, ``qlora_rationale``, ``qlora_raw``, ``qlora_json_ok``.
+
+    With ``stage`` they are written once to the shared folder; else every reader
+    asks the model again.
+    """
     require_columns(df, [text, gold])
     typed = df.withColumn("gold01", labels.to_int01(F.col(gold)))
     answered = _answered(typed, make_model, text, ANSWER_COLUMNS)
+    if stage:
+        answered = stage_table(answered, "answers")
     return answered.withColumn("qlora_label", _on_unparsed(F.col("qlora_label"), on_unparsed))
 
 

@@ -90,25 +90,20 @@ def embedding_align(
     """Attach a vector to every row by id.
 
     A repeated vector id fails the run. A row without a vector fails it too, or
-    is left out with ``on_missing='drop'``.
+    is left out with ``on_missing='drop'``. Ids alone are counted; vectors are not
+    grouped.
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing must be 'error' or 'drop', not {on_missing!r}")
-    repeated = F.raise_error(F.concat(F.lit("more than one vector for id "), F.col(vector_key).cast("string")))
-    unique = (
-        vectors.groupBy(vector_key)
-        .agg(F.first(vector).alias(vector), F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col(vector_key).alias("_vid"),
-            F.when(F.col("_n") > 1, repeated.cast(vectors.schema[vector].dataType)).otherwise(F.col(vector)).alias(vector),
-        )
-    )
-    if on_missing == "drop":
-        return df.join(unique, df[key] == unique["_vid"]).drop("_vid")
-    absent = F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    joined = df.join(unique, df[key] == unique["_vid"], "left")
-    checked = F.when(F.col("_vid").isNull(), absent.cast(vectors.schema[vector].dataType)).otherwise(F.col(vector))
-    return joined.withColumn(vector, checked).drop("_vid")
+    twice = vectors.groupBy(vector_key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = twice.agg(F.min(vector_key).cast("string")).scalar()
+    kind = vectors.schema[vector].dataType
+    named = vectors.select(F.col(vector_key).alias("_vid"), F.col(vector).alias("_vector"))
+    joined = df.join(named, F.col(key) == F.col("_vid"), "inner" if on_missing == "drop" else "left")
+    copies = F.raise_error(F.concat(F.lit("more than one vector for id "), repeated)).cast(kind)
+    absent = F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(kind)
+    checked = F.when(repeated.isNotNull(), copies).when(F.col("_vid").isNull(), absent).otherwise(F.col("_vector"))
+    return joined.withColumn(vector, checked).drop("_vid", "_vector")
 
 
 def token_lookup(

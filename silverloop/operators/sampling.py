@@ -24,7 +24,11 @@ BUCKET_DIGITS = 4
 def seeded_key(seed: int, key: str | Sequence[str]) -> Column:
     """The hash that rows are ordered by."""
     names = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in names]))
+    if len(names) > 1:  # a null is not the same as nothing: it keeps its place among the parts
+        parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in names]
+    else:
+        parts = [F.col(k).cast("string") for k in names]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def _bucket_counts(df: DataFrame, order: Column, cls: Column | None, digits: int) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +92,14 @@ def hash_cuts(
     return hits.agg(F.map_from_entries(F.collect_list(F.struct("cut", "h")))).scalar()
 
 
+def _class_name(label: Column, classes: Sequence) -> Column:
+    """The class a label equals, as the text its cut goes by; null for any other label.
+
+    Compared as values: 1, 1.0 and "1" are one class.
+    """
+    return F.coalesce(*[F.when(label == F.lit(c), F.lit(str(c))) for c in classes])
+
+
 def _cut(cuts: Column, name: str | Column) -> Column:
     return F.try_element_at(cuts, F.lit(name) if isinstance(name, str) else name)
 
@@ -98,14 +110,16 @@ def _inside(order: Column, cuts: Column, name: str | Column) -> Column:
 
 
 def dedupe_keep_last(df: DataFrame, key: str | Sequence[str], position: str) -> DataFrame:
-    """One row per key: the one with the greatest position.
+    """One row per key: the one with the greatest position, a null one being the least.
 
     An aggregate, not a window, so a key with many copies is reduced before the
     shuffle.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
-    latest = F.max_by(F.struct(*rest), F.col(position)).alias("row")
+    # A null position is before any other; rows of equal position go by a hash of what they hold.
+    order = F.struct(F.col(position).isNotNull(), F.col(position), F.xxhash64(*rest))
+    latest = F.max_by(F.struct(*rest), order).alias("row")
     return df.groupBy(*keys).agg(latest).select(*[f"row.{c}" if c in rest else c for c in df.columns])
 
 
@@ -118,16 +132,16 @@ def class_sample(
     df: DataFrame, label: str, n: int, key: str, seed: int = 42, classes: Sequence = (0, 1)
 ) -> DataFrame:
     """Exactly ``n`` rows of each class; running it fails where a class has fewer."""
-    order = seeded_key(seed, key)
+    order, name = seeded_key(seed, key), _class_name(F.col(label), classes)
     known = df.where(F.col(label).isin(list(classes)))
-    cuts = hash_cuts(known, order, lambda t: {f"{c}/n": F.lit(n) for c in classes}, F.col(label), classes)
+    cuts = hash_cuts(known, order, lambda t: {f"{c}/n": F.lit(n) for c in classes}, name, classes)
 
     counted = known.agg(*[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(classes)])
     enough = F.lit(True)
     for i, c in enumerate(classes):
         message = F.format_string(f"class {c} has %d rows, fewer than {n}", f"n{i}")
         enough = F.when(F.col(f"n{i}") < n, F.raise_error(message).cast("boolean")).otherwise(enough)
-    inside = _inside(order, cuts, F.concat(F.col(label).cast("string"), F.lit("/n")))
+    inside = _inside(order, cuts, F.concat(name, F.lit("/n")))
     return known.where(counted.select(enough).scalar() & inside)
 
 
@@ -179,7 +193,7 @@ def stratified_split(
 
     ceil(fraction x n) rows are test rows. Each class gets the whole part of its
     share; the rows left over go to the largest remainders, then to the class
-    named first.
+    named first. Rows of no named class, null labels among them, have a null part.
     """
 
     def targets(totals: list[Column]) -> dict[str, Column]:
@@ -199,11 +213,10 @@ def stratified_split(
             wants[f"{c}/test"] = whole[i] + (place < left_over).cast("int")
         return wants
 
-    order = seeded_key(seed, key)
-    known = df.where(F.col(label).isin(list(classes)))
-    cuts = hash_cuts(known, order, targets, F.col(label), classes)
-    is_test = _inside(order, cuts, F.concat(F.col(label).cast("string"), F.lit("/test")))
-    return known.withColumn(out, F.when(is_test, "test").otherwise("train"))
+    order, name = seeded_key(seed, key), _class_name(F.col(label), classes)
+    cuts = hash_cuts(df.where(name.isNotNull()), order, targets, name, classes)
+    is_test = _inside(order, cuts, F.concat(name, F.lit("/test")))
+    return df.withColumn(out, F.when(name.isNull(), F.lit(None)).when(is_test, "test").otherwise("train"))
 
 
 def running_total(

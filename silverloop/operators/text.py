@@ -15,7 +15,7 @@ from silverloop.operators.sampling import BUCKET_DIGITS, cap_sample, running_tot
 TOKEN_SPACE = " \t\n\r\f"
 
 # Token limits of the texts in use.
-MAX_TOKENS = {"encoder": 256, "labeller": 2048, "debate": 3072, "pack": 512}
+MAX_TOKENS = {"encoder": 256, "pack": 512}
 
 
 def tokens_of(text: Column) -> Column:
@@ -35,20 +35,19 @@ def collect_messages(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    part_turns: int = 64,
+    part_turns: int | None = None,
 ) -> DataFrame:
-    """Turns to ordered message arrays, one row per conversation part.
+    """Turns to ordered message arrays, one row per conversation.
 
-    A part covers ``part_turns`` turn numbers, so an endless conversation spreads
-    over many tasks and no array grows with it; a system turn goes to the part of
-    the turn it introduces. Joined in part order the parts are the conversation.
+    A conversation is one string in the end, so it has to fit into a row. Where one
+    may not, ``part_turns`` makes a row (``part``) of so many turn numbers each; a
+    system turn goes to the part of the turn it introduces, and joined in part order
+    the parts are the conversation.
     """
     place = F.col(turn) + (F.col(role) == "system").cast("int")
     message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    return (
-        df.groupBy(conversation, F.floor(place / part_turns).alias("part"))
-        .agg(F.sort_array(F.collect_list(message)).alias("messages"))
-    )
+    parts = [F.floor(place / part_turns).alias("part")] if part_turns else []
+    return df.groupBy(conversation, *parts).agg(F.sort_array(F.collect_list(message)).alias("messages"))
 
 
 def chat_render(df: DataFrame, messages: str = "messages", out: str = "chat") -> DataFrame:

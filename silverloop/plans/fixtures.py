@@ -113,6 +113,8 @@ FROM {events} GROUP BY user_id"""
 # A linear model over 64 dimensions.
 WEIGHTS = [((i * 7) % 13 - 6) / 10 for i in range(64)]
 INTERCEPT = 0.05
+# The same for vectors made of texts, which have 16 slots.
+TEXT_WEIGHTS = WEIGHTS[:16]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -150,7 +150,7 @@ ORACLES["text_or_empty"] = f"SELECT id, coalesce(text, '') AS text FROM {CORPUS}
 ORACLES["drop_incomplete"] = f"""SELECT id, text, is_green_silver, split FROM {CORPUS}
 WHERE text IS NOT NULL AND is_green_silver IS NOT NULL"""
 ORACLES["ensure_columns"] = f"""SELECT doc_id, llm_confidence, '' AS llm_green_suggested, '' AS llm_rationale,
-  '' AS is_green_human, false AS parse_failed FROM {REVIEW_LIST}"""
+  '' AS is_green_human, '' AS human_notes, false AS parse_failed FROM {REVIEW_LIST}"""
 ORACLES["pending_filter"] = f"""SELECT doc_id, llm_green_suggested, llm_confidence, llm_rationale FROM {REVIEW_LIST}
 WHERE NOT (coalesce(llm_green_suggested, '') IN ('0', '1') AND coalesce(llm_confidence, '') <> ''
   AND coalesce(llm_rationale, '') <> '')"""
@@ -240,11 +240,10 @@ ORACLES["render_prompt"] = f"""SELECT doc_id, {filled(_TEMPLATE['labeller'], cla
   {filled(_TEMPLATE['classifier'], claim='text')} AS classifier FROM documents"""
 ORACLES["chat_render"] = """WITH m AS (SELECT conv_id, turn, role, text,
   lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-SELECT conv_id, CAST(floor((turn + CASE WHEN role = 'system' THEN 1 ELSE 0 END) / 4) AS BIGINT) AS part,
-  string_agg(CASE role WHEN 'system' THEN '[INST] ' || text || E'\\n\\n'
+SELECT conv_id, string_agg(CASE role WHEN 'system' THEN '[INST] ' || text || E'\\n\\n'
     WHEN 'user' THEN CASE WHEN before = 'system' THEN '' ELSE '[INST] ' END || text || ' [/INST]'
     ELSE ' ' || text || '</s>' END, '' ORDER BY turn) AS chat
-FROM m GROUP BY 1, 2"""
+FROM m GROUP BY 1"""
 _TARGET = f"CASE WHEN label01 = 1 THEN {lit(prompts.TARGET_GREEN)} ELSE {lit(prompts.TARGET_NOT_GREEN)} END"
 ORACLES["sft_target"] = f"""SELECT id, {_TARGET} AS target
 FROM (SELECT id, {int01('is_green_silver')} AS label01 FROM {CORPUS}) WHERE label01 IS NOT NULL"""
@@ -338,11 +337,15 @@ ORACLES["masked_mean_pool"] = f"""WITH t AS (SELECT * FROM {fx.sql(fx.TOKENS)}),
 m AS (SELECT doc_id, sum(mask) AS n FROM t GROUP BY 1),
 d AS (SELECT doc_id, i, sum(mask * CAST(vec[i] AS DOUBLE)) AS s FROM t, generate_series(1, 64) g(i) GROUP BY 1, 2)
 SELECT doc_id, list({r6('s / greatest(CAST(n AS DOUBLE), 1e-9)')} ORDER BY i) AS pooled FROM d JOIN m USING (doc_id) GROUP BY 1"""
-ORACLES["embed_batches"] = f"""WITH t AS (SELECT doc_id, ({tokens('text')})[1:256] AS l FROM documents),
-w AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 4) AS INTEGER) % 16 AS slot, count(*) AS c
-  FROM (SELECT doc_id, unnest(l) AS token FROM t) GROUP BY 1, 2)
-SELECT t.doc_id, list(round(CAST(CAST(coalesce(CAST(c AS DOUBLE) / len(l), 0) AS FLOAT) AS DOUBLE), 5) ORDER BY i) AS embedding
-FROM t CROSS JOIN generate_series(0, 15) g(i) LEFT JOIN w ON w.doc_id = t.doc_id AND w.slot = i GROUP BY 1"""
+_EMBEDDED = f"""t AS (SELECT doc_id, {tokens("coalesce(text, '')")} AS l FROM documents),
+k AS (SELECT doc_id, unnest(l) AS token, (unnest(generate_series(1, len(l))) - 1) // 256 AS win FROM t),
+w AS (SELECT doc_id, win, CAST('0x' || substr(md5(token), 1, 4) AS INTEGER) % 16 AS slot, count(*) AS c FROM k GROUP BY 1, 2, 3),
+n AS (SELECT doc_id, win, count(*) AS n FROM k GROUP BY 1, 2),
+s AS (SELECT doc_id, slot, sum(CAST(CAST(CAST(c AS DOUBLE) / n AS FLOAT) AS DOUBLE) * n) AS s FROM w JOIN n USING (doc_id, win) GROUP BY 1, 2),
+e AS (SELECT t.doc_id, i, coalesce(s.s, 0) / greatest(CAST(len(l) AS DOUBLE), 1e-9) AS x
+  FROM t CROSS JOIN generate_series(0, 15) g(i) LEFT JOIN s ON s.doc_id = t.doc_id AND s.slot = i)"""
+ORACLES["embed_batches"] = f"""WITH {_EMBEDDED}
+SELECT doc_id, list(round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) ORDER BY i) AS embedding FROM e GROUP BY 1"""
 ORACLES["linear_score"] = f"""SELECT vec_id, {r6('p')} AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction
 FROM {_SCORED}"""
 ORACLES["argmax_label"] = """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best
@@ -387,6 +390,14 @@ ORACLES["label_incremental"] = f"""SELECT CAST(doc_id AS BIGINT) AS doc_id,
   CASE WHEN {_KV_N} % 5 = 0 THEN {_KV_BAD} ELSE 'the prompt has ' || CAST({_KV_N} AS VARCHAR) || ' characters' END AS llm_rationale
 FROM documents"""
 
+ORACLES["label_incremental_batch"] = ORACLES["label_incremental"]
+_HELD = f"""SELECT c.*, g.human FROM {CORPUS} c LEFT JOIN (SELECT gold_id, arg_max(human, source_pos) AS human FROM (
+  SELECT {clean_id('doc_id')} AS gold_id, {binary('is_green_human')} AS human, source_pos FROM {REVIEWED})
+  WHERE gold_id IS NOT NULL AND human IS NOT NULL GROUP BY 1) g ON {clean_id('c.id')} = g.gold_id WHERE c.split = 'eval_silver'"""
+ORACLES["exclude_eval_gold"] = f"""SELECT coalesce(text, '') AS text, label FROM (
+  SELECT text, {binary('is_green_silver')} AS label FROM ({_HELD}) WHERE human IS NULL) WHERE label IS NOT NULL"""
+ORACLES["eval_gold_overlap"] = f"SELECT count(*) AS eval_gold_rows FROM ({_HELD}) WHERE human IS NOT NULL"
+
 _ARGUED = f"""(SELECT doc_id, length(text) AS n_text,
   'advocate sees ' || CAST({fixed_length(_TEMPLATE['advocate'])} + length(text) AS VARCHAR) || ' characters.' AS adv,
   'skeptic sees ' || CAST({fixed_length(_TEMPLATE['skeptic'])} + length(text) AS VARCHAR) || ' characters.' AS skp
@@ -408,7 +419,7 @@ _CLASSIFIER_N = f"({fixed_length(_CLASSIFIER)} + length(coalesce(text, 'None')))
 _EVALUATED = f"""(SELECT id, y_true, CASE WHEN n % 4 = 3 THEN 0 ELSE CAST(n // 4 % 2 AS INTEGER) END AS y_pred,
   CASE WHEN n % 4 < 3 THEN CAST(n // 4 % 2 AS INTEGER) END AS label, n % 4 < 2 AS ok
 FROM (SELECT id, {int01('is_green_silver')} AS y_true, {_CLASSIFIER_N} AS n FROM {CORPUS} WHERE text IS NOT NULL)
-WHERE y_true IS NOT NULL ORDER BY md5('42:' || id) LIMIT 2000)"""
+WHERE y_true IS NOT NULL)"""
 ORACLES["evaluate_capped"] = f"SELECT * FROM {_EVALUATED}"
 ORACLES["evaluate_capped_report"] = report(_EVALUATED)
 _ANSWERED = f"""(SELECT source_pos, is_green_human, {int01('is_green_human')} AS gold01,
@@ -426,9 +437,12 @@ ORACLES["map_batches"] = "SELECT doc_id, upper(lang) AS lang, length(text) AS n
 
 # -- workflows ----------------------------------------------------------------
 
-ORACLES["review_list"] = f"""SELECT d.doc_id, d.text, {r6('p')} AS p_green, {r6('1 - 2 * abs(p - 0.5)')} AS u,
-  '' AS llm_green_suggested, '' AS llm_confidence, '' AS llm_rationale, '' AS is_green_human
-FROM documents d JOIN {_SCORED} e ON d.doc_id = e.vec_id
+_TEXT_SCORE = " + ".join(f"sum(CASE WHEN i = {i} THEN x * {w!r} ELSE 0 END)" for i, w in enumerate(fx.TEXT_WEIGHTS))
+ORACLES["review_list"] = f"""WITH {_EMBEDDED},
+p AS (SELECT doc_id, 1 / (1 + exp(-({_TEXT_SCORE} + {fx.INTERCEPT}))) AS p FROM e GROUP BY 1)
+SELECT d.doc_id, d.text, {r6('p')} AS p_green, {r6('1 - 2 * abs(p - 0.5)')} AS u,
+  '' AS llm_green_suggested, '' AS llm_confidence, '' AS llm_rationale, '' AS is_green_human, '' AS human_notes
+FROM documents d JOIN p USING (doc_id)
 WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)
 ORDER BY 1 - 2 * abs(p - 0.5) DESC, d.doc_id LIMIT 100"""
 _BY_ID = "md5('42:' || CAST(id AS VARCHAR))"

@@ -386,7 +386,7 @@ def render_prompt(spark, sf_dir):
 
 @query
 def chat_render(spark, sf_dir):
-    return text.chat_render(text.collect_messages(fx.read(spark, sf_dir, "conversations"), part_turns=4))
+    return text.chat_render(text.collect_messages(fx.read(spark, sf_dir, "conversations")))
 
 
 @query
@@ -468,11 +468,14 @@ def masked_mean_pool(spark, sf_dir):
 @query
 def embed_batches(spark, sf_dir):
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    embedded = classify.embed_batches(
-        docs, lambda: classify.hashed_mean_encoder(dim=16, max_tokens=256), tasks=_cores(spark)
-    )
-    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
-    return embedded.select("doc_id", rounded.alias("embedding"))
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("float").cast("double"), 5))
+    return _embedded(docs).select("doc_id", rounded.alias("embedding"))
+
+
+def _embedded(docs):
+    """Whole texts by an encoder of 256 tokens."""
+    encoder = lambda: classify.hashed_mean_encoder(dim=16, max_tokens=256)
+    return classify.embed_documents(docs, encoder, tasks=_cores(docs.sparkSession))
 
 
 @query
@@ -598,6 +601,27 @@ def label_incremental(spark, sf_dir):
     return spark.read.parquet(sink).select("doc_id", "llm_green_suggested", "llm_confidence", "llm_rationale")
 
 
+@query
+def label_incremental_batch(spark, sf_dir):
+    """The same without a stream: half of the documents, then all; nothing is redone."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    sink = new_path(spark, "labelled")
+    for rows in (docs.where("doc_id % 2 = 0"), docs):
+        incremental.label_incremental_batch(rows, standins.kv_model, sink)
+    return spark.read.parquet(sink).select("doc_id", "llm_green_suggested", "llm_confidence", "llm_rationale")
+
+
+@query
+def exclude_eval_gold(spark, sf_dir):
+    corpus, gold = _corpus_and_gold(spark, sf_dir)
+    return assembly.eval_rows(corpus, gold=gold, exclude_eval_gold=True)
+
+
+@query
+def eval_gold_overlap(spark, sf_dir):
+    return assembly.eval_gold_overlap(*_corpus_and_gold(spark, sf_dir))
+
+
 def _evaluated(spark, sf_dir):
     corpus = fx.derive(spark, sf_dir, fx.CORPUS)
     return inference.evaluate_capped(corpus, standins.json_model)
@@ -643,14 +667,9 @@ def map_batches(spark, sf_dir):
 def review_list(spark, sf_dir):
     """The flagship: the 100 unlabelled documents the model is least sure of."""
     documents = fx.read(spark, sf_dir, "documents")
+    pool = workflows.unlabelled(documents.select("doc_id", "text"), fx.read(spark, sf_dir, "labels"))
     listed = workflows.review_list(
-        workflows.unlabelled(documents, fx.read(spark, sf_dir, "labels")),
-        fx.read(spark, sf_dir, "embeddings"),
-        (fx.WEIGHTS, fx.INTERCEPT),
-        key="doc_id",
-        vector_key="vec_id",
-        on_missing="drop",
-        texts=documents,
+        pool.select("doc_id"), _embedded(pool), (fx.TEXT_WEIGHTS, fx.INTERCEPT), key="doc_id", vector_key="doc_id", texts=documents
     )
     return listed.withColumns({"p_green": r6(F.col("p_green")), "u": r6(F.col("u"))})
 

@@ -42,8 +42,7 @@ def review_list(
 
     ``model`` is a fitted model, or its weights and intercept. A probability needs
     its vector only, so vectors are scored where they lie and one number per id is
-    joined and ranked. Text is looked up for the ``k`` chosen ids, which are
-    broadcast. ``texts`` is the table it is read from; give the plain corpus where
+    joined and ranked. Text is looked up for the ``k`` chosen ids. ``texts`` is the table it is read from; give the plain corpus where
     the pool is itself a join, so that the join is not run on whole texts.
     """
     if isinstance(model, PipelineModel):
@@ -52,7 +51,7 @@ def review_list(
         scored = linear_score(vectors.select(vector_key, "embedding"), *model, prediction=None)
     aligned = embedding_align(pool.select(key), scored, key, vector_key, "p_green", on_missing)
     top = top_uncertain(uncertainty(aligned), k, tie=key)
-    listed = (pool if texts is None else texts).select(key, "text").join(F.broadcast(top), key)
+    listed = (pool if texts is None else texts).select(key, "text").join(top, key)
     return ensure_columns(
         listed.select(F.col(key).alias("doc_id"), "text", "p_green", "u"), dict.fromkeys(REVIEW_COLUMNS, "")
     )

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-# Quoted line breaks and doubled quotes, the form that CSV writers agree on.
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# Doubled quotes, the form that CSV writers agree on.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_table_auto(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_table_auto(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
     """CSV or Parquet by the extension, in any case; anything else is an error.
 
-    Without a schema, CSV types are inferred, which reads the files twice.
+    Without a schema, CSV types are inferred, which reads the files twice. A CSV file
+    with line breaks in quotes is read by one task; where there are none, as in a
+    large export, ``multi_line=False`` splits files.
     """
     kind = path.rstrip("/").lower().rsplit(".", 1)[-1]
     if kind not in ("csv", "parquet"):
@@ -20,15 +24,18 @@ def read_table_auto(spark: SparkSession, path: str, schema: StructType | str | N
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "parquet":
         return reader.parquet(path)
-    return reader.options(**CSV_OPTIONS, inferSchema=schema is None).csv(path)
+    return reader.options(**CSV_OPTIONS, multiLine=multi_line, inferSchema=schema is None).csv(path)
 
 
-def read_csv_strings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv_strings(
+    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """CSV with every column as text and null as ``""``.
 
-    ``columns`` gives the header and saves the look at the first line.
+    ``columns`` gives the header and saves the look at the first line; ``multi_line``
+    as in ``read_table_auto``.
     """
-    reader = spark.read.options(**CSV_OPTIONS, inferSchema=False)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, inferSchema=False)
     if columns:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
     return reader.csv(path).na.fill("")

@@ -29,9 +29,19 @@ def _sink(spark: SparkSession, path: str, schema: StructType) -> DataFrame | Non
 def label_new(
     rows: DataFrame, make_model: Callable[[], Generate], key: str, text: str, done: DataFrame | None
 ) -> DataFrame:
-    """Label the pending rows whose key is not in ``done``; a repeated key is labelled once."""
+    """Label the pending rows whose key is not in ``done``; a repeated key is labelled once.
+
+    Of copies the one with the smallest hash of all it holds stands, so a batch that
+    is run again labels the same rows. Null keys can't be told apart or found again:
+    they are an error.
+    """
     full = ensure_columns(rows, {c: "" for c in REVIEW_COLUMNS})
-    todo = pending_filter(full.na.fill("", REVIEW_COLUMNS)).dropDuplicates([key])
+    absent = F.raise_error(F.lit(f"null {key}")).cast(full.schema[key].dataType)
+    full = full.withColumn(key, F.when(F.col(key).isNull(), absent).otherwise(F.col(key)))
+    pending = pending_filter(full.na.fill("", REVIEW_COLUMNS))
+    rest = [c for c in pending.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")
+    todo = pending.groupBy(key).agg(first).select(*[key if c == key else f"_row.{c}" for c in pending.columns])
     if done is not None:
         todo = todo.join(done.select(key), key, "left_anti")
     return label_rows(todo, make_model, text)

@@ -53,7 +53,7 @@ if __name__ == "__main__":
 
     sf_dir = sys.argv[1]
     chosen = sys.argv[2:] or list(QUERIES)
-    spark = session.build()
+    spark = session.build(**{"spark.ui.showConsoleProgress": "false"})
     con = connect(sf_dir)
     bad = 0
     for name in chosen:

@@ -50,7 +50,7 @@ def test_review_list_with_a_fitted_model(spark, corpus):
     model = classify.fit_logreg(labelled)
     listed = workflows.review_list(corpus.where("split = 'pool_unlabeled'"), vectors, model, k=4)
     assert listed.columns == [
-        "doc_id", "text", "p_green", "u", "llm_green_suggested", "llm_confidence", "llm_rationale", "is_green_human",
+        "doc_id", "text", "p_green", "u", "llm_green_suggested", "llm_confidence", "llm_rationale", "is_green_human", "human_notes",
     ]
     assert listed.count() == 4
     pool = classify.predict_proba(vectors.join(corpus.where("split = 'pool_unlabeled'"), "id"), model).collect()
