@@ -9,6 +9,9 @@ import pytest
 
 from compare import check, connect
 
+from silverloop.plans.oracles import ORACLES
+from silverloop.plans.queries import QUERIES
+
 SF_DIR = "/root/testdata/sf0.001"
 spec = importlib.util.spec_from_file_location("spark_entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
 entry = importlib.util.module_from_spec(spec)
@@ -25,15 +28,16 @@ def con():
 
 
 def test_only_fitted_models_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, con, name):
     assert check(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
 
