@@ -134,7 +134,8 @@ def _with_next(rows: DataFrame, buckets: int) -> DataFrame:
     dealt = rows.withColumn("_b", F.when(F.col("_id").isNull(), -1).otherwise(place))
     heads = sorted((r._b, r.low) for r in dealt.groupBy("_b").agg(F.min("_id").alias("low")).collect())
     if not heads:
-        return dealt.withColumns({"_next": F.lit(""), "_next_d": F.array().cast("array<bigint>")})
+        none = F.array().cast("array<bigint>")
+        return dealt.withColumns({"_d": none, "_next": F.lit(""), "_next_d": none})
     before = rows.sparkSession.createDataFrame([(heads[i - 1][0], b, low) for i, (b, low) in enumerate(heads)], "_to int, _hb int, _low bigint")
     # as many rows as buckets, or more where an id repeats
     ghosts = dealt.join(F.broadcast(before), (F.col("_b") == F.col("_hb")) & F.col("_id").eqNullSafe(F.col("_low")))
