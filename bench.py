@@ -22,7 +22,8 @@ HEADLINE = [
     "review_list", "silver_corpus", "gold_join", "augment_replace", "exclude_ids", "split_60_20_20", "class_sample",
     "stratified_split", "seeded_shuffle", "classification_report", "parse_kv_response", "resolve_label", "judge_columns",
     "render_prompt", "sft_records", "sequence_pack", "token_lookup", "masked_mean_pool", "embed_batches", "linear_score",
-    "predict_proba", "attention_output", "sgd_trace", "batch_generate", "debate", "label_incremental",
+    "predict_proba", "attention_output", "attention_weights", "sgd_trace", "batch_generate", "debate", "label_incremental",
+    "evaluate_capped", "predict_and_score", "fit_logreg", "retrain_eval", "retrain_eval_append", "retrain_eval_stratified",
 ]
 
 

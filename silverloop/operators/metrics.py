@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: more failed replies than this raise the alert.
+# Fixed value: more failed replies than this raise the alert, unless a run says otherwise.
 PARSE_ALERT_ABOVE = 10
 
 _TINY = 1e-15
@@ -125,15 +125,22 @@ def log_loss(df: DataFrame, y_true: str = "y_true", p_one: str = "p_true") -> Da
     return df.agg((-F.avg(F.log(F.greatest(p, F.lit(_TINY))))).alias("log_loss"))
 
 
-def run_summary(df: DataFrame, label: str = "llm_green_suggested", failed: str = "parse_failed") -> DataFrame:
-    """One row of totals for a labelling run, with an alert on many failed replies."""
+def run_summary(
+    df: DataFrame, label: str = "llm_green_suggested", failed: str = "parse_failed", alert_above: int = PARSE_ALERT_ABOVE
+) -> DataFrame:
+    """One row of totals for a labelling run, with an alert on more than ``alert_above`` failed replies.
+
+    ``failed_rate`` is their share, 0 for no rows: a large run is judged by it and not
+    by a count.
+    """
     n_failed = F.count_if(F.coalesce(F.col(failed), F.lit(False)))
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(label) == 1).alias("green"),
         F.count_if(F.col(label) == 0).alias("not_green"),
         n_failed.alias("parse_failed"),
-        (n_failed > PARSE_ALERT_ABOVE).alias("alert"),
+        (n_failed > alert_above).alias("alert"),
+        F.coalesce(F.try_divide(n_failed, F.count(F.lit(1))), F.lit(0.0)).alias("failed_rate"),
     )
 
 

@@ -322,7 +322,8 @@ FROM (SELECT *, {as_int01('obj')} AS l, coalesce(json_type(obj) = 'OBJECT', fals
 ORACLES["judge_columns"] = f"SELECT * FROM {_VERDICT}"
 ORACLES["run_summary"] = f"""SELECT count(*) AS total, count(*) FILTER (llm_green_suggested = 1) AS green,
   count(*) FILTER (llm_green_suggested = 0) AS not_green, count(*) FILTER (parse_failed) AS parse_failed,
-  count(*) FILTER (parse_failed) > 10 AS alert FROM {_VERDICT}"""
+  count(*) FILTER (parse_failed) > 10 AS alert,
+  round(count(*) FILTER (parse_failed)::DOUBLE / count(*), 6) AS failed_rate FROM {_VERDICT}"""
 ORACLES["token_truncate"] = f"""SELECT doc_id, CAST(len(l[1:256]) AS BIGINT) AS n, array_to_string(l[1:256], ' ') AS text
 FROM (SELECT doc_id, {tokens('text')} AS l FROM documents)"""
 ORACLES["sequence_pack"] = f"""WITH t AS (SELECT doc_id, {tokens('text')} AS l FROM documents),

@@ -294,7 +294,8 @@ def log_loss(spark, sf_dir):
 
 @query
 def run_summary(spark, sf_dir):
-    return metrics.run_summary(text.judge_columns(fx.derive(spark, sf_dir, fx.REPLIES_JUDGE)))
+    row = metrics.run_summary(text.judge_columns(fx.derive(spark, sf_dir, fx.REPLIES_JUDGE)))
+    return row.withColumn("failed_rate", r6(F.col("failed_rate")))
 
 
 @query
