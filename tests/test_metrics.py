@@ -65,7 +65,8 @@ def test_counts(spark):
 def test_run_summary_alert(spark):
     data = [(None, True)] * 11 + [(1, False), (0, False)]
     df = spark.createDataFrame(data, "llm_green_suggested int, parse_failed boolean")
-    assert tuple(metrics.run_summary(df).first()) == (13, 1, 1, 11, True)
+    assert tuple(metrics.run_summary(df).first()) == (13, 1, 1, 11, True, 11 / 13)
+    assert not metrics.run_summary(df, alert_above=11).first().alert
     assert not metrics.run_summary(df.limit(10)).first().alert
 
 
