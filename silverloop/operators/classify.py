@@ -118,6 +118,7 @@ def fit_logreg(
     label: str = "label",
     c: float = C,
     max_iter: int = MAX_ITERATIONS,
+    tol: float = 1e-12,
 ) -> PipelineModel:
     """Fit L2 logistic regression on an array column.
 
@@ -129,7 +130,7 @@ def fit_logreg(
     if n == 0:
         raise ValueError("no rows to fit")
     lr = LogisticRegression(
-        maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-8
+        maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=tol
     )
     return PipelineModel([lr.fit(data)])
 

@@ -349,6 +349,25 @@ ORACLES["embed_batches"] = f"""WITH {_EMBEDDED}
 SELECT doc_id, list(round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) ORDER BY i) AS embedding FROM e GROUP BY 1"""
 ORACLES["linear_score"] = f"""SELECT vec_id, {r6('p')} AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction
 FROM {_SCORED}"""
+# The penalised loss is minimised by accelerated gradient steps; the last entry of w is the intercept, without penalty.
+_FIT_STEPS = 1200
+_FITTED = f"""x AS (SELECT vec_id, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS y, list_append(CAST(embedding AS DOUBLE[]), 1.0) AS v FROM embeddings),
+d AS (SELECT list(v ORDER BY vec_id) AS vs, list(y ORDER BY vec_id) AS ys, count(*)::DOUBLE AS n FROM x),
+c AS (SELECT list(col ORDER BY k) AS cols FROM (SELECT k, list(v[k] ORDER BY vec_id) AS col FROM x, generate_series(1, 65) g(k) GROUP BY k)),
+s AS (SELECT 0.25 * max(list_sum(list_transform(v, lambda a: a * a))) + 1 / count(*)::DOUBLE AS l, 1 / count(*)::DOUBLE AS mu FROM x),
+fit AS (
+  SELECT 0 AS i, list_transform(generate_series(1, 65), lambda a: 0.0::DOUBLE) AS w, list_transform(generate_series(1, 65), lambda a: 0.0::DOUBLE) AS z
+  UNION ALL
+  SELECT i + 1, nw, list_transform(nw, lambda a, k: a + (sqrt(l) - sqrt(mu)) / (sqrt(l) + sqrt(mu)) * (a - w[k]))
+  FROM (SELECT i, w, l, mu, list_transform(z, lambda a, k: a - (list_dot_product(cols[k], r) / n + CASE WHEN k < 65 THEN a / n ELSE 0 END) / l) AS nw
+    FROM (SELECT i, w, z, l, mu, n, cols, list_transform(vs, lambda v, j: 1 / (1 + exp(-list_dot_product(v, z))) - ys[j]) AS r
+      FROM fit, d, c, s WHERE i < {_FIT_STEPS}))),
+m AS (SELECT w FROM fit WHERE i = {_FIT_STEPS}),
+q AS (SELECT vec_id, CAST(y AS INTEGER) AS y, 1 / (1 + exp(-list_dot_product(v, w))) AS p FROM x, m)"""
+ORACLES["fit_logreg"] = f"""WITH RECURSIVE {_FITTED} SELECT CAST(CASE WHEN k = 65 THEN -1 ELSE k - 1 END AS INTEGER) AS idx, round(w[k], 4) AS value
+FROM m, generate_series(1, 65) g(k)"""
+ORACLES["predict_proba"] = f"""WITH RECURSIVE {_FITTED} SELECT vec_id, y, round(p, 4) AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM q"""
+ORACLES["model_store"] = f"""WITH RECURSIVE {_FITTED} SELECT vec_id, round(p, 4) AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM q"""
 ORACLES["argmax_label"] = """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best
 FROM embeddings"""
 
