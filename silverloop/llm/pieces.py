@@ -14,9 +14,11 @@ pieces at the boundary must have no earlier merge of their own.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from silverloop.llm.common import chunks, ragged, texts_of
 
 MARK = "▁"
-# Words a task remembers; beyond it forgets and matches them again.
-REMEMBERED = 400_000
+# Words a worker process remembers from task to task.
+REMEMBERED = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _FILTER = 22
 
@@ -48,6 +50,7 @@ class Vocabulary:
     spelled: list[bytes]  # bytes by id; control pieces are empty
     byte_ids: np.ndarray
     size: int
+    name: str  # of the model: a digest of its file
 
     @property
     def unknown(self) -> int:
@@ -105,7 +108,9 @@ def load(path: str) -> Vocabulary:
             spelled[i] = " ⁇ ".encode()
     keys, times = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
     linked = np.unique(np.array([(ord(a) << 32) + ord(b) for p in kept for a, b in zip(p, p[1:], strict=False)], np.int64))
-    return Vocabulary(kept, np.array([names[p] for p in kept]), when, left, right, keys, times, linked, marks, spelled, byte_ids, size)
+    with open(path, "rb") as file:
+        name = hashlib.sha256(file.read()).hexdigest()
+    return Vocabulary(kept, np.array([names[p] for p in kept]), when, left, right, keys, times, linked, marks, spelled, byte_ids, size, name)
 
 
 def _filter_at(keys: np.ndarray) -> np.ndarray:
@@ -255,8 +260,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers."""
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # the first words met are the most frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
         new = list({w for words in split for w in words if w not in known})
         for a in range(0, len(new), 50_000):
@@ -265,6 +270,16 @@ class Encoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """One per worker process, as tasks follow each other in it."""
+    if vocabulary.name not in _encoders:
+        _encoders[vocabulary.name] = Encoder(vocabulary)
+    return _encoders[vocabulary.name]
+
+
 def _lists(raw: list[bytes]) -> pa.Array:
     counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
     return pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -282,7 +297,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("_id"))
             for first, last, texts in chunks(batch):
