@@ -222,7 +222,9 @@ def _repeats(rows: DataFrame, shared, window: int, rounds: int, bits: int) -> Da
                     lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(hashes[ragged(cut[at], n)].view(np.int64)))
                     where = pa.array(begin + text[at]) if with_id else pa.nulls(len(at), pa.int64())
                     at_id, at_mark = ids.take(where), marks.take(where)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), at_id, at_mark, pa.array(first[at] if with_id else np.full(len(at), -1)), pa.array(length[at]), lists], ["name", "_id", "_t", "first", "n", "hashes"])
+                    # what needs no comparison is spread and not brought to its like
+                    to = name[at] if with_hashes else _mix(name[at] + (first[at] * 8191 + text[at]).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), at_id, at_mark, pa.array(first[at] if with_id else np.full(len(at), -1)), pa.array(length[at]), lists], ["name", "_id", "_t", "first", "n", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "name", 50_000):
