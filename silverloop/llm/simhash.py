@@ -28,6 +28,8 @@ from silverloop.llm.common import chunks, runs, stage, texts_of, whole_groups
 BITS = 64
 SHINGLE = 4
 SEED = 42
+# Hashes whose bits are counted at once, 64 bytes each.
+HASHES_AT_ONCE = 300_000
 RADIUS = 4
 # A shard of this size takes seconds; more blocks are used before shards get larger.
 SHARD_ROWS = 20_000
@@ -35,32 +37,38 @@ MAX_BLOCKS = 8
 
 
 def _fingerprints(texts: list[str], shingle: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
+    ones, counts = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    whose: list[int] = []
+    many: list[int] = []
+
+    def count() -> None:
+        if hashes:
+            sets = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[whose] += np.add.reduceat(sets, np.cumsum([0, *many[:-1]]), axis=0, dtype=np.int64)
+            np.add.at(counts, whose, many)
+        for x in (hashes, whose, many):
+            x.clear()
+
     for i, text in enumerate(texts):
         words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts
         if not words:
             continue
-        if len(words) <= shingle:
-            hashes.append(digest(b" ".join(words), SEED))
-            counts[i] = 1
-            continue
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.append(0, ends[:-1])
-        last = (ends - 1)[shingle - 1 :].tolist()
-        hashes += [digest(line[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last, strict=True)]
-        counts[i] = len(last)
-    full = np.flatnonzero(counts)
-    if len(full):
-        sets = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = np.append(0, np.cumsum(counts[full])[:-1])
-        ones = np.add.reduceat(sets, starts, axis=0, dtype=np.int32)
-        bits = (ones * 2 > counts[full][:, None]).astype(np.uint8)
-        out[full] = np.packbits(bits, axis=1).view(">u8").ravel()
-    return out
+        last = (ends - 1)[min(shingle, len(words)) - 1 :]
+        for k in range(0, len(last), HASHES_AT_ONCE):
+            part = slice(k, min(k + HASHES_AT_ONCE, len(last)))
+            new = [digest(line[a:b], SEED) for a, b in zip(starts[part].tolist(), last[part].tolist(), strict=True)]
+            hashes.extend(new)
+            whose.append(i)
+            many.append(len(new))
+            if len(hashes) >= HASHES_AT_ONCE:
+                count()
+    count()
+    return np.packbits((ones * 2 > counts[:, None]).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
