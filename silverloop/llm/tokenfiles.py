@@ -20,23 +20,32 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from silverloop.llm.common import chunks, texts_of
+from silverloop.llm.common import chunks, stage, texts_of
 from silverloop.llm.files import Ranges, write_whole
 
 END = 0
 HEAD = "<5I"
 BLOCK_CHARS = 2_000_000
-REMEMBERED = 400_000
+BLOCK_IDS = 1_000_000
+# Words a worker process remembers from task to task, and new ones it encodes at once.
+REMEMBERED = 1_500_000
+AT_ONCE = 20_000
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
+STOPS = ",."
+SPACE = "Ġ"  # fixed value: how the model's file writes a space
 _LOOSE = re.compile(r" (?=\s|$)")
 
 
@@ -79,10 +88,16 @@ class _Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = None
         self.known: dict[str, bytes] = {}
+        self.stops = {"": b""} | dict(zip(STOPS, self._encode(list(STOPS)), strict=True))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], model=None) -> list[bytes]:
+        out: list[bytes] = []
+        for a in range(0, len(texts), AT_ONCE):
+            out += [array("I", e.ids).tobytes() for e in (model or self.model).encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
+        return out
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -98,34 +113,107 @@ class _Tokens:
                 out[-1] += f" {p}"
         return out
 
+    @staticmethod
+    def _atoms(part: str) -> list[tuple[str, str]]:
+        """What a part is made of: words, with the line break before them if there is one, and the stop after them.
+
+        A token also ends before and after a lone line break, and between a letter and
+        a stop that a space or line break follows.
+        """
+        lines = part.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            lines = [part]
+        out = []
+        for k, x in enumerate(lines):
+            word = f"\n{x}" if k else x
+            ends = len(x) > 1 and x[-1] in STOPS and x[-2].isalpha()
+            out.append((word[:-1], x[-1]) if ends else (word, ""))
+        return out
+
+    def _learn(self, parts: Iterable[str]) -> None:
+        known, whole, made = self.known, [], {}
+        for p in parts:
+            if "\n" in p or (p[-1] in STOPS and len(p) > 1):
+                made[p] = self._atoms(p)
+            else:
+                whole.append(p)
+        new = dict.fromkeys(whole)
+        new.update((w, None) for atoms in made.values() for w, _ in atoms if w not in known)
+        # letters alone are one word to the model's pattern, which need not look at them
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        other = [w for w in new if not (w.isascii() and w.isalpha())]
+        known.update(zip(plain, self._encode([f"{SPACE}{w}" for w in plain], self.words), strict=True))
+        known.update(zip(other, self._encode([w if w[0] == "\n" else f" {w}" for w in other]), strict=True))
+        for p, atoms in made.items():
+            if p not in known:
+                known[p] = b"".join([known[w] + self.stops[e] for w, e in atoms])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, 4 bytes each."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > REMEMBERED:  # the first words met are the most frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         split = [self._parts(t) for t in texts]
-        first = self._encode([p[0] for p in split])
-        new = list({p for parts in split for p in parts[1:] if p not in known})
-        known.update(zip(new, self._encode([f" {p}" for p in new]), strict=True))
-        return [b"".join([a, *map(known.__getitem__, parts[1:])]) for a, parts in zip(first, split, strict=True)]
+        words = [p for parts in split for p in islice(parts, 1, None)]
+        found = list(map(self.known.get, words))
+        absent = [i for i, x in enumerate(found) if x is None]
+        if absent:
+            self._learn(dict.fromkeys(words[i] for i in absent))
+            for i in absent:
+                found[i] = self.known[words[i]]
+        out, at = [], 0
+        for first, parts in zip(self._encode([p[0] for p in split]), split, strict=True):
+            out.append(first + b"".join(found[at : at + len(parts) - 1]))
+            at += len(parts) - 1
+        return out
+
+
+@cache
+def _tokens(path: str, special_as_text: bool) -> _Tokens:
+    """One per worker process, as tasks follow each other in it."""
+    return _Tokens(path, special_as_text)
+
 
+def _zip(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(pack(ids)))
 
-def frequency_ranks(docs: DataFrame, tokenizer: str, text_col: str = "text", special_as_text: bool = False) -> np.ndarray:
-    """All ids of the corpus, most frequent first, then by id; the end id counts once per row."""
-    rows = texts_of(docs, text_col, text_col).select("_text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = _Tokens(tokenizer, special_as_text), np.zeros(0, np.int64)
+def _unzip(data: bytes, n: int) -> np.ndarray:
+    raw, cut = zstandard.ZstdDecompressor().decompress(data), -(-n // 4)
+    return unpack(raw[:cut], raw[cut:], n)
+
+
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """A stored table: per document ``_id``, ``n`` and ``ids`` (packed and compressed, the end id included), and
+    per task a row of how often it met which ids (``met``)."""
+    rows = texts_of(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end, total = _tokens(tokenizer, special_as_text), array("I", [END]).tobytes(), np.zeros(0, np.int64)
         for batch in batches:
-            for first, last, texts in chunks(batch):
-                n = np.bincount(np.frombuffer(b"".join(encode(texts)), "<u4"), minlength=max(len(total), END + 1))
-                n[: len(total)] += total
-                n[END] += last - first
-                total = n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
-
-    counted = rows.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+            keys = batch.column(batch.schema.get_field_index("_id"))
+            for first, last, texts in chunks(batch, BLOCK_CHARS):
+                ids = [np.frombuffer(x + end, "<u4") for x in encode(texts)]
+                count = np.bincount(np.concatenate(ids), minlength=len(total))
+                count[: len(total)] += total
+                total = count
+                n = pa.array([len(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), n, pa.array(map(_zip, ids), pa.binary()), pa.nulls(last - first, _MET)], schema=out)
+        met = np.flatnonzero(total)
+        listed = pa.array([[{"id": int(a), "n": int(b)} for a, b in zip(met, total[met], strict=True)]], _MET)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), listed], schema=out)
+
+    kind = to_arrow_type(rows.schema["_id"].dataType)
+    out = pa.schema([("_id", kind), ("n", pa.int64()), ("ids", pa.binary()), ("met", _MET)])
+    name = rows.schema["_id"].dataType.simpleString()
+    return stage(rows.mapInArrow(run, f"_id {name}, n bigint, ids binary, met array<struct<id:bigint,n:bigint>>"), "token-ids")
+
+
+_MET = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
+
+def frequency_ranks(table: DataFrame) -> np.ndarray:
+    """All ids that ``encoded`` met, most frequent first, then by id."""
+    counted = table.select(F.inline("met")).groupBy("id").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.desc("n"), "id").select("id").toArrow().column(0).to_numpy().astype("<u4")
 
 
@@ -134,35 +222,39 @@ def write(
 ) -> list[tuple[str, int]]:
     """Encode and write a corpus in ascending order of ``id_col``: paths of the shards in order and their numbers of ids.
 
-    A null id comes first; rows of equal id are ordered by text. Null texts are
-    empty, and an empty text has its end id only. An empty table makes no shard.
-    Texts travel once, by range of id; shards are as many as shuffle partitions
-    unless ``shards`` says otherwise.
+    A null id comes first; rows of equal id are in an order of their ids. Null texts
+    are empty, and an empty text has its end id only. An empty table makes no shard.
+    Texts are encoded where they lie; their ids, packed, travel once by range of
+    document. Shards are as many as shuffle partitions unless ``shards`` says otherwise.
     """
     spark = docs.sparkSession
-    ranks = frequency_ranks(docs, tokenizer, text_col, special_as_text)
+    table = encoded(docs, tokenizer, id_col, text_col, special_as_text)
+    ranks = frequency_ranks(table)
     write_whole(f"{folder}/ranks.bin", [ranks.tobytes()])
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, "<u4")
     rank_of[ranks] = np.arange(len(ranks))
     sent = spark.sparkContext.broadcast(rank_of)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts_of(docs, id_col, text_col).repartitionByRange(shards, "_id").sortWithinPartitions("_id", "_text")
+    rows = table.where("ids IS NOT NULL").select("_id", "n", "ids").repartitionByRange(shards, "_id").sortWithinPartitions("_id", "ids")
 
     def blocks(batches: Iterator[pa.RecordBatch], told: list[int]) -> Iterator[bytes]:
-        encode = _Tokens(tokenizer, special_as_text)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("_id")).to_pylist()
-            for first, last, texts in chunks(batch, BLOCK_CHARS):
-                raw = [x + end for x in encode(texts)]
-                values = sent.value[np.frombuffer(b"".join(raw), "<u4")]
-                keys = json.dumps(ids[first:last]).encode()
-                counts = (np.fromiter(map(len, raw), np.int64, len(raw)) // 4).astype("<u4").tobytes()
+            keys, n, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("_id", "n", "ids"))
+            n = n.to_numpy()
+            ends, first = np.cumsum(n), 0
+            while first < len(n):
+                base = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, base + BLOCK_IDS, side="right")))
+                part = ids.slice(first, last - first).to_pylist()
+                values = sent.value[np.concatenate([_unzip(x, k) for x, k in zip(part, n[first:last].tolist(), strict=True)])]
+                named = json.dumps(keys.slice(first, last - first).to_pylist()).encode()
+                counts = n[first:last].astype("<u4").tobytes()
                 control, data = pack(values)
                 told[0] += len(values)
                 told[1] += last - first
-                yield struct.pack(HEAD, len(keys), len(counts), len(control), len(data), len(values))
-                yield from (keys, counts, control, data)
+                yield struct.pack(HEAD, len(named), len(counts), len(control), len(data), len(values))
+                yield from (named, counts, control, data)
+                first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, told = TaskContext.get().partitionId(), [0, 0]
