@@ -172,6 +172,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``low`` (smallest ``_id`` of that print) and ``root`` (the same all over a class) of every distinct print."""
+    nodes = stage(marked.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-nodes")
+    roots = components(links(nodes, radius), "simhash-links")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``id_col``, ``fp``, ``component_id`` (smallest id reachable, itself included) for every row.
 
@@ -180,22 +187,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     an empty result.
     """
     marked = stage(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = stage(marked.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-nodes")
-    roots = components(links(nodes, radius), "simhash-links")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, radius)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_print = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(of_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, one row of each class.
+    """One row of ``docs`` of each class, whatever the ids: that with the smallest id.
 
-    A row with a null id is kept only if its class has no other id.
+    A null id is larger than any other. Rows of one id, or of null ids, are told apart
+    by a hash of all they hold, then by one of their text, so a task that runs again
+    chooses the same row; equal rows are one.
     """
-    def key(name: str):
-        return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias("_key")
-
-    lows = classes(docs, id_col, text_col).select(key("component_id")).distinct()
-    kept = docs.select(key(id_col), F.struct("*").alias("_row")).join(lows, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select("_row.*")
+    # a null leaves a hash as it is, so where the nulls are is hashed too
+    held = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]).alias("_key")
+    keyed = docs.select(held, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_sum"), F.struct("*").alias("_row"))
+    own = F.col("_row")[id_col]
+    place = F.struct(own.isNull().alias("none"), own.alias("id"), "_key", "_sum").alias("_place")
+    marked = stage(fingerprints(keyed.select(place, F.col("_row")[text_col].alias("_body")), "_place", "_body"), "simhash")
+    lows = _rooted(marked, RADIUS).groupBy("root").agg(F.min("low").alias("low")).select("low._key", "low._sum")
+    # copies fold before they are shuffled, so many equal rows don't meet in one task
+    return keyed.dropDuplicates(["_key", "_sum"]).join(lows, ["_key", "_sum"], "left_semi").select("_row.*")

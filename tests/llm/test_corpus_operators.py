@@ -224,6 +224,24 @@ def test_simhash_classes_against_brute_force(spark):
     assert simhash.classes(frame(spark, docs).where("false")).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(300)) for k in "abcd")
+    docs = [(3, f"{a} end"), (5, a), (5, b), (5, b), (None, c), (None, d), (None, d), (None, a), (9, None), (None, "")]
+    low = {i: l for (i, t), (_, _, l) in zip(docs, brute_classes(docs), strict=True) if t == a}
+    assert low == {5: 3, None: 3}
+    for parts in (1, 7):
+        kept = simhash.keep_one(frame(spark, docs).repartition(parts))
+        assert kept.columns == ["doc_id", "text", *CLASHING]
+        assert collected(kept, "doc_id", "text") == [(None, c), (None, d), (3, f"{a} end"), (5, b), (9, None)]
+    # of rows alike in id and text the same one stays, and a null in one column is not one in another
+    rows = [(None, a, x, y) for x, y in (("p", None), (None, "p"), ("q", "r"))]
+    for k in range(3):
+        turned = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, x string, y string").repartition(k + 1)
+        chosen = [tuple(r) for r in simhash.keep_one(turned).collect()]
+        first = chosen if not k else first
+        assert len(chosen) == 1 and chosen == first
+
+
 def test_bk_tree_links_connect_what_all_pairs_connect(spark):
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 14, 400).astype(np.uint64) * np.uint64(0x1000100010001))
