@@ -190,7 +190,7 @@ def _candidates(texts: list[str], shared: np.ndarray, window: int, rounds: int,
 
 
 
-_SCHEMA = "name bigint, _id {}, _t int, first bigint, n bigint, hashes array<bigint>"
+_SCHEMA = "name bigint, _id {}, _t binary, first bigint, n bigint, hashes array<bigint>"
 
 
 def _repeats(rows: DataFrame, shared, window: int, rounds: int, bits: int) -> DataFrame:
@@ -251,14 +251,15 @@ def _repeats(rows: DataFrame, shared, window: int, rounds: int, bits: int) -> Da
                 yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(begin), pa.array(count)], ["_id", "_t", "first", "n"])
 
     found = rows.mapInArrow(find, _SCHEMA.format(kind)).repartition("name").sortWithinPartitions("name")
-    return found.mapInArrow(compare, f"_id {kind}, _t int, first bigint, n bigint")
+    return found.mapInArrow(compare, f"_id {kind}, _t binary, first bigint, n bigint")
 
 
 def _cut(rows: DataFrame, window: int, rounds: int, filter_bits: int) -> DataFrame:
     """``_id``, ``_with``, ``n_words``, ``n_removed``, ``kept``, ``kept_sha256`` per row of ``_id``, ``_text`` and ``_with``."""
     if window < 2:
         raise ValueError("a window has two words or more")
-    mark = F.xxhash64("_text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_t")
+    # ids may be null or repeat: texts under one id are told apart by all 128 bits of a digest
+    mark = F.unhex(F.md5("_text")).alias("_t")
     rows = rows.select("_id", "_text", "_with", mark)
     narrow = rows.select("_id", "_text", "_t")
     shared = rows.sparkSession.sparkContext.broadcast(_shared_filter(narrow, window, rounds, filter_bits))

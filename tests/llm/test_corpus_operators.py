@@ -172,6 +172,19 @@ def test_rows_without_repeats_stay_as_they_are(spark):
     assert collected(out, "doc_id", "text") == [(1, "one"), (3, "own  text\n"), (4, None)]
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    """Different texts whose hashes agree in the low 31 bits, under a null id."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF
+    with_it = {low(t): t for t in (f"{passage} {k}" for k in range(150_000))}
+    own = " ".join(f"own{i}" for i in range(20))
+    clean = next(t for t in (f"{own} {k}" for k in range(1_000_000)) if low(t) in with_it)
+    docs = [(None, with_it[low(clean)]), (None, clean), (5, with_it[low(clean)]), (1, passage)]
+    got = collected(substrings.repeated_words(frame(spark, docs)), "doc_id", "n_words", "n_removed", "kept", "kept_sha256")
+    assert sorted(got, key=str) == sorted(brute_repeats(docs, 35), key=str)
+    assert collected(substrings.without_repeats(frame(spark, docs)).where("text like 'own%'"), "doc_id", "text") == [(None, clean)]
+
+
 def test_symbols_depend_on_what_they_say(spark):
     """A symbol of a passage whose dependence lies inside it is in every text with the passage."""
     rng = random.Random(4)
