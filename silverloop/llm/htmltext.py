@@ -6,7 +6,9 @@ lines. Text lengths, without those of links, are summed over sliding windows of
 sum over the threshold after a lower one is a surge; the sum falling to nothing, a
 dive. The lines from surge to dive are the text; where they lie in an ``article`` or
 ``main`` element, so are its other lines, as an advert in the middle parts one article
-into two peaks. A page without a surge keeps its largest peak.
+into two peaks. Elsewhere so are all lines of the block element that holds a peak's
+longest line, whatever their length, and an article too short for a surge stays beside
+them. A page without a surge keeps its largest peak, in the same way.
 """
 
 from __future__ import annotations
@@ -43,6 +45,14 @@ NAMES = {
     "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search", "form",
     "pagination", "pager", "widget", "toolbar", "hidden", "alert",
 }
+# A name that begins so says what a container has or lacks; the header of a post holds its title.
+ABOUT = {"has", "with", "without", "no", "non", "not", "overflow"}
+POSTS = {"post", "entry", "article", "story", "content"}
+# Parts of a text; what holds them is further out.
+PARTS = {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "hgroup", "address",
+    "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "details", "summary",
+}
 CONTENT = {"html", "body", "article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -53,7 +63,15 @@ _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+def _names_boilerplate(value: str) -> bool:
+    for token in value.split():
+        parts = [x.lower() for x in _NAME_PART.findall(token)]
+        if parts and parts[0] not in ABOUT and not (len(parts) == 2 and parts[0] in POSTS and parts[1] == "header") and not NAMES.isdisjoint(parts):
+            return True
+    return False
+
+
+def _is_boilerplate(tag: str, attributes: str, names: bool) -> bool:
     if tag in CONTENT:
         return False
     if tag in DROPPED:
@@ -62,39 +80,62 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and any(part.lower() in NAMES for part in _NAME_PART.findall(value)):
+        if names and name in ("class", "id") and _names_boilerplate(value):
             return True
         if name == "hidden" or (name == "role" and value.lower() in ROLES) or (name == "style" and _HIDDEN.search(value)):
             return True
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, int]]:
-    """Text, length without links and number of the article element (0: none) of every line; dropped parts are empty lines."""
-    out: list[tuple[str, int, int]] = []
+Line = tuple[str, int, int, list[int]]
+
+
+def lines(html: str) -> list[Line]:
+    """Text, length without links, number of the article element (0: none) and lines (first, end) of the block element
+    around it, of every line; dropped parts are empty lines.
+
+    A page of which names leave nothing is read without regard to them.
+    """
+    out = _lines(html, True)
+    return out if any(x[0] for x in out) else _lines(html, False)
+
+
+def _lines(html: str, names: bool) -> list[Line]:
+    out: list[Line] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
-    opened: list[tuple[str, bool, int]] = []  # tag, dropped, article
+    whole = [0, 0, 1]
+    opened: list[tuple[str, bool, int, list[int]]] = []  # tag, dropped, article; first line, end, whether it has block elements
     dropped = article = articles = 0
 
-    def flush() -> None:
+    def around(before_child: bool) -> list[int]:
+        if not opened:
+            return whole
+        tag, _, _, span = opened[-1]
+        if tag in CONTENT or (tag not in PARTS and (before_child or span[2])):
+            return span
+        # a block with text alone is a paragraph, whatever its tag
+        return next((x[3] for x in reversed(opened[:-1]) if x[0] not in PARTS), whole)
+
+    def flush(before_child: bool = False) -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, len(text) - linked), article))
+            out.append((text, max(0, len(text) - linked), article, around(before_child)))
         parts.clear()
         linked = 0
 
     def close(until: int) -> None:
         nonlocal dropped, article
         while len(opened) > until:
-            _, was_dropped, before = opened.pop()
+            _, was_dropped, before, span = opened.pop()
+            span[1] = len(out)
             article = before
             if was_dropped:
                 dropped -= 1
                 if not dropped:
-                    out.extend([("", 0, article)] * WINDOW)
+                    out.extend([("", 0, article, whole)] * WINDOW)
 
     at, size, last_quote = 0, len(html), html.rfind('"')
     while at < size:
@@ -154,31 +195,35 @@ def lines(html: str) -> list[tuple[str, int, int]]:
         if heading:  # the title of an article may stand in its own header
             close(len(opened) - 1)
         if not dropped and tag not in INLINE:
-            flush()
+            flush(tag not in VOID)
         if tag == "a":
             in_link = 1
         if tag in VOID or attributes.endswith("/"):
             continue
-        drop = _is_boilerplate(tag, attributes)
+        drop = _is_boilerplate(tag, attributes, names)
         if tag in INLINE and not drop:
             continue
         if tag == "p" and opened and opened[-1][0] == "p":
             close(len(opened) - 1)
         if drop and not dropped:
             flush()
-            out.extend([("", 0, article)] * WINDOW)
-        opened.append((tag, drop, article))
+            out.extend([("", 0, article, whole)] * WINDOW)
+        if opened and tag not in INLINE:
+            opened[-1][3][2] = 1
+        opened.append((tag, drop, article, [len(out), 0, 0]))
         dropped += drop
         if tag in ("article", "main") and not dropped:
             articles += not article
             article = article or articles
     if not dropped:
         flush()
+    for span in (whole, *(x[3] for x in opened)):
+        span[1] = len(out)
     return out
 
 
-def main_lines(found: list[tuple[str, int, int]], window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
-    """The lines between surge and dive points."""
+def main_lines(found: list[Line], window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
+    """The lines between surge and dive points, and those of the elements that hold them."""
     sums = [sum(x[1] for x in found[i : i + window]) for i in range(len(found))]
     peaks: list[tuple[int, int, int]] = []  # first line, end, largest sum
     i = 0
@@ -198,8 +243,11 @@ def main_lines(found: list[tuple[str, int, int]], window: int = WINDOW, threshol
     keep = set()
     for a, b, _ in chosen:
         keep.update(range(a, min(b + window - 1, len(found))))
+        keep.update(range(*found[max(range(a, min(b + window - 1, len(found))), key=lambda k: found[k][1])][3][:2]))
     if inside:
         keep = {k for k, x in enumerate(found) if x[2] in inside}
+    else:
+        keep.update(k for k, x in enumerate(found) if x[2])
     return [x[0] for k, x in enumerate(found) if k in keep and x[0]]
 
 

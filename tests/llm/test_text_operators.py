@@ -97,6 +97,20 @@ def test_html(spark):
     assert htmltext.extract(pages.where("false")).count() == 0
 
 
+def test_short_lines_of_the_main_region_stay():
+    main = lambda html: htmltext.main_lines(htmltext.lines(html))
+    long, ad = ("long text " * 20).strip(), "<div class='ad'>Buy now</div>"
+    for tag in ("p", "div"):
+        block = lambda t: f"<{tag}>{t}</{tag}>"  # noqa: E731, B023
+        page = f"<nav>x</nav><div><h2>Title</h2>{ad}{block('one')}{ad}{block(long)}<aside>y</aside>{block('two')}{ad}{block('end')}</div><div><p>other</p></div>"
+        assert main(page) == ["Title", "one", long, "two", "end"]
+    assert main(f"<section><div>Title</div>{ad}<ul><li>{long}</li></ul>{ad}<p>end</section>") == ["Title", long, "end"]
+    assert main(f"<article><h1>Title</h1><p>short</p></article>{ad}<div><p>{long}</p></div>") == ["Title", "short", long]
+    for name in ("content has-sidebar", "post-header", "no-ads", "with-nav main"):
+        assert main(f"<div class='{name}'><h1>Title</h1><p>{long}</p></div><div class='main-nav'>menu</div>") == ["Title", long]
+    assert main(f"<nav>x</nav><div class='widget'><p>{long}</p></div>") == [long]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
