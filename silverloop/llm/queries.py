@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silverloop.llm import decontaminate, fingerprint, htmltext, langid, pieces, simhash, substrings, tokenfiles, toolcalls, warczip
-from silverloop.llm.common import read, shared_path
+from silverloop.llm import alignment, decontaminate, fingerprint, htmltext, langid, minhash, periods, pieces, simhash, substrings, tokenfiles, toolcalls, warczip
+from silverloop.llm.common import read, shared_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,49 @@ SELECT conv_id, id AS call_id, turn, CASE role WHEN 'user' THEN 'search' ELSE 'c
     || '","result":' || coalesce(to_json(result), 'null') || '}' AS line
 FROM j
 """
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers lie on every document, and how usual its links are."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(read(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    kept = stage(aligned.select("doc_id", "n_a", "n_b", F.size("links").cast("bigint").alias("n_groups"), digest, "links"), "alignment")
+    return alignment.weigh(kept, *paths).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 of the id is a multiple of 10 get a periodic tail, as the query's contract says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def tailed(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        place = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(place, " ")).otherwise(F.lit(""))
+
+    # the array of one binds the words once; else every place would split the text anew
+    split = F.transform(F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))), tailed)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(split, F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, the steepest one, and the text without their repeats."""
+    found = periods.periodic_runs(_with_tails(read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    top = found.withColumn("top", periods.steepest(F.col("runs")))
+    exponent = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    digests = F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return top.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period", exponent, *digests)
+
+
+@query
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document by shingles of three words."""
+    found = minhash.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
