@@ -106,17 +106,15 @@ class _Aligner:
         crossed = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
         self.stops = frozenset(s for s in STOPS if self.breaks and s not in crossed)
         # (tokens of A << 32) + tokens of B, groups, places of the links' pairs; None: bytes differ
-        self.known: dict[str, tuple[int, str, bytes] | None] = {}
+        self.known: dict[str, tuple[int, str, bytes] | None] = {}  # by parts, which a space stands before
+        self.inner: dict[str, tuple[int, str, bytes] | None] = {}  # by what starts with a line break, and stops
         if self.stops:
-            self._encode([f"\n{s}" for s in self.stops])
-            lone = self._encode_one("\n")
+            self._encode(["\n", *(f"\n{s}" for s in self.stops)])
+            lone = self.inner["\n"]
             for s in self.stops:
-                n, groups, links = self.known[f"\n{s}"]
-                self.known[s] = (n - lone[0], groups[len(lone[1]) + 1 :], links[len(lone[2]) :])
-
-    def _encode_one(self, atom: str):
-        self._encode([atom])
-        return self.known[atom]
+                n, groups, links = self.inner[f"\n{s}"]
+                self.inner[s] = (n - lone[0], groups[len(lone[1]) + 1 :], links[len(lone[2]) :])
+        self.always = len(self.inner)
 
     @staticmethod
     def _ends(spans: list[tuple[int, int]], raw: list[bytes]) -> list[int]:
@@ -129,7 +127,7 @@ class _Aligner:
         return out
 
     def _encode(self, atoms: list[str]) -> None:
-        """Aligns atoms, which start with a space or a line break, and remembers them by what follows a space."""
+        """Aligns atoms, which start with a space or a line break, and remembers them."""
         for first in range(0, len(atoms), AT_ONCE):
             part = atoms[first : first + AT_ONCE]
             lefts = self.a.encode_batch(part, add_special_tokens=False)
@@ -140,13 +138,15 @@ class _Aligner:
             where = np.searchsorted(self.pairs, np.array(keys, np.int64)).astype("<i4").tobytes()
             at = 0
             for atom, got in zip(part, made, strict=True):
-                name = atom[1:] if atom[0] == " " else atom
-                if got is None:
-                    self.known[name] = None
-                else:
+                entry = None
+                if got is not None:
                     n, groups, links = got
-                    self.known[name] = (n, groups, where[4 * at : 4 * (at + links)])
+                    entry = n, groups, where[4 * at : 4 * (at + links)]
                     at += links
+                if atom[0] == " ":
+                    self.known[atom[1:]] = entry
+                else:
+                    self.inner[atom] = entry
 
     def _aligned(self, atom: str, left, pieces, keys: list[int]):
         text = atom.encode()
@@ -175,31 +175,31 @@ class _Aligner:
                 i0, j0 = i + 1, j + 1
         return (len(a_ids) << 32) + len(b_ids), ";".join(groups), len(groups)
 
-    def _atoms(self, part: str) -> list[str]:
-        """What a part is made of, as names of what ``known`` remembers."""
+    def _atoms(self, part: str) -> list[tuple[dict, str]]:
+        """What a part is made of: where each is remembered, and its name there."""
         lines = part.split("\n") if self.breaks else [part]
         if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
             lines = [part]
         out = []
         for k, x in enumerate(lines):
-            word = f"\n{x}" if k else x
+            word, where = (f"\n{x}", self.inner) if k else (x, self.known)
             if len(x) > 1 and x[-1] in self.stops and x[-2].isalpha():
-                out += [word[:-1], x[-1]]
+                out += [(where, word[:-1]), (self.inner, x[-1])]
             else:
-                out.append(word)
+                out.append((where, word))
         return out
 
     def _learn(self, parts: Iterable[str]) -> None:
-        known, new, made = self.known, {}, {}
+        new, made = {}, {}
         for p in parts:
-            atoms = self._atoms(p) if p and ("\n" in p or p[-1] in self.stops) else [p]
-            new.update((x, None) for x in atoms if x not in known)
+            atoms = self._atoms(p) if p and ("\n" in p or p[-1] in self.stops) else [(self.known, p)]
+            new.update((f" {x}" if where is self.known else x, None) for where, x in atoms if x not in where)
             if len(atoms) > 1:
                 made[p] = atoms
-        self._encode([x if x.startswith("\n") and self.breaks else f" {x}" for x in new])
+        self._encode(list(new))
         for p, atoms in made.items():
-            got = [known[x] for x in atoms]
-            known[p] = None if None in got else (sum(x[0] for x in got), ";".join([x[1] for x in got]), b"".join([x[2] for x in got]))
+            got = [where[x] for where, x in atoms]
+            self.known[p] = None if None in got else (sum(x[0] for x in got), ";".join([x[1] for x in got]), b"".join([x[2] for x in got]))
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text that is not empty; each stands for itself with a space before it."""
@@ -209,9 +209,9 @@ class _Aligner:
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, bytes] | None]:
         """Tokens, groups and links of every text; None without tokens."""
-        if len(self.known) > REMEMBERED:  # the first parts met are the most frequent ones
-            kept = {s: self.known[s] for s in self.stops}
-            self.known = kept | dict(islice(self.known.items(), REMEMBERED // 2))
+        if len(self.known) + len(self.inner) > REMEMBERED:  # the first ones met are the most frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            self.inner = dict(islice(self.inner.items(), max(self.always, REMEMBERED // 8)))
         split = [self.parts(t) if t else [] for t in texts]
         absent = {p for parts in split for p in parts if p not in self.known}
         if absent:
