@@ -23,7 +23,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from silverloop.llm.common import chunks, texts_of
 
 # Parts a worker process remembers from task to task, and new ones it encodes at once.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 AT_ONCE = 20_000
+# Bytes of text a task works on at a time.
+STEP_CHARS = 1_000_000
 STOPS = ",."
 MARK = "▁"
 _LOOSE = re.compile(r" (?=\s|$)")
@@ -88,6 +90,12 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the lists, and the length of each."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
 class _Aligner:
     def __init__(self, byte_path: str, piece_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,7 +106,10 @@ class _Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are text
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.a_bytes, self.b_bytes = spelled_bytes(self.a), spelled_pieces(self.b)
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.pairs = possible_pairs(self.a_bytes, self.b_bytes)
+        size = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = {c: np.array([f"{i}{c}" for i in range(size)], object) for c in ",|;"}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         # cuts that no piece goes across
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
@@ -116,64 +127,70 @@ class _Aligner:
                 self.inner[s] = (n - lone[0], groups[len(lone[1]) + 1 :], links[len(lone[2]) :])
         self.always = len(self.inner)
 
-    @staticmethod
-    def _ends(spans: list[tuple[int, int]], raw: list[bytes]) -> list[int]:
-        """Byte ends of tokens: those of their spans, or by decoded bytes where spans overlap or are empty."""
-        out, at = [], 0
-        for k, (start, end) in enumerate(spans):
-            alone = start == at and start < end and (k + 1 == len(spans) or spans[k + 1][0] == end < spans[k + 1][1])
-            at = end if alone else at + len(raw[k])
-            out.append(at)
-        return out
-
     def _encode(self, atoms: list[str]) -> None:
         """Aligns atoms, which start with a space or a line break, and remembers them."""
         for first in range(0, len(atoms), AT_ONCE):
             part = atoms[first : first + AT_ONCE]
-            lefts = self.a.encode_batch(part, add_special_tokens=False)
-            rights = self.b.encode([x[1:] if x[0] == " " else x for x in part], return_type="proto", num_threads=1)
-            keys, made = [], []
-            for atom, left, right in zip(part, lefts, rights, strict=True):
-                made.append(self._aligned(atom, left, right.pieces, keys))
-            where = np.searchsorted(self.pairs, np.array(keys, np.int64)).astype("<i4").tobytes()
-            at = 0
-            for atom, got in zip(part, made, strict=True):
-                entry = None
-                if got is not None:
-                    n, groups, links = got
-                    entry = n, groups, where[4 * at : 4 * (at + links)]
-                    at += links
+            for atom, entry in zip(part, self._aligned(part), strict=True):
                 if atom[0] == " ":
                     self.known[atom[1:]] = entry
                 else:
                     self.inner[atom] = entry
 
-    def _aligned(self, atom: str, left, pieces, keys: list[int]):
-        text = atom.encode()
-        a_ids, b_spans = left.ids, [(p.id, p.begin, p.end) for p in pieces]
-        shift = int(atom[0] == " ")  # B's spans don't count the space it adds
-        if not shift:
-            b_spans = b_spans[1:]  # that space alone
-        b_ids = [i for i, _, _ in b_spans]
-        a_raw, b_raw = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_raw) != text or b"".join(b_raw) != text:
-            return None
-        spans = left.offsets
-        if len(text) != len(atom):
-            byte_of = np.cumsum([0, *(len(c.encode()) for c in atom)]).tolist()
-            spans = [(byte_of[s], byte_of[e]) for s, e in spans]
-        a_ends = self._ends(spans, a_raw)
-        b_ends = self._ends([(s + shift if k or not shift else 0, e + shift) for k, (_, s, e) in enumerate(b_spans)], b_raw)
-        place = {e: j for j, e in enumerate(b_ends)}
-        i0 = j0 = 0
-        groups = []
-        for i, e in enumerate(a_ends):
-            j = place.get(e)
-            if j is not None:
-                groups.append(f"{','.join(map(str, a_ids[i0 : i + 1]))}|{','.join(map(str, b_ids[j0 : j + 1]))}")
-                keys.append(a_ids[i] * len(self.b_bytes) + b_ids[j])
-                i0, j0 = i + 1, j + 1
-        return (len(a_ids) << 32) + len(b_ids), ";".join(groups), len(groups)
+    @staticmethod
+    def _ends(counts: np.ndarray, lengths: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Where tokens end in the bytes of all atoms: by their spans, or by the bytes they decode to where spans
+        are empty or share a character."""
+        of = np.repeat(np.arange(len(counts)), counts)
+        decoded = np.cumsum(lengths)
+        before = np.append(0, decoded)[np.cumsum(counts) - counts]
+        same = of[1:] == of[:-1]
+        clear = ~same | (ends[:-1] <= starts[1:])
+        alone = (starts < ends) & np.append(True, clear) & np.append(clear, True)
+        return np.where(alone, ends, decoded - before[of] + base[of])
+
+    def _aligned(self, atoms: list[str]) -> list[tuple[int, str, bytes] | None]:
+        """Tokens, groups and links of every atom; None where the bytes differ."""
+        lefts = self.a.encode_batch(atoms, add_special_tokens=False)
+        rights = self.b.encode([x[1:] if x[0] == " " else x for x in atoms], return_type="proto", num_threads=1)
+        flat, texts = "".join(atoms).encode(), [x.encode() for x in atoms]
+        base = np.cumsum([0, *map(len, texts[:-1])])
+        # A: spans of characters, turned into bytes
+        a_ids, n_a = _flat([x.ids for x in lefts])
+        spans = np.fromiter(chain.from_iterable(y for x in lefts for y in x.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        raw = np.frombuffer(flat, np.uint8)
+        byte_of = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        spans = byte_of[spans + np.repeat(np.cumsum([0, *map(len, atoms[:-1])]), n_a)[:, None]]
+        a_ends = self._ends(n_a, self.a_lengths[a_ids], spans[:, 0], spans[:, 1], base)
+        # B: spans of bytes, without the space that it adds; before a line break that space is no part of the atom
+        pieces = [x.pieces if y[0] == " " else x.pieces[1:] for x, y in zip(rights, atoms, strict=True)]
+        b_ids, n_b = _flat([[p.id for p in x] for x in pieces])
+        shift = np.repeat(base + np.fromiter((x[0] == " " for x in atoms), np.int64, len(atoms)), n_b)
+        b_starts, b_ends = (np.fromiter(x, np.int64, len(b_ids)) + shift for x in ((p.begin for x in pieces for p in x), (p.end for x in pieces for p in x)))
+        b_starts[(np.cumsum(n_b) - n_b)[n_b > 0]] = base[n_b > 0]
+        b_ends = self._ends(n_b, self.b_lengths[b_ids], b_starts, b_ends, base)
+        good = np.ones(len(atoms), bool)
+        for ids, counts, spelled in ((a_ids, n_a, self.a_bytes), (b_ids, n_b, self.b_bytes)):
+            made = [spelled[i] for i in ids.tolist()]
+            if b"".join(made) != flat:
+                stops = np.cumsum(counts).tolist()
+                good &= [b"".join(made[z - n : z]) == t for z, n, t in zip(stops, counts.tolist(), texts, strict=True)]
+        if not good.all():
+            again = iter(self._aligned([x for x, y in zip(atoms, good, strict=True) if y]) if good.any() else ())
+            return [next(again) if y else None for y in good.tolist()]
+        # tokens that end together close a group; the tokens of a group in order, A's first
+        a_last, b_last = np.isin(a_ends, b_ends, assume_unique=True), np.isin(b_ends, a_ends, assume_unique=True)
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        names = np.where(a_last, self.names["|"][a_ids], self.names[","][a_ids])
+        names = np.concatenate([names, np.where(b_last, self.names[";"][b_ids], self.names[","][b_ids])])[order].tolist()
+        pairs = a_ids[a_last] * len(self.b_bytes) + b_ids[b_last]
+        links = np.searchsorted(self.pairs, pairs).astype("<i4").tobytes()
+        name_stops = np.cumsum(n_a + n_b).tolist()
+        link_stops = (4 * np.cumsum(np.add.reduceat(a_last, np.cumsum(n_a) - n_a, dtype=np.int64))).tolist()
+        counts = ((n_a << 32) + n_b).tolist()
+        name_starts, link_starts = [0, *name_stops[:-1]], [0, *link_stops[:-1]]
+        return [(n, "".join(names[i:j])[:-1], links[k:m]) for n, i, j, k, m in zip(counts, name_starts, name_stops, link_starts, link_stops, strict=True)]
 
     def _atoms(self, part: str) -> list[tuple[dict, str]]:
         """What a part is made of: where each is remembered, and its name there."""
@@ -213,14 +230,17 @@ class _Aligner:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
             self.inner = dict(islice(self.inner.items(), max(self.always, REMEMBERED // 8)))
         split = [self.parts(t) if t else [] for t in texts]
-        absent = {p for parts in split for p in parts if p not in self.known}
+        absent = set(chain.from_iterable(split)).difference(self.known)
         if absent:
             self._learn(absent)
         out = []
         for parts in split:
             got = list(map(self.known.__getitem__, parts))
-            whole = got and None not in got
-            out.append((sum([x[0] for x in got]), ";".join([x[1] for x in got]), b"".join([x[2] for x in got])) if whole else None)
+            if not got or None in got:
+                out.append(None)
+                continue
+            counts, groups, links = zip(*got, strict=True)
+            out.append((sum(counts), ";".join(groups), b"".join(links)))
         return out
 
 
@@ -247,7 +267,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
         aligner = _aligner(byte_path, piece_path)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("_id"))
-            for first, last, texts in chunks(batch):
+            for first, last, texts in chunks(batch, STEP_CHARS):
                 got = [x or (0, "", b"") for x in aligner(texts)]
                 counts = np.array([x[0] for x in got], np.int64)
                 offsets = np.append(0, np.cumsum([len(x[2]) // 4 for x in got])).astype(np.int32)
