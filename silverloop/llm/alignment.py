@@ -2,8 +2,8 @@
 
 A byte-level tokenizer (A) and a SentencePiece model (B) cut one text, a space and the
 document. The tokenizers library tells where A's tokens lie in characters, the
-processor's span output where B's lie in bytes (the installed version calls it
-``proto``; the immutable one is gone). These spans are the coarse cuts. Tokens that share
+processor's spans where B's lie in bytes (the installed version has no immutable proto;
+its offset mapping gives the same begins and ends). These spans are the coarse cuts. Tokens that share
 a character, as parts of its bytes do, have no cut of their own there: they are refined
 by the bytes they decode to. Where tokens of both end together, a group ends.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from silverloop.llm.common import chunks, texts_of
 
 # Parts a worker process remembers from task to task, and new ones it encodes at once.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 AT_ONCE = 20_000
 # Bytes of text a task works on at a time.
 STEP_CHARS = 1_000_000
@@ -152,7 +152,7 @@ class _Aligner:
     def _aligned(self, atoms: list[str]) -> list[tuple[int, str, bytes] | None]:
         """Tokens, groups and links of every atom; None where the bytes differ."""
         lefts = self.a.encode_batch(atoms, add_special_tokens=False)
-        rights = self.b.encode([x[1:] if x[0] == " " else x for x in atoms], return_type="proto", num_threads=1)
+        rights = self.b.encode([x[1:] if x[0] == " " else x for x in atoms], return_type="offset_mapping", return_bytes=True, num_threads=1)
         flat, texts = "".join(atoms).encode(), [x.encode() for x in atoms]
         base = np.cumsum([0, *map(len, texts[:-1])])
         # A: spans of characters, turned into bytes
@@ -163,12 +163,12 @@ class _Aligner:
         spans = byte_of[spans + np.repeat(np.cumsum([0, *map(len, atoms[:-1])]), n_a)[:, None]]
         a_ends = self._ends(n_a, self.a_lengths[a_ids], spans[:, 0], spans[:, 1], base)
         # B: spans of bytes, without the space that it adds; before a line break that space is no part of the atom
-        pieces = [x.pieces if y[0] == " " else x.pieces[1:] for x, y in zip(rights, atoms, strict=True)]
-        b_ids, n_b = _flat([[p.id for p in x] for x in pieces])
-        shift = np.repeat(base + np.fromiter((x[0] == " " for x in atoms), np.int64, len(atoms)), n_b)
-        b_starts, b_ends = (np.fromiter(x, np.int64, len(b_ids)) + shift for x in ((p.begin for x in pieces for p in x), (p.end for x in pieces for p in x)))
-        b_starts[(np.cumsum(n_b) - n_b)[n_b > 0]] = base[n_b > 0]
-        b_ends = self._ends(n_b, self.b_lengths[b_ids], b_starts, b_ends, base)
+        spaced = [x[0] == " " for x in atoms]
+        b_ids, n_b = _flat([x["ids"] if y else x["ids"][1:] for x, y in zip(rights, spaced, strict=True)])
+        places = [x["offsets"] if y else x["offsets"][1:] for x, y in zip(rights, spaced, strict=True)]
+        places = np.fromiter(chain.from_iterable(y for x in places for y in x), np.int64, 2 * len(b_ids)).reshape(-1, 2) + np.repeat(base + spaced, n_b)[:, None]
+        places[(np.cumsum(n_b) - n_b)[n_b > 0], 0] = base[n_b > 0]
+        b_ends = self._ends(n_b, self.b_lengths[b_ids], places[:, 0], places[:, 1], base)
         good = np.ones(len(atoms), bool)
         for ids, counts, spelled in ((a_ids, n_a, self.a_bytes), (b_ids, n_b, self.b_bytes)):
             made = [spelled[i] for i in ids.tolist()]
@@ -206,17 +206,20 @@ class _Aligner:
                 out.append((where, word))
         return out
 
-    def _learn(self, parts: Iterable[str]) -> None:
-        new, made = {}, {}
+    def _learn(self, parts: Iterable[str]) -> dict[str, tuple[int, str, bytes] | None]:
+        """Remembers atoms; returns the parts that are made of several."""
+        alone, made = [], {}
         for p in parts:
-            atoms = self._atoms(p) if p and ("\n" in p or p[-1] in self.stops) else [(self.known, p)]
-            new.update((f" {x}" if where is self.known else x, None) for where, x in atoms if x not in where)
-            if len(atoms) > 1:
+            if p and ("\n" in p or p[-1] in self.stops) and len(atoms := self._atoms(p)) > 1:
                 made[p] = atoms
-        self._encode(list(new))
+            else:
+                alone.append(f" {p}")
+        within = {f" {x}" if where is self.known else x for atoms in made.values() for where, x in atoms if x not in where}
+        self._encode(alone + list(within.difference(alone)))
         for p, atoms in made.items():
             got = [where[x] for where, x in atoms]
-            self.known[p] = None if None in got else (sum(x[0] for x in got), ";".join([x[1] for x in got]), b"".join([x[2] for x in got]))
+            made[p] = None if None in got else (sum(x[0] for x in got), ";".join([x[1] for x in got]), b"".join([x[2] for x in got]))
+        return made
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text that is not empty; each stands for itself with a space before it."""
@@ -231,8 +234,8 @@ class _Aligner:
             self.inner = dict(islice(self.inner.items(), max(self.always, REMEMBERED // 8)))
         split = [self.parts(t) if t else [] for t in texts]
         absent = set(chain.from_iterable(split)).difference(self.known)
-        if absent:
-            self._learn(absent)
+        composed = self._learn(absent) if absent else {}
+        self.known.update(composed)  # for these texts only: memory is for atoms
         out = []
         for parts in split:
             got = list(map(self.known.__getitem__, parts))
@@ -241,6 +244,8 @@ class _Aligner:
                 continue
             counts, groups, links = zip(*got, strict=True)
             out.append((sum(counts), ";".join(groups), b"".join(links)))
+        for p in composed:
+            del self.known[p]
         return out
 
 
