@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from silverloop.sources import splitcsv
+
 # Doubled quotes, the form that CSV writers agree on.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
 def read_table_auto(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True, position: str | None = None
 ) -> DataFrame:
     """CSV or Parquet by the extension, in any case; anything else is an error.
 
-    Without a schema, CSV types are inferred, which reads the files twice. A CSV file
-    with line breaks in quotes is read by one task; where there are none, as in a
-    large export, ``multi_line=False`` splits files.
+    A CSV file is read by many tasks, with line breaks in quotes or without;
+    ``multi_line=False`` saves the pass that looks for them. Without a schema, CSV columns
+    are typed by all their values, which reads the files once more. ``position`` names a
+    column that orders the rows as they stand in the files: by file name, then place
+    (``row_index`` of Parquet; range and line of CSV). It is what keep-last and the row
+    cap ask for.
     """
     kind = path.rstrip("/").lower().rsplit(".", 1)[-1]
     if kind not in ("csv", "parquet"):
         raise ValueError(f"unsupported file type: {path}")
+    if kind == "csv" and (multi_line or position):
+        given = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return splitcsv.read(spark, path, given, CSV_OPTIONS, position)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if kind == "parquet":
-        return reader.parquet(path)
-    return reader.options(**CSV_OPTIONS, multiLine=multi_line, inferSchema=schema is None).csv(path)
+    if kind == "csv":
+        return reader.options(**CSV_OPTIONS, inferSchema=schema is None).csv(path)
+    found = reader.parquet(path)
+    if position is None:
+        return found
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return found.select(place.alias(position), "*")
 
 
 def read_csv_strings(
@@ -32,10 +45,11 @@ def read_csv_strings(
 ) -> DataFrame:
     """CSV with every column as text and null as ``""``.
 
-    ``columns`` gives the header and saves the look at the first line; ``multi_line``
-    as in ``read_table_auto``.
+    ``columns`` gives the header and saves the look at it; ``multi_line`` as in
+    ``read_table_auto``.
     """
-    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, inferSchema=False)
-    if columns:
-        reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    return reader.csv(path).na.fill("")
+    schema = StructType([StructField(c, StringType()) for c in columns]) if columns else None
+    if multi_line:
+        return splitcsv.read(spark, path, schema, CSV_OPTIONS, typed=False).na.fill("")
+    reader = spark.read.options(**CSV_OPTIONS, inferSchema=False)
+    return (reader.schema(schema) if schema else reader).csv(path).na.fill("")
