@@ -193,6 +193,9 @@ ORACLES["log_loss"] = f"SELECT {r6(_LOSS)} AS log_loss FROM {PREDICTIONS}"
 
 # -- ranking, samples, splits -------------------------------------------------
 
+ORACLES["keep_last_by_file_order"] = """SELECT 'last' AS kind, lang, source, doc_id, nullif(text, '') AS text FROM documents
+  QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id DESC) = 1
+UNION ALL SELECT 'first 500', lang, source, doc_id, nullif(text, '') FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 500"""
 ORACLES["dedupe_keep_last"] = f"""SELECT {clean_id('doc_id')} AS doc_id, text, is_green_human, source_pos FROM {REVIEWED}
 QUALIFY row_number() OVER (PARTITION BY {clean_id('doc_id')} ORDER BY source_pos DESC) = 1"""
 _PROBABILITY = f"1 / (1 + exp(-(list_dot_product(CAST(embedding AS DOUBLE[]), {WEIGHTS}) + {fx.INTERCEPT})))"

@@ -208,6 +208,18 @@ def row_cap(spark, sf_dir):
     return cleaning.row_cap(fx.read(spark, sf_dir, "documents").select("doc_id", "text"), 500, "doc_id")
 
 
+@query
+def keep_last_by_file_order(spark, sf_dir):
+    """The last document of each language and source as the CSV files stand, and the first 500 of all; no position column is in them."""
+    docs = fx.read(spark, sf_dir, "documents")
+    path = new_path(spark, "documents") + ".csv"
+    writers.write_csv(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)
+    read = readers.read_table_auto(spark, path, docs.schema, position="place")
+    last = sampling.dedupe_keep_last(read, ["lang", "source"], "place").withColumn("kind", F.lit("last"))
+    both = last.unionByName(cleaning.row_cap(read, 500, "place").withColumn("kind", F.lit("first 500")))
+    return both.select("kind", "lang", "source", "doc_id", "text")
+
+
 # -- joins --------------------------------------------------------------------
 
 
@@ -565,7 +577,7 @@ def attention_append(spark, sf_dir):
 @query
 def sgd_trace(spark, sf_dir):
     """The whole of every supplier's sequence, in order."""
-    trace = fold.sgd_trace(fx.derive(spark, sf_dir, fx.SAMPLES), "supp", "pos", chunk=1 << 16)
+    trace = fold.sgd_trace(fx.derive(spark, sf_dir, fx.SAMPLES), "supp", "pos")
     values = [F.round(c, 4).alias(c) for c in ("w_old", "prediction", "loss", "gradient", "w_new")]
     return trace.select("supp", "pos", "x", *values)
 

@@ -13,9 +13,10 @@ doubled inside, and closes before a delimiter or a line end.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,90 +48,99 @@ def ends_inside(line: str, inside: bool) -> bool:
     return line.startswith('"', at) and not _CLOSED.match(line, at)
 
 
-def _lines(spark: SparkSession, path) -> DataFrame:
-    """``value`` of every line, with the file and the first byte of the range it was read in."""
+def _lines(spark: SparkSession, path, position: bool) -> DataFrame:
+    """``value`` of every line, its file as a hash (``file``, by name if asked for), and the first byte of its range."""
     found = spark.read.text(path, lineSep="\n")
-    return found.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    name = F.col("_metadata.file_path")
+    more = [name.alias("name")] if position else []
+    return found.select("value", F.xxhash64(name).alias("file"), F.col("_metadata.file_block_start").alias("start"), *more)
 
 
-def _of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+def _of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
     """The lines of a task range by range, as they come."""
     for batch in batches:
-        file, start = batch.column("file").to_pylist(), batch.column("start").to_pylist()
-        first = 0
-        while first < batch.num_rows:
-            key, last = (file[first], start[first]), first + 1
-            while last < batch.num_rows and start[last] == key[1] and file[last] == key[0]:
-                last += 1
-            yield key, batch.column("value").slice(first, last - first)
-            first = last
+        file, start = (batch.column(c).to_numpy() for c in ("file", "start"))
+        cuts = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
+        for first, last in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            if first < last:
+                yield (int(file[first]), int(start[first])), batch.slice(first, last - first)
 
 
 def range_states(lines: DataFrame) -> DataFrame:
-    """``file``, ``start``, ``inside``: the state after each range that holds a quote, and ``until``, the next such range."""
+    """``file``, ``start``, ``inside``: whether a range begins inside quotes, for all ranges of files that hold a quote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ends = None, [False, True]
+        now, ends, quoted = None, [False, True], False
 
         def row():
-            return pa.RecordBatch.from_pydict({"file": [now[0]], "start": [now[1]], "outside_to": [ends[0]], "inside_to": [ends[1]]})
+            return pa.RecordBatch.from_pydict({"file": [now[0]], "start": [now[1]], "outside_to": [ends[0]], "inside_to": [ends[1]], "quoted": [quoted]})
 
-        for key, values in _of_ranges(batches):
+        for key, rows in _of_ranges(batches):
             if key != now:
                 if now:
                     yield row()
-                now, ends = key, [False, True]
-            for line in values.to_pylist():
-                ends = [ends_inside(line, x) for x in ends]
+                now, ends, quoted = key, [False, True], False
+            for line in rows.column("value").drop_null().to_pylist():
+                ends, quoted = [ends_inside(line, x) for x in ends], True
         if now:
             yield row()
 
-    told = lines.where(F.contains("value", F.lit('"'))).mapInArrow(run, "file string, start bigint, outside_to boolean, inside_to boolean")
+    slim = lines.select(F.when(F.contains("value", F.lit('"')), F.col("value")).alias("value"), "file", "start")
+    told = slim.mapInArrow(run, "file bigint, start bigint, outside_to boolean, inside_to boolean, quoted boolean")
     order = Window.partitionBy("file").orderBy("start")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a range either says the state, or turns it round, or leaves it: the last said one and the turns since count
+    # a range says the state after it, or turns it round, or leaves it: the last said one and the turns since count
     turns = F.sum((F.col("outside_to") & ~F.col("inside_to")).cast("int")).over(so_far) % 2 == 1
-    counted = told.withColumn("turned", turns)
+    counted = told.withColumn("turned", turns).withColumn("any", F.bool_or("quoted").over(Window.partitionBy("file")))
     said = F.when(F.col("outside_to") == F.col("inside_to"), F.col("outside_to") != F.col("turned"))
     known = counted.withColumn("said", F.coalesce(F.last(said, ignorenulls=True).over(so_far), F.lit(False)))
-    return known.select("file", "start", (F.col("said") != F.col("turned")).alias("inside"), F.lead("start").over(order).alias("until"))
+    after = F.lag(F.col("said") != F.col("turned"), 1, False).over(order)
+    return known.withColumn("inside", after).where("any").select("file", "start", "inside")
 
 
-def _records(lines: DataFrame, inside: dict[str, list[tuple[int, int]]]) -> DataFrame:
+def _records(lines: DataFrame, inside: dict[int, dict[int, bool]]) -> DataFrame:
     """``file``, ``start``, ``line``, ``record``, ``part`` of whole records and of parts of those across ranges.
 
     ``line`` counts lines of a range; ``part`` is 0 for a whole record, 1 for the end of one,
-    2 for the middle, 3 for the begin. ``inside`` has, by file, the ranges after which
-    (not incl.) up to which (incl.) ranges begin inside quotes.
+    2 for the middle, 3 for the begin. ``inside`` says which ranges begin inside quotes.
     """
     sent = lines.sparkSession.sparkContext.broadcast(inside)
-    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("line", pa.int64()), ("record", pa.string()), ("part", pa.int32())])
+    named = "name" in lines.columns
+    fields = [("file", pa.int64()), ("start", pa.int64()), *([("name", pa.string())] if named else []), ("line", pa.int64()), ("record", pa.string()), ("part", pa.int32())]
+    schema = pa.schema(fields)
 
-    def begins_inside(file: str, start: int) -> bool:
-        spans = sent.value.get(file, [])
-        k = bisect_left(spans, (start,)) - 1  # the last span that begins before this range
-        return k >= 0 and start <= spans[k][1]
+    def begins_inside(key: tuple[int, int]) -> bool:
+        ranges = sent.value.get(key[0])
+        if ranges is None:
+            return False
+        if key[1] not in ranges:
+            raise ValueError("the files or the size of their ranges changed after the first look at them")
+        return ranges[key[1]]
 
-    def batch_of(key, places, records, part):
+    def batch_of(key, name, places, records, part):
         n = len(places)
-        return pa.RecordBatch.from_arrays([pa.repeat(key[0], n), pa.repeat(pa.scalar(key[1], pa.int64()), n), pa.array(places, pa.int64()), pa.array(records, pa.string()), pa.array([part] * n, pa.int32())], schema=schema)
+        head = [pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), *([pa.repeat(name, n)] if named else [])]
+        return pa.RecordBatch.from_arrays([*head, pa.array(places, pa.int64()), pa.array(records, pa.string()), pa.array([part] * n, pa.int32())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, seen, held, held_at, cut = None, False, 0, [], 0, False
+        now, name, state, seen, held, held_at, cut = None, None, False, 0, [], 0, False
 
         def left():
             """What the range leaves open: the begin of a record, or the middle of one that it began inside of."""
             if held:
-                yield batch_of(now, [held_at], ["\n".join(held)], 2 if cut else 3)
+                yield batch_of(now, name, [held_at], ["\n".join(held)], 2 if cut else 3)
 
-        for key, values in _of_ranges(batches):
+        for key, rows in _of_ranges(batches):
+            values = rows.column("value")
             if key != now:
                 yield from left()
-                now, state, seen, held, held_at = key, begins_inside(*key), 0, [], 0
-                cut = state
+                now, state, seen, held, held_at = key, begins_inside(key), 0, [], 0
+                name, cut = rows.column("name")[0].as_py() if named else None, state
             single = pc.invert(pc.match_substring(values, '"')).to_numpy(zero_copy_only=False).copy()
             places, records, done = [], [], 0
             quoted = (~single).nonzero()[0].tolist()
+            if quoted and key[0] not in sent.value:
+                raise ValueError("the files changed after the first look at them")
             for i in [*quoted, len(values)]:
                 if state:  # lines without a quote go on with the open record
                     single[done:i] = False
@@ -146,7 +156,7 @@ def _records(lines: DataFrame, inside: dict[str, list[tuple[int, int]]]) -> Data
                     held.append(line)
                     if not after:
                         if cut:
-                            yield batch_of(key, [held_at], ["\n".join(held)], 1)
+                            yield batch_of(key, name, [held_at], ["\n".join(held)], 1)
                             cut = False
                         else:
                             places.append(held_at)
@@ -157,39 +167,41 @@ def _records(lines: DataFrame, inside: dict[str, list[tuple[int, int]]]) -> Data
                 state = after
             at = single.nonzero()[0]
             if len(at):
-                yield batch_of(key, at + seen, values.take(pa.array(at)), 0)
+                yield batch_of(key, name, at + seen, values.take(pa.array(at)), 0)
             if places:
-                yield batch_of(key, places, records, 0)
+                yield batch_of(key, name, places, records, 0)
             seen += len(values)
         yield from left()
 
-    return lines.mapInArrow(run, "file string, start bigint, line bigint, record string, part int")
+    ddl = "file bigint, start bigint, name string, line bigint, record string, part int"
+    return lines.mapInArrow(run, ddl if named else ddl.replace("name string, ", ""))
 
 
-def records(spark: SparkSession, path) -> DataFrame:
-    """``file``, ``start``, ``line``, ``record``: every record as its text, and its place, by which records of a file are in order.
+def records(spark: SparkSession, path, position: bool = False) -> DataFrame:
+    """``file``, ``start``, ``line``, ``record``: every record as its text, and its place; ``name`` of its file with ``position``.
 
-    Empty lines are no records. A file without a line end at its end, carriage returns
-    before line ends, and an empty file are as usual; a quote that is never closed makes
-    the rest of its file one record. The list of ranges that begin inside quotes is sent
-    to the tasks; it has a row per range of ``spark.sql.files.maxPartitionBytes`` at most.
+    ``start`` and ``line`` order the records of a file. Empty lines are no records. A file
+    without a line end at its end, carriage returns before line ends, and an empty file
+    are as usual; a quote that is never closed makes the rest of its file one record.
+    The list of ranges of files with quotes is sent to the tasks; it has a number per
+    range of ``spark.sql.files.maxPartitionBytes``. Both looks at the files must cut them
+    alike: reading fails if that setting, or a file, changes between them.
     """
-    lines = _lines(spark, path)
-    spans: dict[str, list[tuple[int, int]]] = {}
-    for r in range_states(lines).where("inside").collect():
-        spans.setdefault(r.file, []).append((r.start, 1 << 62 if r.until is None else r.until))
-    for x in spans.values():
-        x.sort()
-    found = _records(lines, spans)
+    lines = _lines(spark, path, position)
+    inside: dict[int, dict[int, bool]] = {}
+    for r in range_states(lines).toLocalIterator():
+        inside.setdefault(r.file, {})[r.start] = r.inside
+    found = _records(lines, inside)
     whole = found.where("part = 0").drop("part")
-    if spans:
-        # only files with such ranges can hold a record across ranges
-        across = _records(lines.where(F.col("file").isin(list(spans))) if len(spans) <= 1000 else lines, spans).where("part > 0")
+    if any(x for ranges in inside.values() for x in ranges.values()):
+        # the same scan, so that files are cut alike; only parts of records are shuffled
         order = Window.partitionBy("file").orderBy("start", "line", "part")
         of = F.sum((F.col("part") == 3).cast("int")).over(order)
+        more = [F.min("name").alias("name")] if position else []
         parts = F.sort_array(F.collect_list(F.struct("start", "line", "record"))).alias("parts")
-        joined = across.withColumn("of", of).groupBy("file", "of").agg(parts)
-        joined = joined.select("file", F.col("parts")[0]["start"].alias("start"), F.col("parts")[0]["line"].alias("line"), F.array_join("parts.record", "\n").alias("record"))
+        joined = found.where("part > 0").withColumn("of", of).groupBy("file", "of").agg(parts, *more)
+        first = F.col("parts")[0]
+        joined = joined.select("file", first["start"].alias("start"), *(["name"] if position else []), first["line"].alias("line"), F.array_join("parts.record", "\n").alias("record"))
         whole = whole.unionByName(joined)
     return whole.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
 
@@ -214,15 +226,15 @@ def read(spark: SparkSession, path, schema: StructType | None, options: dict, po
     ``position`` names a column that orders the rows as they stand in the files, by file
     name, then place.
     """
-    found = records(spark, path)
+    found = records(spark, path, position is not None)
     options = {k: str(v) for k, v in options.items() if k != "header"}
     given = schema
     if schema is None:
         schema = _header(found, options)
         if not len(schema):
             return spark.createDataFrame([], schema)
-    place = F.struct("file", "start", "line").alias(position or "_place")
-    rows = found.where("start > 0 OR line > 0").select(place, F.from_csv("record", _ddl(schema), options).alias("_row"))
+    place = [F.struct(F.col("name").alias("file"), "start", "line").alias(position)] if position else []
+    rows = found.where("start > 0 OR line > 0").select(*place, F.from_csv("record", _ddl(schema), options).alias("_row"))
     table = rows.select(*([position] if position else []), "_row.*")
     if given is not None or not typed:
         return table

@@ -47,7 +47,7 @@ def test_ranges_give_what_one_task_gives(spark, tmp_path, size):
         many = readers.read_table_auto(spark, path, SCHEMA)
         assert rows_of(many, "*") == rows_of(one, "*") == rows_of(df.replace("", None, ["more"]), "*")
         if size < 4096:
-            assert splitcsv._lines(spark, path).rdd.getNumPartitions() > 10
+            assert splitcsv._lines(spark, path, False).rdd.getNumPartitions() > 10
 
 
 def test_records_longer_than_ranges_and_open_quotes(spark, tmp_path):
@@ -94,6 +94,25 @@ def test_position_orders_rows_of_several_files(spark, tmp_path):
             assert rows_of(cleaning.row_cap(read, 25, "at"), "i") == sorted([(i,) for i in range(25)], key=str)
 
 
+def test_files_that_hold_no_row_change_nothing(spark, tmp_path):
+    """Small files beside a large one: ranges are the same in both looks."""
+    df = spark.createDataFrame([(i, "two\nlines, " * 50) for i in range(500)], "id int, text string")
+    writers.write_csv(df.coalesce(1), str(tmp_path / "t.csv"))
+    for k in range(3):
+        (tmp_path / "t.csv" / f"none{k}.csv").write_text("id,text\n")
+    with ranges_of(spark, 9_999):
+        assert rows_of(readers.read_table_auto(spark, str(tmp_path / "t.csv"), df.schema), "*") == rows_of(df, "*")
+
+
+def test_other_ranges_after_the_first_look_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    writers.write_csv(spark.createDataFrame([(i, "a\nb") for i in range(500)], "id int, text string").coalesce(1), path)
+    with ranges_of(spark, 500):
+        read = readers.read_table_auto(spark, path, "id int, text string")
+    with ranges_of(spark, 333), pytest.raises(Exception, match="changed after the first look"):
+        read.collect()
+
+
 def test_text_is_not_shuffled(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     writers.write_csv(spark.createDataFrame([(1, "a\nb")], "id int, text string"), path)

@@ -95,8 +95,8 @@ def test_sgd_trace_of_the_worked_pairs(spark):
     assert np.allclose(got, want)
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 65_536])
-def test_sgd_trace_with_a_hot_key_in_chunks(spark, chunk):
+@pytest.mark.parametrize(("ranges", "fan"), [(1, 4096), (3, 2), (40, 3), (40, 4096)])
+def test_sgd_trace_with_a_hot_key_over_ranges(spark, ranges, fan):
     rng = np.random.default_rng(5)
     sizes = {"hot": 400, "b": 9, "c": 1}
     rows, want = [], {}
@@ -105,7 +105,7 @@ def test_sgd_trace_with_a_hot_key_in_chunks(spark, chunk):
         rows += [(key, i, x, t) for i, (x, t) in enumerate(pairs)]
         want.update({(key, i): w for i, w in enumerate(reference_trace(pairs, 0.02, 0.5))})
     df = spark.createDataFrame(rows, "k string, pos int, x double, t double").repartition(5)
-    got = {(r.k, r.pos): tuple(r)[4:] for r in fold.sgd_trace(df, "k", "pos", alpha=0.02, chunk=chunk).collect()}
+    got = {(r.k, r.pos): tuple(r)[4:] for r in fold.sgd_trace(df, "k", "pos", alpha=0.02, ranges=ranges, fan=fan).collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k]) for k in want)
 
@@ -114,3 +114,40 @@ def test_sgd_trace_first_rows(spark):
     df = spark.range(100).select((F.col("id") % 4).alias("k"), "id", F.lit(1.0).alias("x"), F.lit(2.0).alias("t"))
     got = fold.sgd_trace(df, "k", "id", first_n=3)
     assert {(r.k, r.id) for r in got.collect()} == {(i % 4, i) for i in range(12)}
+
+
+def test_prefix_maps_begin_anew():
+    rng = np.random.default_rng(2)
+    a, b, first = rng.normal(size=300), rng.normal(size=300), rng.random(300) < 0.05
+    first[0] = True
+    pa, pb = fold.prefix_maps(a, b, first)
+    w = 1.0
+    for i in range(300):
+        w = a[i] * (1.0 if first[i] else w) + b[i]
+        assert np.isclose(pa[i] + pb[i], w)
+
+
+def test_sgd_trace_fails_on_a_null_key_or_position(spark):
+    rows = [("a", 1, 1.0, 2.0), (None, 2, 1.0, 2.0)], [("a", 1, 1.0, 2.0), ("a", None, 1.0, 2.0)]
+    for found, what in zip(rows, ("null k", "null pos"), strict=True):
+        with pytest.raises(Exception, match=what):
+            fold.sgd_trace(spark.createDataFrame(found, "k string, pos int, x double, t double"), "k", "pos").collect()
+
+
+def test_sgd_trace_keeps_nulls_to_their_key(spark):
+    rows = [(k, i, None if (k, i) == (3, 4) else 1.0 + i, 2.0) for k in range(8) for i in range(10)]
+    df = spark.createDataFrame(rows, "k int, pos int, x double, t double")
+    want = {(k, i): w for k in range(8) for i, w in enumerate(reference_trace([(1.0 + i, 2.0) for i in range(10)], 0.01, 0.5))}
+    for ranges in (2, 9, 30):
+        got = {(r.k, r.pos): tuple(r)[4:] for r in fold.sgd_trace(df, "k", "pos", alpha=0.01, ranges=ranges, fan=4).collect()}
+        assert len(got) == 80
+        assert all(np.allclose(got[x], want[x]) for x in got if x < (3, 4) or x[0] > 3)
+        assert all(got[3, i][0] is None for i in range(5, 10))
+    assert fold.sgd_trace(df.limit(0), "k", "pos").count() == 0
+
+
+def test_sgd_trace_spreads_a_key_with_most_of_the_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), "id", F.lit(0.1).alias("x"), F.lit(0.2).alias("t"))
+    traced = fold.sgd_trace(df, "k", "id", ranges=20, fan=4)
+    sizes = [r["count"] for r in traced.where("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3_000
