@@ -383,6 +383,8 @@ ORACLES["attention_scores"] = f"""WITH {_PAIRS} SELECT sentence, q_pos, k_pos //
   list({r6('score')} ORDER BY k_pos) AS scores FROM w GROUP BY 1, 2, 3"""
 ORACLES["attention_weights"] = f"""WITH {_PAIRS} SELECT sentence, q_pos, k_pos // 4 AS k_block,
   list({r6('weight')} ORDER BY k_pos) AS weights FROM w GROUP BY 1, 2, 3"""
+ORACLES["attention_top"] = f"""WITH {_PAIRS} SELECT sentence, q_pos, row_number() OVER best AS rank, k_pos, {r6('score')} AS score, {r6('weight')} AS weight
+  FROM w WINDOW best AS (PARTITION BY sentence, q_pos ORDER BY score DESC, k_pos) QUALIFY rank <= 3"""
 _CONTEXT = f"""{_PAIRS}, d AS (SELECT sentence, q_pos AS pos, i, sum(weight * v[i]) AS x
   FROM w, generate_series(1, 64) g(i) GROUP BY 1, 2, 3),
 c AS (SELECT sentence, pos, list({r6('x')} ORDER BY i) AS context FROM d GROUP BY 1, 2)"""

@@ -563,6 +563,13 @@ def attention_output(spark, sf_dir):
     return out.select("sentence", "pos", r6_array(F.col("context")).alias("context"))
 
 
+@query
+def attention_top(spark, sf_dir):
+    """The three keys that each token attends to most."""
+    top = attention.attention_top(fx.derive(spark, sf_dir, fx.SENTENCES), 3, block=2)
+    return top.select("sentence", "q_pos", "rank", "k_pos", r6(F.col("score")).alias("score"), r6(F.col("weight")).alias("weight"))
+
+
 @query
 def attention_append(spark, sf_dir):
     """Context vectors, and the first token of the next sentence added as it is."""

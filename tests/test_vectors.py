@@ -59,6 +59,47 @@ def test_attention_of_a_long_sentence_among_short_ones(spark):
     assert all(np.allclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize(("block", "m"), [(1, 2), (16, 5), (32, 500)])
+def test_attention_top_against_all_pairs(spark, block, m):
+    rng = np.random.default_rng(8)
+    tokens, want = [], set()
+    for s, n in [(0, 150), (1, 3), (2, 1)]:
+        pos = sorted(rng.choice(1000, n, replace=False).tolist())
+        v = rng.integers(-3, 4, size=(n, 3)).astype(float)  # equal scores are common
+        tokens += [(s, p, row.tolist()) for p, row in zip(pos, v)]
+        scores = v @ v.T
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        weights = e / e.sum(axis=1, keepdims=True)
+        for i in range(n):
+            for rank, k in enumerate(sorted(range(n), key=lambda k: (-scores[i, k], pos[k]))[:m]):
+                want.add((s, pos[i], rank + 1, pos[k], scores[i, k], round(weights[i, k], 9)))
+    df = spark.createDataFrame(tokens, "sentence int, pos int, vec array<double>")
+    got = {(*tuple(r)[:5], round(r.weight, 9)) for r in attention.attention_top(df, m, block=block).collect()}
+    assert got == want
+    with pytest.raises(ValueError, match="1 or more"):
+        attention.attention_top(df, 0)
+
+
+def test_blocks_meet_once_and_travel_a_square_root_of_times(spark):
+    df = spark.range(400).select(F.lit(1).alias("sentence"), F.col("id").alias("pos"), F.array(F.lit(1.0)).alias("vec"))
+    met = attention._grid(df, "sentence", "pos", "vec", 4).select("row", "col", "q_block", "k_block").collect()
+    assert len(met) == len({(r.q_block, r.k_block) for r in met}) == 100 * 100
+    for side in ("q_block", "k_block"):
+        assert len({(r.row, r.col, r[side]) for r in met}) == 100 * 10
+    assert max(sum(r.row == i and r.col == j for r in met) for i in range(10) for j in range(10)) == 100
+
+
+def test_cells_are_merged_where_they_are(spark):
+    """Blocks that met are merged in their cell without a shuffle; the next one has a row per query and cell."""
+    df = spark.range(400).select((F.col("id") % 3).alias("sentence"), F.col("id").alias("pos"), F.array(F.lit(1.0)).alias("vec"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = attention.attention_top(df, 2)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not any("row#" in x and "q_pos#" in x for x in exchanges)
+    assert sum("q_pos#" in x for x in exchanges) == 1
+
+
 def test_masked_mean_pool(spark):
     rows = [(1, 1, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (1, 0, [9.0, 9.0]), (2, 0, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "doc_id int, mask int, vec array<float>")
