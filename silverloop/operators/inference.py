@@ -83,8 +83,12 @@ def label_rows(df: DataFrame, make_model: Callable[[], Generate], text: str = "t
     return filled.drop("_prompt", "_reply", "label", "confidence", "rationale")
 
 
-def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """The rows an earlier run has left at a path, or None."""
+# Each task's file is put in place when the task ends, and stays if the job ends early.
+COMMIT_PER_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows that earlier runs have left at a path, or None."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
@@ -93,22 +97,23 @@ def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame |
         return None
 
 
-def resumed(
-    rows: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame], slices: int = 16
-) -> DataFrame:
-    """``make(rows)`` written to ``path`` in slices by key; a run that starts again makes only keys not there yet.
+def resumed(rows: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame], tasks: int | None = None) -> DataFrame:
+    """``make(rows)`` written to ``path``; a run that starts again makes only keys not there yet.
 
-    A failed run loses the slice it was in. ``key`` is unique and not null.
+    The input is scanned once. Every task commits its own file as it ends, so a run that
+    fails or is killed loses the rows of its open tasks only; ``tasks`` says how many the
+    rows are dealt to, as a model call costs more than moving a row. ``key`` is unique and
+    not null: a null key can't be found again, and fails the run.
     """
-    part = F.pmod(F.xxhash64(key), F.lit(slices))
-    for i in range(slices):
-        todo, at = rows.where(part == i), f"{path}/slice={i}"
-        made = make(todo)
-        done = _written(rows.sparkSession, at, made.schema)
-        if done is not None:
-            made = make(todo.join(done.select(key), key, "left_anti"))
-        made.write.mode("append").parquet(at)
-    return rows.sparkSession.read.schema(made.schema).parquet(*[f"{path}/slice={i}" for i in range(slices)])
+    absent = F.raise_error(F.lit(f"null {key}")).cast(rows.schema[key].dataType)
+    todo = rows.withColumn(key, F.when(F.col(key).isNull(), absent).otherwise(F.col(key)))
+    schema = make(todo).schema
+    done = written(rows.sparkSession, path, schema)
+    if done is not None:
+        todo = todo.join(done.select(key), key, "left_anti")
+    made = make(todo.repartition(tasks) if tasks else todo)
+    made.write.mode("append").options(**COMMIT_PER_TASK).parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def debate(
@@ -119,18 +124,17 @@ def debate(
     tasks: int | None = None,
     run: str | None = None,
     key: str = "doc_id",
-    slices: int = 16,
 ) -> DataFrame:
     """Advocate and skeptic argue, the judge decides, the verdict becomes columns.
 
     ``models`` has one factory each for ``advocate``, ``skeptic`` and ``judge``.
     With ``stage`` (the default) this writes two tables to the shared folder: the
     arguments, and the judge's replies. ``tasks`` spreads the rows before the first
-    model. With ``run``, a path of the caller's, they are written there in slices
-    by ``key``, and a run that starts again goes on from what is there.
+    model. With ``run``, a path of the caller's, they are written there as tasks end,
+    and a run that starts again goes on from what is there, known by ``key``.
     """
     require_columns(df, [text])
-    if tasks:
+    if tasks and not run:
         df = df.repartition(tasks)
     keep: Callable[[DataFrame, str], DataFrame] = stage_table if stage else (lambda d, _: d)
     claim = labels.text_or_empty(F.col(text), literal_null=True)
@@ -151,8 +155,8 @@ def debate(
         return batch_generate(asked, models["judge"], "_judge", "judge_json").drop("_judge")
 
     if run:
-        argued = resumed(df, f"{run}/arguments", key, argue, slices)
-        return judge_columns(resumed(argued, f"{run}/verdicts", key, decide, slices))
+        argued = resumed(df, f"{run}/arguments", key, argue, tasks)
+        return judge_columns(resumed(argued, f"{run}/verdicts", key, decide, tasks))
     return judge_columns(keep(decide(keep(argue(df), "debate-arguments")), "debate-verdicts"))
 
 

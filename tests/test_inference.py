@@ -189,3 +189,91 @@ def test_rows_are_spread_over_the_asked_tasks(spark):
     rows = spread.collect()
     assert len({r.p for r in rows}) == 5 and sorted(r.doc_id for r in rows) == list(range(25))
     assert classify.embed_batches(one, lambda: lambda t: [[1.0]] * len(t), tasks=3).count() == 25
+
+
+def dies_at(log, n):
+    """The key-value stand-in, which ends the run at the n-th prompt."""
+
+    def make():
+        answer = standins.kv_model()
+
+        def generate(prompts):
+            with open(log, "a") as f:
+                f.writelines("x\n" for _ in prompts)
+            if len(log.read_text().splitlines()) >= n:
+                raise RuntimeError("lost")
+            return answer(prompts)
+
+        return generate
+
+    return make
+
+
+def test_a_killed_run_repeats_open_tasks_only(spark, tmp_path):
+    """40 rows on 20 tasks of two rows; some tasks end before the run does."""
+    rows = spark.range(40).select(F.col("id").cast("int").alias("doc_id"), F.format_string("claim %d", "id").alias("text")).repartition(20)
+    log, sink = tmp_path / "log", str(tmp_path / "out")
+    with pytest.raises(Exception, match="lost"):
+        incremental.label_incremental_batch(rows, dies_at(log, 25), sink, tasks=20)
+    kept, first = spark.read.parquet(sink).count(), calls(log)
+    assert 0 < kept < 40
+    log.write_text("")
+    incremental.label_incremental_batch(rows, counting_model(str(log)), sink, tasks=20)
+    assert calls(log) == 40 - kept and first + calls(log) < 80
+    assert sorted(r.doc_id for r in spark.read.parquet(sink).collect()) == list(range(40))
+
+
+def test_a_killed_debate_goes_on(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").cast("int").alias("doc_id"), F.format_string("claim %d", "id").alias("text"))
+    log, run = tmp_path / "log", str(tmp_path / "run")
+    models = {"advocate": standins.argument_model("advocate"), "skeptic": dies_at(log, 25), "judge": standins.judge_model}
+    with pytest.raises(Exception, match="lost"):
+        inference.debate(rows, models, run=run, tasks=20)
+    kept = spark.read.parquet(f"{run}/arguments").count()
+    assert 0 < kept < 40
+    log.write_text("")
+    models["skeptic"] = counting_model(str(log))
+    out = inference.debate(rows, models, run=run, tasks=20)
+    assert calls(log) == 40 - kept and sorted(r.doc_id for r in out.collect()) == list(range(40))
+    again = inference.debate(rows, models, run=run, tasks=20)
+    assert calls(log) == 40 - kept and again.count() == 40
+    with pytest.raises(Exception, match="null doc_id"):
+        inference.debate(spark.createDataFrame([(None, "x")], "doc_id int, text string"), models, run=run)
+
+
+def test_resumed_scans_its_input_once(spark, docs, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = docs.mapInPandas(look, docs.schema)
+    inference.resumed(rows, str(tmp_path / "r"), "doc_id", lambda d: d.withColumn("n", F.length("text")), tasks=7)
+    assert seen.value == 25
+
+
+def test_one_call_per_key_over_ten_batches_that_never_read_the_sink(spark, tmp_path):
+    log, source, sink, checkpoint = tmp_path / "log", str(tmp_path / "in"), tmp_path / "out", str(tmp_path / "progress")
+    model = counting_model(str(log))
+    for k in range(10):  # each batch repeats half of the one before, and a key of the first
+        ids = [*range(10 * k, 10 * k + 20), 0, 0]
+        spark.createDataFrame([(i, f"claim {i}") for i in ids], "doc_id int, text string").write.mode("append").parquet(source)
+        run_stream(spark, source, model, str(sink), checkpoint)
+        if k:  # a batch that looked into earlier ones would fail on this
+            (sink / f"batch_id={k - 1}" / "broken.parquet").write_text("no parquet")
+    assert calls(log) == 110
+    for k in range(9):
+        (sink / f"batch_id={k}" / "broken.parquet").unlink(missing_ok=True)
+    assert sorted(r.doc_id for r in spark.read.parquet(str(sink)).collect()) == list(range(110))
+
+
+def test_a_sink_of_another_checkpoint_is_an_error(spark, docs, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    docs.write.parquet(source)
+    for name in ("a", "b"):
+        docs.withColumn("doc_id", F.col("doc_id") + (100 if name == "b" else 0)).write.mode("append").parquet(source)
+        run_stream(spark, source, standins.kv_model, sink, str(tmp_path / "first"))
+    with pytest.raises(Exception, match="does not know"):
+        run_stream(spark, source, standins.kv_model, sink, str(tmp_path / "second"))

@@ -97,9 +97,9 @@ def test_a_debate_goes_on_where_it_stopped(spark, tmp_path):
     for role, make in {"advocate": standins.argument_model("advocate"), "skeptic": standins.argument_model("skeptic"), "judge": standins.judge_model}.items():
         models[role], counts[role] = _counting(spark, make)
     run = str(tmp_path / "run")
-    first = inference.debate(rows.where("doc_id < 20"), models, run=run, slices=3)
+    first = inference.debate(rows.where("doc_id < 20"), models, run=run, tasks=3)
     assert first.count() == 20 and {c.value for c in counts.values()} == {20}
-    whole = inference.debate(rows, models, run=run, slices=3)
+    whole = inference.debate(rows, models, run=run, tasks=3)
     assert whole.count() == 30 and {c.value for c in counts.values()} == {30}
 
 
