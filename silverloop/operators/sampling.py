@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 
 # 16 ** 4 = 65,536 buckets: the most rows that the count table has per class.
 BUCKET_DIGITS = 4
+# Rows that one bucket may hold; and the digits of a key's hash and a row's hash.
+BUCKET_ROWS = 1_000_000
+ORDER_DIGITS = 48
+
+
+def _check(digits: int) -> None:
+    """Counts by so many digits are broadcast."""
+    if not 1 <= digits <= 4:
+        raise ValueError(f"digits must be 1 to 4, not {digits}")
 
 
 def seeded_key(seed: int, key: str | Sequence[str]) -> Column:
@@ -54,6 +63,7 @@ def hash_cuts(
     count table has at most classes x 16 ** digits rows and the broadcast one at
     most one row per cut.
     """
+    _check(digits)
     keyed, counts = _bucket_counts(df, order, cls, digits)
     names = [str(c) for c in classes]
     whole = Window.partitionBy()
@@ -219,30 +229,69 @@ def stratified_split(
     return df.withColumn(out, F.when(name.isNull(), F.lit(None)).when(is_test, "test").otherwise("train"))
 
 
+def _refined(marked: DataFrame, digits: int, bucket_rows: int) -> tuple[Column, list[str]]:
+    """The bucket of every row, as a prefix of ``_o``, and the buckets of equal rows that are still too large.
+
+    A bucket of more than ``bucket_rows`` rows is split by further digits: first those of
+    the key's hash, then those of the row's. There are at most rows / ``bucket_rows`` such
+    buckets, so their names go into the plan; each is split in 65,536 or so.
+    """
+    depths = [digits, 2 * BUCKET_DIGITS, *range(32 + BUCKET_DIGITS, ORDER_DIGITS, BUCKET_DIGITS), ORDER_DIGITS]
+    bucket, hot_at = F.substring("_o", 1, digits), []
+    for depth, deeper in zip(depths, [*depths[1:], None], strict=True):
+        counts = marked.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        hot = [r.bucket for r in counts.where(F.col("n") > bucket_rows).collect()]
+        if not hot or deeper is None:
+            break
+        hot_at.append((depth, deeper, hot))
+        bucket = F.substring("_o", 1, digits)
+        for shallow, deep, names in hot_at:  # the deepest split that a row is in holds
+            bucket = F.when(F.substring("_o", 1, shallow).isin(names), F.substring("_o", 1, deep)).otherwise(bucket)
+    return bucket, hot
+
+
+def _copies(rows: DataFrame, columns: list[str], weight: Column, start: Column, out: str, chunk: int) -> DataFrame:
+    """Equal rows numbered one after the other: counted before any shuffle, then made again in parts of ``chunk``."""
+    counted = rows.groupBy(*columns, "_bucket", "_weight", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(chunk).cast("bigint"))))
+    spread = parts.repartition("_bucket", "_from")
+    nth = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_n")) - 1)).alias("_i")
+    made = spread.select("*", nth)
+    return made.withColumn(out, start + F.col("_i") * weight).select(*columns, out)
+
+
 def running_total(
-    df: DataFrame, order: Column, weight: Column, out: str, digits: int = BUCKET_DIGITS
+    df: DataFrame, order: Column, weight: Column, out: str, digits: int = BUCKET_DIGITS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Add the sum of ``weight`` over all rows before this one in hash order.
+    """Add the sum of ``weight`` over all rows before this one in hash order; equal hashes go by a hash of the row.
 
     Exact over the whole table without one global window: bucket sums give every
-    bucket its start, and rows are summed inside their bucket. The starts, one
-    row per bucket and so at most 16 ** digits, are broadcast.
+    bucket its start, and rows are summed inside their bucket. A bucket that one key fills
+    is split by its rows' hashes, so a key on a third of the rows is many tasks; equal
+    rows in large numbers are counted and made again. The starts, one row per bucket, are
+    at most 16 ** ``digits`` (4 at most) and the split ones, and are broadcast.
     """
-    marked = df.withColumns({"_h": order, "_weight": weight.cast("bigint")}).withColumn(
-        "_bucket", F.substring("_h", 1, digits)
-    )
+    _check(digits)
+    row = F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0")
+    marked = df.withColumns({"_o": F.concat(order, row), "_weight": weight.cast("bigint")})
+    bucket, equal = _refined(marked.select("_o"), digits, bucket_rows)
+    marked = marked.withColumn("_bucket", bucket)
     sums = marked.groupBy("_bucket").agg(F.sum("_weight").alias("_sum"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy("_bucket").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     position = F.col("_start") + F.coalesce(F.sum("_weight").over(inner), F.lit(0))
-    return (
-        marked.join(F.broadcast(starts), "_bucket")
-        .withColumn(out, position)
-        .drop("_h", "_weight", "_bucket", "_start")
-    )
+    begun = marked.join(F.broadcast(starts), "_bucket")
+    placed = begun.where(~F.col("_bucket").isin(equal)) if equal else begun
+    placed = placed.withColumn(out, position).drop("_o", "_weight", "_bucket", "_start")
+    if equal:
+        copies = _copies(begun.where(F.col("_bucket").isin(equal)), df.columns, F.col("_weight"), F.col("_start"), out, bucket_rows)
+        placed = placed.unionByName(copies)
+    return placed
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "row_index") -> DataFrame:
+def seeded_shuffle(
+    df: DataFrame, key: str, seed: int = 42, out: str = "row_index", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Number all rows 0..n-1 in seeded random order."""
-    return running_total(df, seeded_key(seed, key), F.lit(1), out)
+    return running_total(df, seeded_key(seed, key), F.lit(1), out, bucket_rows=bucket_rows)

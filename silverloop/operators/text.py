@@ -9,7 +9,7 @@ from silverloop.contracts import require_columns
 from silverloop.functions import prompts, replies
 from silverloop.operators.cleaning import CORPUS_COLUMNS, drop_incomplete, split_filter, to_int01
 from silverloop.operators.joins import exclude_ids
-from silverloop.operators.sampling import BUCKET_DIGITS, cap_sample, running_total, seeded_key
+from silverloop.operators.sampling import BUCKET_DIGITS, BUCKET_ROWS, cap_sample, running_total, seeded_key
 
 # What separates tokens, as the inside of a character class.
 TOKEN_SPACE = " \t\n\r\f"
@@ -142,6 +142,7 @@ def sequence_pack(
     text: str = "text",
     seed: int = 42,
     digits: int = BUCKET_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """All texts as one token stream in seeded order, cut into blocks.
 
@@ -155,7 +156,7 @@ def sequence_pack(
     counted = df.select(
         seeded_key(seed, key).alias("h"), F.col(text).alias("text"), F.size(tokens_of(F.col(text))).alias("n")
     )
-    placed = running_total(counted, F.col("h"), F.col("n"), "start", digits).where(F.col("n") > 0)
+    placed = running_total(counted, F.col("h"), F.col("n"), "start", digits, bucket_rows).where(F.col("n") > 0)
 
     size = F.lit(block).cast("bigint")
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}")

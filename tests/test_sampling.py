@@ -129,3 +129,35 @@ def test_copies_of_a_key_stay_together(spark):
         last = ranked[want - 1]
         expected = ranked[: want] + ([last] * (ranked.count(last) - ranked[:want].count(last)))
         assert got == sorted(expected)
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_a_key_with_a_third_of_the_rows_spreads_over_buckets(spark, equal):
+    """Rows of one key are numbered in one stretch, by many tasks, whether they differ or not."""
+    n = 3000
+    hot = F.col("id") % 3 == 0
+    df = spark.range(n).select(F.when(hot, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.when(hot & F.lit(equal), F.lit(0)).otherwise(F.col("id")).alias("v"))
+    out = sampling.seeded_shuffle(df, "k", bucket_rows=60)
+    got = sorted((r.row_index, r.k, r.v) for r in out.collect())
+    assert [i for i, _, _ in got] == list(range(n))
+    assert [k for _, k, _ in got] == sorted((-1 if i % 3 == 0 else i for i in range(n)), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    assert sorted(v for _, _, v in got) == sorted(0 if equal and i % 3 == 0 else i for i in range(n))
+    if not equal:
+        marked = df.withColumn("_o", F.concat(sampling.seeded_key(42, "k"), F.lpad(F.lower(F.hex(F.xxhash64("k", "v"))), 16, "0")))
+        bucket, left = sampling._refined(marked, 4, 60)
+        assert left == [] and marked.groupBy(bucket).count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_packing_a_hot_key_loses_no_token(spark):
+    from silverloop.operators import text
+
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("id"), F.format_string("a%d b%d c", "id", "id").alias("text"))
+    same = spark.range(500).select(F.lit(-2).alias("id"), F.lit("x y").alias("text"))
+    blocks = text.sequence_pack(df.unionByName(same), "id", 64, bucket_rows=40).orderBy("block_id").collect()
+    assert [b.n_tokens for b in blocks] == [64] * (len(blocks) - 1) + [(900 * 3 + 1000) % 64 or 64]
+    assert sorted(" ".join(b.text for b in blocks).split()) == sorted([w for i in range(900) for w in (f"a{i}", f"b{i}", "c")] + ["x", "y"] * 500)
+
+
+def test_bucket_digits_are_bounded(spark):
+    with pytest.raises(ValueError, match="1 to 4"):
+        sampling.running_total(table(spark, 5), F.lit("a"), F.lit(1), "t", digits=5)
