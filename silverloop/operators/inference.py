@@ -40,6 +40,36 @@ def map_batches(
     return df.mapInPandas(run, schema)
 
 
+def map_column(make: Callable[[], Callable[[pd.Series], pd.Series]], returns: str) -> Callable[..., Column]:
+    """A column function from a function over one column's batches, set up once per task.
+
+    ``make`` loads what the function needs (a model, a dictionary) and returns it; it is
+    called when a task begins, and its function then gets batch after batch. The result
+    goes wherever an expression goes, so other columns don't leave the JVM. Nulls are
+    passed on as pandas has them.
+    """
+
+    @F.pandas_udf(returns)
+    def over_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = make()
+        for batch in batches:
+            yield fn(batch)
+
+    return over_batches
+
+
+def map_columns(make: Callable[[], Callable[..., pd.Series]], returns: str) -> Callable[..., Column]:
+    """As ``map_column``, over several columns."""
+
+    @F.pandas_udf(returns)
+    def over_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        fn = make()
+        for columns in batches:
+            yield fn(*columns)
+
+    return over_batches
+
+
 def batch_generate(
     df: DataFrame,
     make_model: Callable[[], Generate],

@@ -89,12 +89,12 @@ def embedding_align(
 ) -> DataFrame:
     """Attach a vector to every row by id.
 
-    A repeated vector id fails the run. A row without a vector fails it too, or
-    is left out with ``on_missing='drop'``. Ids alone are counted; vectors are not
-    grouped.
+    A repeated vector id fails the run. A row without a vector fails it too, gets a null
+    one with ``on_missing='null'``, or is left out with ``'drop'``. Ids alone are counted;
+    vectors are not grouped, and those of a bucketed store are not shuffled.
     """
-    if on_missing not in ("error", "drop"):
-        raise ValueError(f"on_missing must be 'error' or 'drop', not {on_missing!r}")
+    if on_missing not in ("error", "drop", "null"):
+        raise ValueError(f"on_missing must be 'error', 'drop' or 'null', not {on_missing!r}")
     twice = vectors.groupBy(vector_key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     repeated = twice.agg(F.min(vector_key).cast("string")).scalar()
     kind = vectors.schema[vector].dataType
@@ -102,7 +102,10 @@ def embedding_align(
     joined = df.join(named, F.col(key) == F.col("_vid"), "inner" if on_missing == "drop" else "left")
     copies = F.raise_error(F.concat(F.lit("more than one vector for id "), repeated)).cast(kind)
     absent = F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(kind)
-    checked = F.when(repeated.isNotNull(), copies).when(F.col("_vid").isNull(), absent).otherwise(F.col("_vector"))
+    checked = F.when(repeated.isNotNull(), copies)
+    if on_missing == "error":
+        checked = checked.when(F.col("_vid").isNull(), absent)
+    checked = checked.otherwise(F.col("_vector"))
     return joined.withColumn(vector, checked).drop("_vid", "_vector")
 
 

@@ -175,7 +175,7 @@ _HASH = "md5('42:' || CAST(doc_id AS VARCHAR))"
 ORACLES["complement"] = f"""SELECT doc_id, quality, toxic FROM labels
 WHERE doc_id NOT IN (SELECT doc_id FROM labels ORDER BY {_HASH} LIMIT 50)"""
 ORACLES["embedding_align"] = """SELECT doc_id, lang, CAST(embedding AS DOUBLE[]) AS embedding
-FROM documents JOIN embeddings ON doc_id = vec_id"""
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id"""
 ORACLES["token_lookup"] = f"""WITH t AS (SELECT conv_id, turn, {tokens('text')} AS l FROM conversations),
 w AS (SELECT conv_id, turn, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS pos, unnest(l) AS token FROM t)
 SELECT conv_id, turn, pos, token, [CAST(length(token) AS DOUBLE), CAST(length(replace(token, 'e', '')) AS DOUBLE)] AS vec
@@ -406,6 +406,8 @@ SELECT supp, pos, x, round(w_old, 4) AS w_old, round(x * w_old, 4) AS prediction
 _KV_N = f"({fixed_length(_TEMPLATE['labeller'])} + length(coalesce(text, '')))"
 _KV_LEVEL = f"CASE {_KV_N} % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'medium' ELSE 'High' END"
 _KV_BAD = f"'I cannot decide, ' || CAST({_KV_N} AS VARCHAR) || ' characters.'"
+ORACLES["map_column"] = r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS n_words,
+  length(coalesce(text, '')) - length(translate(coalesce(text, ''), 'aeiou', '')) + coalesce(length(lang), 0) AS n_vowels FROM documents"""
 ORACLES["batch_generate"] = f"""SELECT doc_id, CASE WHEN {_KV_N} % 5 = 0 THEN {_KV_BAD}
   ELSE 'label: ' || CAST({_KV_N} % 2 AS VARCHAR) || chr(10) || 'confidence: ' || {_KV_LEVEL} || chr(10)
     || 'rationale: the prompt has ' || CAST({_KV_N} AS VARCHAR) || ' characters' END AS reply FROM documents"""

@@ -277,3 +277,21 @@ def test_a_sink_of_another_checkpoint_is_an_error(spark, docs, tmp_path):
         run_stream(spark, source, standins.kv_model, sink, str(tmp_path / "first"))
     with pytest.raises(Exception, match="does not know"):
         run_stream(spark, source, standins.kv_model, sink, str(tmp_path / "second"))
+
+
+def test_column_functions_are_set_up_once_per_task(spark, tmp_path):
+    log = tmp_path / "setups"
+
+    def make():
+        with open(log, "a") as f:
+            f.write("x\n")
+        return lambda a, b=None: a.str.len() if b is None else a.str.len() + b
+
+    df = spark.range(0, 1000, 1, 4).select("id", F.format_string("%04d", "id").alias("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    one, two = inference.map_column(make, "bigint"), inference.map_columns(make, "bigint")
+    assert df.select(one("s").alias("n")).agg(F.sum("n")).first()[0] == 4000
+    assert calls(log) == 4
+    assert df.select(two("s", "id").alias("n")).agg(F.sum("n")).first()[0] == 4000 + 499_500
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert calls(log) == 8

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silverloop import session
-from silverloop.operators import classify
+from silverloop.operators import classify, joins
 from silverloop.sources import readers, stores, writers
 
 AWKWARD = [(1, ' say "hi", \n then\r\nleave '), (2, ""), (3, None), (4, "a,b;c\\d"), (5, '""'), (6, "line\n\n")]
@@ -57,12 +57,34 @@ def test_model_store(spark, tmp_path):
     assert a == b
 
 
-def test_metrics_append(spark, tmp_path):
+def test_a_run_written_twice_stands_once(spark, tmp_path):
     path = str(tmp_path / "metrics")
-    rows = spark.createDataFrame([("r", "s", None, "m", 1.0)], "run string, section string, class string, metric string, value double")
-    stores.append_metrics(rows, path)
-    stores.append_metrics(rows, path)
-    assert stores.load_metrics(spark, path).count() == 2
+    rows = [(r, "s", None, "m", v) for r, v in (("007", 1.0), ("b/c=d", 2.0), (None, 3.0))]
+    df = spark.createDataFrame(rows, "run string, section string, class string, metric string, value double")
+    for _ in range(2):
+        stores.append_metrics(df, path)
+    stores.append_metrics(df.where("run = '007'").withColumn("value", F.lit(9.0)), path)
+    got = {(r.run, r.value) for r in stores.load_metrics(spark, path).collect()}
+    assert got == {("007", 9.0), ("b/c=d", 2.0), (None, 3.0)} and stores.load_metrics(spark, path).count() == 3
+
+
+def test_bucketed_stores_join_without_an_exchange(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("docs", "vecs")]
+    docs = spark.range(300).select("id", F.lit("x").alias("lang"))
+    vecs = spark.range(0, 300, 2).select("id", F.array(F.col("id").cast("double")).alias("embedding"))
+    stores.save_bucketed(docs, paths[0], "id", 12)
+    stores.save_embeddings(vecs, paths[1], buckets=12)
+    spark.sql(f"DROP TABLE {stores._table_name(paths[1])}")  # as another session finds it
+    left, right = stores.load_bucketed(spark, paths[0]), stores.load_embeddings(spark, paths[1], bucketed=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    aligned = joins.embedding_align(left, right, on_missing="null")
+    rows = aligned.collect()
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.id: r.embedding for r in rows} == {i: None if i % 2 else [float(i)] for i in range(300)}
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    with pytest.raises(ValueError, match="written once"):
+        stores.save_embeddings(vecs, paths[1], mode="overwrite", buckets=12)
 
 
 def test_staged_tables_are_in_the_shared_folder(spark):
