@@ -16,13 +16,12 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from silverloop.contracts import require_rows
 from silverloop.functions.labels import text_or_empty
 from silverloop.operators.metrics import metric_rows
-from silverloop.operators.text import TOKEN_SPACE, tokens_of
-from silverloop.operators.vectors import masked_mean_pool
+from silverloop.operators.text import TOKEN_SPACE
 from silverloop.session import stage_table
 
 # Texts per encoder call, solver steps, inverse penalty.
@@ -86,6 +85,39 @@ def embed_batches(
     return spread.withColumn("_text", text_or_empty(F.col(text))).mapInPandas(run, schema)
 
 
+def _pooled(texts: list[str], encode: Encoder, window: int, batch: int) -> np.ndarray:
+    """A vector per text: its windows of ``window`` tokens encoded, ``batch`` at a time, and averaged by their tokens."""
+    word = re.compile(f"[^{TOKEN_SPACE}]+")
+    parts: list[str] = []
+    whose: list[int] = []
+    sizes: list[int] = []
+    total: np.ndarray | None = None
+
+    def flush() -> None:
+        nonlocal total
+        found = np.asarray(encode(parts), dtype="float32").astype(float)
+        if total is None:
+            total = np.zeros((len(texts), found.shape[1]))
+        np.add.at(total, whose, found * np.array(sizes)[:, None])
+        for x in (parts, whose, sizes):
+            x.clear()
+
+    counts = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        tokens = word.findall(text)
+        counts[i] = len(tokens)
+        for k in range(0, max(len(tokens), 1), window):
+            part = tokens[k : k + window]
+            parts.append(" ".join(part))
+            whose.append(i)
+            sizes.append(len(part))
+            if len(parts) == batch:
+                flush()
+    if parts:
+        flush()
+    return total / np.maximum(counts, 1e-9)[:, None]
+
+
 def embed_documents(
     df: DataFrame,
     make_encoder: Callable[[], Encoder],
@@ -99,17 +131,21 @@ def embed_documents(
     """(``key``, ``out``) of whole texts by an encoder that reads ``window`` tokens at once.
 
     Every text is cut into windows, each is encoded, and the vectors are averaged by
-    their tokens. ``key`` is unique; a text without tokens is one empty window with
-    no weight, so its vector is 0. Only vectors are shuffled.
+    their tokens, all where the text lies: nothing is shuffled, and a text is split once.
+    A text without tokens, null included, is one empty window with no weight, so its
+    vector is 0. ``tasks`` deals whole rows to that many tasks first, which is for tables
+    of fewer files than tasks.
     """
-    tokens = df.select(key, tokens_of(text_or_empty(F.col(text))).alias("_tokens"))
-    last = F.greatest(F.ceil(F.size("_tokens") / window).cast("int") - 1, F.lit(0))
-    cut = tokens.select(
-        key, F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_tokens", i * window + 1, window))).alias("_part")
-    )
-    windows = cut.select(key, F.array_join("_part", " ").alias("_window"), F.size("_part").alias("_n"))
-    vectors = embed_batches(windows, make_encoder, "_window", "_vector", batch, tasks)
-    return masked_mean_pool(vectors, key, "_n", "_vector", out)
+    rows = df.select(key, text_or_empty(F.col(text)).alias("_text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make_encoder()
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({key: frame[key], out: list(_pooled(frame["_text"].tolist(), encode, window, batch))})
+
+    schema = StructType([df.schema[key], StructField(out, ArrayType(DoubleType()))])
+    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, schema)
 
 
 def fit_logreg(
@@ -174,25 +210,39 @@ def _stateless_head(pipeline: Pipeline) -> tuple[list[Transformer], list]:
     return stages[:n], stages[n:]
 
 
+def _fit_texts(train: DataFrame, pipeline: Pipeline) -> PipelineModel:
+    """Fit a text pipeline; what needs no fit (hashed counts) is staged, since the fit passes over it many times."""
+    head, rest = _stateless_head(pipeline)
+    prepared = PipelineModel(head).transform(train).drop("text", *[s.getOutputCol() for s in head[:-1]])
+    training = require_rows(stage_table(prepared, "training"), "no training rows")
+    return PipelineModel(head + Pipeline(stages=rest).fit(training).stages)
+
+
 def retrain_eval(
-    train: DataFrame, evaluation: DataFrame, run: str, pipeline: Pipeline | None = None
+    train: DataFrame,
+    evaluation: DataFrame,
+    run: str,
+    pipeline: Pipeline | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
+    tasks: int | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on (``text``, ``label``) rows and return the model with its metric rows.
 
-    Two tables go to the shared folder: the training rows after the stages that
-    need no fit (hashed counts, not text), since the fit passes over them many
-    times, and the narrow predictions, so that no metric runs the model again.
+    With an encoder, texts become vectors once and ``fit_logreg`` is fitted on them, as
+    the baseline is; else a pipeline over texts is. Two tables go to the shared folder:
+    the training rows as vectors or hashed counts, not text, and the narrow
+    predictions, so that no metric runs the model again.
     """
-    head, rest = _stateless_head(pipeline or text_pipeline())
-    typed = train.select("text", F.col("label").cast("double").alias("label"))
-    prepared = PipelineModel(head).transform(typed).drop("text", *[s.getOutputCol() for s in head[:-1]])
-    training = require_rows(stage_table(prepared, "training"), "no training rows")
-    fitted = Pipeline(stages=rest).fit(training)
-    model = PipelineModel(head + fitted.stages)
-    predicted = model.transform(evaluation.select("text", F.col("label").cast("double").alias("label"))).select(
-        F.col("label").cast("int").alias("y_true"),
-        F.col("prediction").cast("int").alias("y_pred"),
-        vector_to_array("probability")[1].alias("p_true"),
-    )
+    typed, held = (df.select("text", F.col("label").cast("double").alias("label")) for df in (train, evaluation))
+    if make_encoder is None:
+        model = _fit_texts(typed, pipeline or text_pipeline())
+        scored = model.transform(held).select("label", "prediction", vector_to_array("probability")[1].alias("p_true"))
+    else:
+        if pipeline is not None:
+            raise ValueError("give a pipeline or an encoder, not both")
+        vectors = [embed_batches(df, make_encoder, tasks=tasks).select("label", "embedding") for df in (typed, held)]
+        model = fit_logreg(require_rows(stage_table(vectors[0], "training"), "no training rows"))
+        scored = predict_proba(vectors[1], model, probability="p_true")
+    predicted = scored.select(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), "p_true")
     scored = require_rows(stage_table(predicted, "predictions"), "no evaluation rows")
     return model, metric_rows(scored, run, p_one="p_true")

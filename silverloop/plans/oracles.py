@@ -118,17 +118,25 @@ SELECT class, {rounded}, support FROM u"""
 
 
 _LOSS = f"-avg(ln(greatest(CASE WHEN y_true = 1 THEN p_true ELSE 1 - p_true END, 1e-15)))"
-_CELL_ROWS = f"""SELECT y.v AS true_label, p.v AS pred_label,
-  (SELECT count(*) FROM {PREDICTIONS} r WHERE r.y_true = y.v AND r.y_pred = p.v) AS n
+
+
+def cell_rows(rows: str) -> str:
+    return f"""SELECT y.v AS true_label, p.v AS pred_label,
+  (SELECT count(*) FROM {rows} r WHERE r.y_true = y.v AND r.y_pred = p.v) AS n
 FROM (VALUES (0), (1)) y(v), (VALUES (0), (1)) p(v)"""
-ORACLES["metrics_sink"] = f"""WITH prf AS ({prf(PREDICTIONS)}), rep AS ({report(PREDICTIONS)}),
-long AS (
-  SELECT 'summary' AS section, NULL AS class, unnest(['n', 'accuracy', 'precision', 'recall', 'f1']) AS metric,
-    unnest([CAST(n AS DOUBLE), accuracy, precision, recall, f1]) AS value FROM prf
-  UNION ALL SELECT 'confusion_matrix', CAST(true_label AS VARCHAR), 'pred_' || CAST(pred_label AS VARCHAR), CAST(n AS DOUBLE) FROM ({_CELL_ROWS})
-  UNION ALL SELECT 'report', class, unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, CAST(support AS DOUBLE)]) FROM rep
-  UNION ALL SELECT 'summary', NULL, 'log_loss', {_LOSS} FROM {PREDICTIONS})
-SELECT run, section, class, metric, {r6('value')} AS value FROM long, (VALUES ('first'), ('second')) r(run)"""
+
+
+def metric_rows(rows: str) -> str:
+    """``section``, ``class``, ``metric``, ``value`` of predictions."""
+    return f"""SELECT 'summary' AS section, NULL AS class, unnest(['n', 'accuracy', 'precision', 'recall', 'f1']) AS metric,
+    unnest([CAST(n AS DOUBLE), accuracy, precision, recall, f1]) AS value FROM ({prf(rows)})
+  UNION ALL SELECT 'confusion_matrix', CAST(true_label AS VARCHAR), 'pred_' || CAST(pred_label AS VARCHAR), CAST(n AS DOUBLE) FROM ({cell_rows(rows)})
+  UNION ALL SELECT 'report', class, unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, CAST(support AS DOUBLE)]) FROM ({report(rows)})
+  UNION ALL SELECT 'summary', NULL, 'log_loss', {_LOSS} FROM {rows}"""
+
+
+ORACLES["metrics_sink"] = f"""SELECT run, section, class, metric, {r6('value')} AS value
+FROM ({metric_rows(PREDICTIONS)}), (VALUES ('first'), ('second')) r(run)"""
 ORACLES["check_contract"] = f"""WITH k AS (SELECT {clean_id('doc_id')} AS id FROM {REVIEWED})
 SELECT count(*) AS n_rows, count(*) - count(id) AS n_null_keys, count(id) - count(DISTINCT id) AS n_duplicate_keys,
   count(*) > 0 AS has_rows FROM k"""
@@ -186,7 +194,7 @@ FROM w"""
 ORACLES["label_counts"] = f"""SELECT is_green_silver, count(*) AS n FROM {CORPUS}
 WHERE is_green_silver IS NOT NULL GROUP BY 1"""
 ORACLES["split_distribution"] = f"SELECT split, count(*) AS n FROM {CORPUS_MESSY} GROUP BY 1"
-ORACLES["confusion_matrix"] = _CELL_ROWS
+ORACLES["confusion_matrix"] = cell_rows(PREDICTIONS)
 ORACLES["prf_binary"] = prf(PREDICTIONS)
 ORACLES["classification_report"] = report(PREDICTIONS)
 ORACLES["log_loss"] = f"SELECT {r6(_LOSS)} AS log_loss FROM {PREDICTIONS}"
@@ -371,6 +379,53 @@ ORACLES["fit_logreg"] = f"""WITH RECURSIVE {_FITTED} SELECT CAST(CASE WHEN k = 6
 FROM m, generate_series(1, 65) g(k)"""
 ORACLES["predict_proba"] = f"""WITH RECURSIVE {_FITTED} SELECT vec_id, y, round(p, 4) AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM q"""
 ORACLES["model_store"] = f"""WITH RECURSIVE {_FITTED} SELECT vec_id, round(p, 4) AS p_green, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM q"""
+
+
+def retrained(train: str, held: str, run: str, dim: int = 16) -> str:
+    """Metric rows of a fit on mean one-hot vectors of texts; ``train`` and ``held`` select text and label.
+
+    The same steps as above. The last entry of a vector is 1, for the intercept.
+    """
+    zeros = f"list_transform(generate_series(0, {dim}), lambda a: 0.0::DOUBLE)"
+    return f"""WITH RECURSIVE a AS MATERIALIZED (SELECT part, text, label, row_number() OVER () AS id
+  FROM (SELECT 'train' AS part, text, label FROM ({train}) UNION ALL SELECT 'held', text, label FROM ({held}))),
+t AS MATERIALIZED (SELECT part, id, label, {tokens('text')} AS l FROM a),
+o AS (SELECT id, unnest(l) AS token FROM t),
+k AS (SELECT id, CAST('0x' || substr(md5(token), 1, 4) AS INTEGER) % {dim} AS slot, count(*) AS c FROM o GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT part, t.id, CAST(label AS DOUBLE) AS y,
+    list_append(list(coalesce(CAST(CAST(CAST(c AS DOUBLE) / len(l) AS FLOAT) AS DOUBLE), 0) ORDER BY i), 1.0::DOUBLE) AS v
+  FROM t CROSS JOIN generate_series(0, {dim - 1}) g(i) LEFT JOIN k ON k.id = t.id AND slot = i GROUP BY part, t.id, label),
+r AS (SELECT * FROM x WHERE part = 'train'),
+d AS (SELECT list(v ORDER BY id) AS vs, list(y ORDER BY id) AS ys, count(*)::DOUBLE AS n FROM r),
+c AS (SELECT list(col ORDER BY k) AS cols FROM (SELECT k, list(v[k] ORDER BY id) AS col FROM r, generate_series(1, {dim + 1}) g(k) GROUP BY k)),
+s AS (SELECT 0.25 * max(list_sum(list_transform(v, lambda a: a * a))) + 1 / count(*)::DOUBLE AS l, 1 / count(*)::DOUBLE AS mu FROM r),
+fit AS (
+  SELECT 0 AS i, {zeros} AS w, {zeros} AS z
+  UNION ALL
+  SELECT i + 1, nw, list_transform(nw, lambda a, k: a + (sqrt(l) - sqrt(mu)) / (sqrt(l) + sqrt(mu)) * (a - w[k]))
+  FROM (SELECT i, w, l, mu, list_transform(z, lambda a, k: a - (list_dot_product(cols[k], r) / n + CASE WHEN k <= {dim} THEN a / n ELSE 0 END) / l) AS nw
+    FROM (SELECT i, w, z, l, mu, n, cols, list_transform(vs, lambda v, j: 1 / (1 + exp(-list_dot_product(v, z))) - ys[j]) AS r
+      FROM fit, d, c, s WHERE i < {_FIT_STEPS}))),
+m AS (SELECT w FROM fit WHERE i = {_FIT_STEPS}),
+q AS MATERIALIZED (SELECT CAST(y AS INTEGER) AS y_true, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS y_pred, p AS p_true
+  FROM (SELECT y, 1 / (1 + exp(-list_dot_product(v, w))) AS p FROM x, m WHERE part = 'held'))
+SELECT '{run}' AS run, section, class, metric, round(value, 4) + 0.0 AS value FROM ({metric_rows('q')})"""
+
+
+_EVAL = f"SELECT coalesce(text, '') AS text, {binary('is_green_silver')} AS label FROM {CORPUS} WHERE split = 'eval_silver' AND {binary('is_green_silver')} IS NOT NULL"
+ORACLES["retrain_eval"] = retrained(ORACLES["augment_replace"], _EVAL, "replace")
+ORACLES["retrain_eval_append"] = retrained(ORACLES["augment_append"], _EVAL, "append")
+# As stratified_split, over the last reviewed row of every id.
+_ALONE = f"""a AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {binary('is_green_human')} AS label
+  FROM ({ORACLES['dedupe_keep_last']}) WHERE {binary('is_green_human')} IS NOT NULL),
+n AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n_all FROM a GROUP BY 1),
+q AS (SELECT label, c, n_all, ceil(n_all * CAST(0.15 AS DOUBLE)) AS n_test FROM n),
+s AS (SELECT label, n_test, floor(n_test * c / n_all) AS whole, (n_test * c) % n_all AS rest FROM q),
+w AS (SELECT label, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= n_test - sum(whole) OVER ()
+  THEN 1 ELSE 0 END AS want FROM s),
+h AS (SELECT text, a.label, row_number() OVER (PARTITION BY a.label ORDER BY md5(concat_ws(':', '42', doc_id))) <= want AS is_test
+  FROM a JOIN w ON a.label = w.label)"""
+ORACLES["retrain_eval_stratified"] = retrained(f"WITH {_ALONE} SELECT text, label FROM h WHERE NOT is_test", f"WITH {_ALONE} SELECT text, label FROM h WHERE is_test", "stratified")
 ORACLES["argmax_label"] = """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best
 FROM embeddings"""
 

@@ -46,6 +46,12 @@ def _cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def _tasks(docs) -> int | None:
+    """As many tasks as cores for a table of fewer files; else rows stay where they are."""
+    cores = _cores(docs.sparkSession)
+    return cores if len(docs.inputFiles()) < cores else None
+
+
 def r6(c: Column) -> Column:
     """Six decimals, never a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -499,7 +505,7 @@ def embed_batches(spark, sf_dir):
 def _embedded(docs):
     """Whole texts by an encoder of 256 tokens."""
     encoder = lambda: classify.hashed_mean_encoder(dim=16, max_tokens=256)
-    return classify.embed_documents(docs, encoder, tasks=_cores(docs.sparkSession))
+    return classify.embed_documents(docs, encoder, tasks=_tasks(docs))
 
 
 @query
@@ -530,16 +536,28 @@ def argmax_label(spark, sf_dir):
     return vectors.argmax_label(vecs, "embedding", "best").select("vec_id", "best")
 
 
+RETRAIN_DIM = 16
+
+
+def _metrics_of(fitted):
+    """Metric rows to as many decimals as two solvers of one fit agree."""
+    return fitted[1].withColumn("value", r4(F.col("value")))
+
+
+def _retrained(spark):
+    return {"make_encoder": lambda: classify.hashed_mean_encoder(dim=RETRAIN_DIM), "tasks": _cores(spark)}
+
+
 @query
 def retrain_eval(spark, sf_dir):
     """Silver labels replaced by reviewed ones; metric rows on the evaluation split."""
-    return workflows.replace_round(*_corpus_and_gold(spark, sf_dir), "replace")[1]
+    return _metrics_of(workflows.replace_round(*_corpus_and_gold(spark, sf_dir), "replace", **_retrained(spark)))
 
 
 @query
 def retrain_eval_append(spark, sf_dir):
     """Reviewed rows added to the silver ones."""
-    return workflows.append_round(*_corpus_and_gold(spark, sf_dir), "is_green_human", "append")[1]
+    return _metrics_of(workflows.append_round(*_corpus_and_gold(spark, sf_dir), "is_green_human", "append", **_retrained(spark)))
 
 
 @query
@@ -548,7 +566,7 @@ def retrain_eval_stratified(spark, sf_dir):
     _, gold = _corpus_and_gold(spark, sf_dir)
     last = sampling.dedupe_keep_last(cleaning.clean_doc_id(gold, "doc_id"), "doc_id", "source_pos")
     alone = cleaning.coerce_binary(last.select("doc_id", "text", F.col("is_green_human").alias("label")))
-    return workflows.stratified_round(alone, "doc_id", "stratified")[1]
+    return _metrics_of(workflows.stratified_round(alone, "doc_id", "stratified", **_retrained(spark)))
 
 
 @query

@@ -49,6 +49,8 @@ def review_list(
         scored = predict_proba(vectors.select(vector_key, "embedding"), model)
     else:
         scored = linear_score(vectors.select(vector_key, "embedding"), *model, prediction=None)
+    # one number per id, stored once: the check for repeated ids reads it too, and must not make vectors again
+    scored = stage_table(scored.select(vector_key, "p_green"), "scores")
     aligned = embedding_align(pool.select(key), scored, key, vector_key, "p_green", on_missing)
     top = top_uncertain(uncertainty(aligned), k, tie=key)
     listed = (pool if texts is None else texts).select(key, "text").join(top, key)
@@ -62,21 +64,24 @@ def unlabelled(documents: DataFrame, labels: DataFrame, key: str = "doc_id") ->
     return complement(documents, labels, key)
 
 
-def replace_round(corpus: DataFrame, gold: DataFrame, run: str) -> tuple[PipelineModel, DataFrame]:
-    """Retrain with reviewed labels in place of silver ones; metrics on the evaluation split."""
+def replace_round(corpus: DataFrame, gold: DataFrame, run: str, **how) -> tuple[PipelineModel, DataFrame]:
+    """Retrain with reviewed labels in place of silver ones; metrics on the evaluation split.
+
+    ``how`` goes to ``retrain_eval``: an encoder or a pipeline.
+    """
     require_rows(gold_matched(gold_join(corpus.select("id"), gold)), "no reviewed id is in the corpus")
-    return retrain_eval(augment_replace(corpus, gold), eval_rows(corpus), run)
+    return retrain_eval(augment_replace(corpus, gold), eval_rows(corpus), run, **how)
 
 
 def append_round(
-    corpus: DataFrame, reviewed: DataFrame, label: str, run: str
+    corpus: DataFrame, reviewed: DataFrame, label: str, run: str, **how
 ) -> tuple[PipelineModel, DataFrame]:
     """Retrain with reviewed rows added; metrics on the evaluation split."""
     require_rows(coerce_binary(reviewed, label, text=None), f"no reviewed row has a valid {label}")
-    return retrain_eval(augment_append(corpus, reviewed, label), eval_rows(corpus), run)
+    return retrain_eval(augment_append(corpus, reviewed, label), eval_rows(corpus), run, **how)
 
 
-def stratified_round(reviewed: DataFrame, key: str, run: str) -> tuple[PipelineModel, DataFrame]:
+def stratified_round(reviewed: DataFrame, key: str, run: str, **how) -> tuple[PipelineModel, DataFrame]:
     """Train and test on the reviewed rows alone, class balance kept."""
     parts = stratified_split(reviewed, "label", key)
-    return retrain_eval(parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test"), run)
+    return retrain_eval(parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test"), run, **how)

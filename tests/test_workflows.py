@@ -65,3 +65,25 @@ def test_silver_corpus(spark):
         ("train_silver", 24), ("eval_silver", 8), ("pool_unlabeled", 8),
     }
     assert got.groupBy("is_green_silver").count().where("count = 20").count() == 2
+
+
+def test_retraining_on_vectors(spark, corpus):
+    gold = spark.createDataFrame([("4.0", "1", 1)], "doc_id string, is_green_human string, source_pos int")
+    encoder = lambda: classify.hashed_mean_encoder(dim=64)
+    model, rows = workflows.replace_round(corpus, gold, "r", make_encoder=encoder)
+    got = values(rows)
+    assert got[("summary", None, "n")] == 12 and got[("summary", None, "accuracy")] == 1.0
+    assert len(model.stages) == 1 and model.stages[0].numFeatures == 64
+    with pytest.raises(ValueError, match="not both"):
+        workflows.replace_round(corpus, gold, "r", make_encoder=encoder, pipeline=classify.text_pipeline())
+
+
+def test_documents_are_embedded_where_they_lie(spark):
+    texts = [(0, None), (1, ""), (2, " \t "), (3, "a b a"), (4, " ".join(f"w{i}" for i in range(1000)))]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    for window, batch in ((256, 32), (7, 3), (5000, 1)):
+        out = classify.embed_documents(docs, lambda: classify.hashed_mean_encoder(dim=8, max_tokens=window), window=window, batch=batch)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: r.embedding for r in out.collect()}
+        whole = classify.hashed_mean_encoder(dim=8)([t or "" for _, t in texts])
+        assert all(abs(a - b) < 1e-6 for i in got for a, b in zip(got[i], whole[i], strict=True))
