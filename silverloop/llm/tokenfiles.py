@@ -130,36 +130,36 @@ class _Tokens:
             out.append((word[:-1], x[-1]) if ends else (word, ""))
         return out
 
-    def _learn(self, parts: Iterable[str]) -> None:
-        known, whole, made = self.known, [], {}
+    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Remembers words; returns the parts that are made of several."""
+        known, plain, other, made = self.known, [], [], {}
         for p in parts:
             if "\n" in p or (p[-1] in STOPS and len(p) > 1):
                 made[p] = self._atoms(p)
+            elif p.isascii() and p.isalpha():  # one word to the model's pattern, which need not look at it
+                plain.append(p)
             else:
-                whole.append(p)
-        new = dict.fromkeys(whole)
-        new.update((w, None) for atoms in made.values() for w, _ in atoms if w not in known)
-        # letters alone are one word to the model's pattern, which need not look at them
-        plain = [w for w in new if w.isascii() and w.isalpha()]
-        other = [w for w in new if not (w.isascii() and w.isalpha())]
-        known.update(zip(plain, self._encode([f"{SPACE}{w}" for w in plain], self.words), strict=True))
+                other.append(p)
+        within = {w for atoms in made.values() for w, _ in atoms if w not in known}
+        for w in within.difference(plain, other):
+            (plain if w.isascii() and w.isalpha() else other).append(w)
+        known.update(zip(plain, self._encode([SPACE + w for w in plain], self.words), strict=True))
         known.update(zip(other, self._encode([w if w[0] == "\n" else f" {w}" for w in other]), strict=True))
-        for p, atoms in made.items():
-            if p not in known:
-                known[p] = b"".join([known[w] + self.stops[e] for w, e in atoms])
+        stops = self.stops
+        return {p: b"".join([known[w] + stops[e] for w, e in atoms]) for p, atoms in made.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, 4 bytes each."""
         if len(self.known) > REMEMBERED:  # the first words met are the most frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        known = self.known
         split = [self._parts(t) for t in texts]
         words = [p for parts in split for p in islice(parts, 1, None)]
-        found = list(map(self.known.get, words))
-        absent = [i for i, x in enumerate(found) if x is None]
-        if absent:
-            self._learn(dict.fromkeys(words[i] for i in absent))
-            for i in absent:
-                found[i] = self.known[words[i]]
+        composed = self._learn(set(words).difference(known))
+        known.update(composed)  # for these texts only: memory is for words
+        found = list(map(known.__getitem__, words))
+        for p in composed:
+            del known[p]
         out, at = [], 0
         for first, parts in zip(self._encode([p[0] for p in split]), split, strict=True):
             out.append(first + b"".join(found[at : at + len(parts) - 1]))
@@ -173,8 +173,14 @@ def _tokens(path: str, special_as_text: bool) -> _Tokens:
     return _Tokens(path, special_as_text)
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    """One per worker process: making one costs more than most documents do."""
+    return zstandard.ZstdCompressor(level=1)
+
+
 def _zip(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(pack(ids)))
+    return _compressor().compress(b"".join(pack(ids)))
 
 
 def _unzip(data: bytes, n: int) -> np.ndarray:
