@@ -27,13 +27,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from silverloop.llm.common import chunks, stage, texts_of
+from silverloop.llm.common import chunks, ragged, stage, texts_of
 from silverloop.llm.files import Ranges, write_whole
 
 END = 0
@@ -47,6 +48,8 @@ _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256
 STOPS = ",."
 SPACE = "Ġ"  # fixed value: how the model's file writes a space
 _LOOSE = re.compile(r" (?=\s|$)")
+# The same for arrays, whose patterns know fewer spaces by name.
+_LOOSE_RE2 = " ([" + "".join(f"\\x{{{c:X}}}" for c in range(0x3001) if chr(c).isspace()) + "]|$)"
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -130,8 +133,7 @@ class _Tokens:
             out.append((word[:-1], x[-1]) if ends else (word, ""))
         return out
 
-    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
-        """Remembers words; returns the parts that are made of several."""
+    def _learn(self, parts: Iterable[str]) -> None:
         known, plain, other, made = self.known, [], [], {}
         for p in parts:
             if "\n" in p or (p[-1] in STOPS and len(p) > 1):
@@ -146,25 +148,55 @@ class _Tokens:
         known.update(zip(plain, self._encode([SPACE + w for w in plain], self.words), strict=True))
         known.update(zip(other, self._encode([w if w[0] == "\n" else f" {w}" for w in other]), strict=True))
         stops = self.stops
-        return {p: b"".join([known[w] + stops[e] for w, e in atoms]) for p, atoms in made.items()}
+        known.update({p: b"".join([known[w] + stops[e] for w, e in atoms]) for p, atoms in made.items()})
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, 4 bytes each."""
+    def flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, ``end`` after each, and how many each text has.
+
+        Texts are split and their parts numbered as arrays; only different parts are looked up.
+        """
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:  # the first words met are the most frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        column = pa.array(texts, pa.large_string())
+        loose = np.flatnonzero(pc.match_substring_regex(column, _LOOSE_RE2).to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(column, " ")
+        offsets, parts = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+        if len(loose):  # these few are split with care
+            apart = [self._parts(texts[i]) for i in loose.tolist()]
+            n = np.diff(offsets)
+            n_apart = np.fromiter(map(len, apart), np.int64, len(apart))
+            # all parts in order: those of loose texts are taken from behind
+            begin = offsets[:-1].copy()
+            begin[loose] = len(parts) + np.cumsum(n_apart) - n_apart
+            n[loose] = n_apart
+            both = pa.concat_arrays([parts, pa.array([x for y in apart for x in y], pa.large_string())])
+            parts, offsets = both.take(pa.array(ragged(begin, n))), np.append(0, np.cumsum(n))
+        first = np.zeros(len(parts), bool)
+        first[offsets[:-1]] = True
+        coded = parts.filter(pa.array(~first)).dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.known
-        split = [self._parts(t) for t in texts]
-        words = [p for parts in split for p in islice(parts, 1, None)]
-        composed = self._learn(set(words).difference(known))
-        known.update(composed)  # for these texts only: memory is for words
-        found = list(map(known.__getitem__, words))
-        for p in composed:
-            del known[p]
-        out, at = [], 0
-        for first, parts in zip(self._encode([p[0] for p in split]), split, strict=True):
-            out.append(first + b"".join(found[at : at + len(parts) - 1]))
-            at += len(parts) - 1
-        return out
+        self._learn([x for x in names if x not in known])
+        spelled = list(map(known.__getitem__, names))
+        spelled += self._encode(parts.filter(pa.array(first)).to_pylist())
+        spelled.append(end)
+        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+        # per text: its first part, the others, the end
+        every = np.full(len(parts) + len(texts), len(spelled) - 1)
+        place = np.arange(len(parts)) + np.repeat(np.arange(len(texts)), np.diff(offsets))
+        every[place[first]] = len(names) + np.arange(len(texts))
+        every[place[~first]] = which
+        starts = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(spelled), "<u4")[ragged(starts[every], lengths[every])]
+        return ids, np.add.reduceat(lengths[every], offsets[:-1] + np.arange(len(texts)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, 4 bytes each."""
+        ids, counts = self.flat(texts)
+        raw, stops = ids.tobytes(), np.cumsum(counts) * 4
+        return [raw[b - 4 * n : b] for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
 
 
 @cache
@@ -179,8 +211,18 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=1)
 
 
-def _zip(ids: np.ndarray) -> bytes:
-    return _compressor().compress(b"".join(pack(ids)))
+def _zip(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Each text's ids as ``pack`` has them, compressed; all texts are packed at once."""
+    code = (ids > 0xFF).astype(np.uint8) + (ids > 0xFFFF) + (ids > 0xFFFFFF)
+    data = ids.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    cells = -(-counts // 4)
+    four = np.zeros(int(cells.sum()) * 4, np.uint8)
+    four[ragged(4 * (np.cumsum(cells) - cells), counts)] = code
+    four = four.reshape(-1, 4)
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    ends, cuts = np.append(0, np.cumsum(code + 1, dtype=np.int64))[np.cumsum(counts)].tolist(), np.cumsum(cells).tolist()
+    compress = _compressor().compress
+    return [compress(control[a:b] + data[c:d]) for a, b, c, d in zip([0, *cuts[:-1]], cuts, [0, *ends[:-1]], ends, strict=True)]
 
 
 def _unzip(data: bytes, n: int) -> np.ndarray:
@@ -198,12 +240,11 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("_id"))
             for first, last, texts in chunks(batch, BLOCK_CHARS):
-                ids = [np.frombuffer(x + end, "<u4") for x in encode(texts)]
-                count = np.bincount(np.concatenate(ids), minlength=len(total))
+                ids, n = encode.flat(texts, end)
+                count = np.bincount(ids, minlength=len(total))
                 count[: len(total)] += total
                 total = count
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), n, pa.array(map(_zip, ids), pa.binary()), pa.nulls(last - first, _MET)], schema=out)
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(n, pa.int64()), pa.array(_zip(ids, n), pa.binary()), pa.nulls(last - first, _MET)], schema=out)
         met = np.flatnonzero(total)
         listed = pa.array([[{"id": int(a), "n": int(b)} for a, b in zip(met, total[met], strict=True)]], _MET)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), listed], schema=out)
