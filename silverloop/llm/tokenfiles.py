@@ -65,9 +65,13 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` integers packed."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
+    return _spread(_LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64), data)
+
+
+def _spread(lengths: np.ndarray, data: bytes) -> np.ndarray:
+    """Integers of so many bytes each."""
     ends = np.cumsum(lengths)
-    if n and ends[-1] != len(data):
+    if len(ends) and ends[-1] != len(data):
         raise ValueError("control bytes and data don't fit together")
     raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))
     starts = ends - lengths
@@ -222,12 +226,21 @@ def _zip(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
     ends, cuts = np.append(0, np.cumsum(code + 1, dtype=np.int64))[np.cumsum(counts)].tolist(), np.cumsum(cells).tolist()
     compress = _compressor().compress
-    return [compress(control[a:b] + data[c:d]) for a, b, c, d in zip([0, *cuts[:-1]], cuts, [0, *ends[:-1]], ends, strict=True)]
+    return [compress(control[a:b] + data[c:d]) for a, b, c, d in zip([0, *cuts], cuts, [0, *ends], ends, strict=False)]
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
-def _unzip(data: bytes, n: int) -> np.ndarray:
-    raw, cut = zstandard.ZstdDecompressor().decompress(data), -(-n // 4)
-    return unpack(raw[:cut], raw[cut:], n)
+def _unzip(packed: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """All ids of texts that ``_zip`` packed, one text after another."""
+    raw, cells = list(map(_decompressor().decompress, packed)), -(-counts // 4)
+    cut = list(zip(raw, cells.tolist(), strict=True))
+    control = np.frombuffer(b"".join([x[:n] for x, n in cut]), np.uint8)
+    lengths = _LENGTHS[control].ravel()[ragged(4 * (np.cumsum(cells) - cells), counts)]
+    return _spread(lengths.astype(np.int64), b"".join([x[n:] for x, n in cut]))
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
@@ -293,7 +306,7 @@ def write(
                 base = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, base + BLOCK_IDS, side="right")))
                 part = ids.slice(first, last - first).to_pylist()
-                values = sent.value[np.concatenate([_unzip(x, k) for x, k in zip(part, n[first:last].tolist(), strict=True)])]
+                values = sent.value[_unzip(part, n[first:last])]
                 named = json.dumps(keys.slice(first, last - first).to_pylist()).encode()
                 counts = n[first:last].astype("<u4").tobytes()
                 control, data = pack(values)
