@@ -318,6 +318,8 @@ def test_tool_calls(spark):
     results = [(1, "a", 2, "late"), (1, "a", 1, "r"), (2, "a", 2, None), (None, "a", 2, "n"), (3, "a", 1, "lost"), (1, None, 1, "lost")]
     calls = spark.createDataFrame(calls, CALLS).withColumns({"line": F.lit(1), "_conv": F.lit(2)})
     results = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
+    plan = toolcalls.link(calls, results, TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link(calls, results, TOOLS).collect()}
     assert len(got) == 10
     assert got[1, "a"].errors == [] and got[1, "a"].n_results == 2
