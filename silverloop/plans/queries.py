@@ -640,12 +640,8 @@ def label_incremental(spark, sf_dir):
     schema = fx.read(spark, sf_dir, "documents").schema
     sink, checkpoint = new_path(spark, "labelled"), new_path(spark, "labelled-progress")
     for _ in range(2):
-        stream = (
-            spark.readStream.schema(schema)
-            .option("pathGlobFilter", "documents.parquet")
-            .parquet(sf_dir)
-            .select("doc_id", "text")
-        )
+        # as a pattern, the path may be one file or a folder of them
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
         incremental.label_incremental(stream, standins.kv_model, sink, checkpoint).awaitTermination()
     return spark.read.parquet(sink).select("doc_id", "llm_green_suggested", "llm_confidence", "llm_rationale")
 

@@ -43,3 +43,11 @@ def test_review_list_joins_numbers_not_vectors_or_text(spark):
     assert "TakeOrderedAndProject(limit=100" in physical
     exchanged = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanged and "embedding" not in "".join(exchanged)
+
+
+def test_streamed_documents_may_be_a_folder_of_files(spark, tmp_path):
+    run, docs = entry.queries()["label_incremental"], spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sorted(run(spark, f"{tmp_path}/some").collect()) == sorted(run(spark, SF_DIR).collect())
+    assert run(spark, f"{tmp_path}/none").count() == 0
