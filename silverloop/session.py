@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where a later operator then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # What a Python function gets at once is bounded in bytes and not in rows alone: a worker holds several
+    # copies of it (texts, prompts, replies), and whole texts are long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # State of streams lies on disk and is read by key, so a batch's cost does not grow with it.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

@@ -295,3 +295,16 @@ def test_column_functions_are_set_up_once_per_task(spark, tmp_path):
     assert df.select(two("s", "id").alias("n")).agg(F.sum("n")).first()[0] == 4000 + 499_500
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert calls(log) == 8
+
+
+def test_python_functions_get_batches_of_bounded_bytes(spark):
+    """Rows of 20 kB: ten thousand of them would be 200 MB at once."""
+    df = spark.range(1000, numPartitions=1).selectExpr("id AS doc_id", "repeat('x', 20000) AS text")
+    sized = inference.map_batches(df, lambda f: f.assign(n=len(f))[["doc_id", "n"]], "doc_id long, n long")
+    model = lambda: lambda prompts: [p + str(len(prompts)) for p in prompts]
+    asked = inference.batch_generate(df, model, "text", batch=10_000).selectExpr("doc_id", "CAST(reply AS long) AS n")
+    counted = inference.map_column(lambda: lambda texts: texts.map(len) * 0 + len(texts), "bigint")
+    for got in (sized, asked, df.select("doc_id", counted("text").alias("n"))):
+        rows = got.collect()
+        assert sorted(r.doc_id for r in rows) == list(range(1000))
+        assert max(r.n for r in rows) * 20_000 < 6_000_000
