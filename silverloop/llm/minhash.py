@@ -11,9 +11,15 @@ star: its centre against each other member, which is linear in the bucket. The l
 proposed are confirmed on the full sets. Where a bucket still holds several classes
 after that, all members of a small bucket, and four of a larger one, are centres of
 further stars to the other classes, then the next four and so on, until all were or a
-round confirms no link. So a round is linear in large buckets, small ones are compared
-whole, and a link can only be lost in buckets of more than 16 of which a whole round of
-centres joined nothing.
+round confirms no link. So a round is linear in large buckets, and small ones are compared
+whole.
+
+What the rounds leave of larger buckets is then compared whole too, block by block: each
+member against every one of another class, by odd sketches. Bit i of a sketch is the
+parity of the shingles that fall on it, so two sets differ in at least as many shingles as
+their sketches in bits, and a pair whose sketches differ in more bits than linked sets do
+is no link for certain. All others are confirmed on full sets. So every two members of a
+bucket are in one class, or known to be no link.
 """
 
 from __future__ import annotations
@@ -39,6 +45,10 @@ PERCENT = 85
 BANDS, ROWS = 32, 6
 # In a bucket of this size or less every member is a centre at once; in a larger one, so many in each round.
 WHOLE, CENTRES = 16, 4
+# Members of a block of a larger bucket; two blocks meet in one task. Bits of an odd sketch (a power of two).
+SIDE, SKETCH = 512, 2048
+# Pairs of sketches that a task compares at once.
+AT_ONCE = 1 << 15
 # Rows of two digests that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 # Bytes of one text that are split into words at once.
@@ -110,6 +120,12 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """A bit per slot of a set: whether an odd number of its hashes falls there."""
+    slots = (hashes >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``_id``, ``_t`` (digest of the text), ``key`` (digest of the set), ``n`` (its size) and ``bands`` of every row.
 
@@ -167,18 +183,89 @@ def _first_stars(members: DataFrame, percent: int) -> DataFrame:
     return _fitting(members.join(stars, "bucket"), percent)
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their class, ``root``, in buckets that hold several classes."""
+    classed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "size", "key", "n", F.coalesce("root", "key").alias("root"))
+    mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return classed.join(mixed, "bucket")
+
+
 def _more_stars(members: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs across classes in buckets that hold several: all of a small one; the next ``CENTRES`` members or so
     of a larger one, in an order that buckets share, against its members of other classes."""
-    classed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "size", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = classed.join(mixed, "bucket")
+    open_ = _open(members, roots)
     place = F.shiftrightunsigned(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) * F.col("size"), 20)
     chosen = open_.where((F.col("size") <= WHOLE) | ((place >= CENTRES * (turn - 1)) & (place < CENTRES * turn)))
     stars = chosen.select("bucket", F.col("key").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))
     return _fitting(open_.join(stars, "bucket").where("root <> c_root"), percent)
 
 
+def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """``key`` and ``sketch`` of candidates' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part in chunks(batch):
+                made = pa.array([odd_sketch(shingle_set(t, shingle)) for t in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), made], ["key", "sketch"])
+
+    return texts.select("key", "_text").mapInArrow(run, "key binary, sketch binary")
+
+
+def _cells(open_: DataFrame, side: int) -> DataFrame:
+    """Members of large buckets dealt to cells ``bucket``, ``i``, ``j``, where all that must meet do.
+
+    Most members are often of one class, and they need not meet: they are ``inner`` blocks,
+    and meet the blocks of the others only, which meet each other as well. ``left`` and
+    ``right`` say which side of its cell a row is on.
+    """
+    held = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("bucket")
+    sizes = held.agg(F.max(F.struct("held", "root")).alias("m"), F.sum("held").alias("all"))
+    blocks = lambda rows: F.ceil(rows / side).cast("long")
+    sizes = sizes.select("bucket", F.col("m.root").alias("most"), blocks(F.col("m.held")).alias("inner"), blocks(F.col("all") - F.col("m.held")).alias("outer"))
+    dealt = open_.join(sizes, "bucket").withColumn("is_inner", F.col("root") == F.col("most"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("is_inner"), F.col("inner")).otherwise(F.col("outer"))))
+    cell = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, block = F.lit(True), F.lit(False), F.col("block")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # cells of two outer blocks have i <= j; those of an outer and an inner one have j below zero
+    of_inner = F.transform(every(F.col("outer")), lambda o: cell(o, -1 - block, no, yes))
+    to_inner = F.transform(every(F.col("inner")), lambda o: cell(block, -1 - o, yes, no))
+    to_outer = F.transform(every(F.col("outer")), lambda o: cell(F.least(block, o), F.greatest(block, o), block <= o, block >= o))
+    at = F.explode(F.when(F.col("is_inner"), of_inner).otherwise(F.concat(to_inner, to_outer)))
+    return dealt.select("bucket", "key", "n", "root", at.alias("at")).select("bucket", "key", "n", "root", "at.*")
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, percent: int, side: int = SIDE) -> DataFrame:
+    """``u``, ``v`` of all pairs across classes in larger buckets that sizes and sketches allow to be links."""
+    open_ = stage(_open(members.where(F.col("size") > WHOLE), roots), "minhash-open")
+    sketches = stage(_sketched(texts.join(open_.select("key").distinct(), "key"), shingle), "minhash-sketches")
+    cells = _cells(open_, side).join(sketches, "key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        n, keys = table.column("n").to_numpy(), table.column("key").to_pylist()
+        classes_ = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(keys), SKETCH // 64)
+        us, vs = [], []
+        step = max(1, AT_ONCE // max(1, len(right)))
+        for k in range(0, len(left), step):
+            rows = left[k : k + step]
+            a, b = np.repeat(rows, len(right)), np.tile(right, len(rows))
+            fits = (classes_[a] != classes_[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[fits], b[fits]
+            differ = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+            # 100 * shared >= percent * united, in terms of the sizes and the number of shingles that differ
+            near = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+            for x, y in zip(a[near], b[near], strict=True):
+                us.append(min(keys[x], keys[y]))
+                vs.append(max(keys[x], keys[y]))
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets are that similar. Each side's text goes to its pair, so a centre of many pairs is no hot key."""
     sent = _sent(pairs)
@@ -219,10 +306,16 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: i
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             roots = stage(components(found, "minhash-links"), "minhash-roots")
-        if (new.isEmpty() and turn > 1) or (turn > 1 and (largest <= WHOLE or CENTRES * (turn - 1) >= largest)):
-            return roots
+        if turn > 1 and (new.isEmpty() or largest <= WHOLE or CENTRES * (turn - 1) >= largest):
+            break
         pairs = stage(_more_stars(members, roots, turn, percent).join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
         tested = tested.unionByName(pairs)
+    if largest > WHOLE:
+        rest = _rest(members, roots, kept, shingle, percent).join(tested, ["u", "v"], "left_anti")
+        new = stage(_confirmed(stage(rest, "minhash-pairs"), kept, shingle, percent), "minhash-confirmed")
+        if not new.isEmpty():
+            roots = stage(components(new if found is None else found.unionByName(new), "minhash-links"), "minhash-roots")
+    return roots
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -301,3 +301,34 @@ def test_densified_signatures_of_equal_sets_are_equal_and_filled():
     assert set(values.tolist()) == set(few.tolist())
     shares = [np.mean(values == v) for v in few]
     assert min(shares) > 0.2  # empty bins choose among all that are full
+
+
+def one_bucket(spark, words):
+    """Nodes and texts of word lists that all share one bucket."""
+    rows = [(str(i).encode(), hashlib.md5(t.encode()).digest(), len(minhash.shingle_set(t, 3)), [7], t) for i, t in enumerate(map(" ".join, words))]
+    df = spark.createDataFrame(rows, "key binary, _t binary, n long, bands array<long>, _text string")
+    return df.select("key", "_t", "n", "bands"), df.select("_t", "_text")
+
+
+def test_minhash_loses_no_link_of_a_large_bucket(spark):
+    """Two similar texts among 150 others of one bucket, in which no star of the first rounds finds a link."""
+    words = [[f"a{k}_{i}" for i in range(60)] for k in range(150)]
+    words += [[f"z{i}" for i in range(60)], [f"z{i}" for i in range(60)] + ["end"]]
+    linked = minhash.links(*one_bucket(spark, words)).collect()
+    assert {(bytes(r.node), bytes(r.root)) for r in linked} - {(b"150", b"150")} == {(b"151", b"150")}
+
+
+def test_blocks_of_a_large_bucket_meet_across_classes(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    words = [[w if rng.random() > 0.0004 * k else f"x{rng.random()}" for w in base] for k in range(70)]
+    nodes, texts = one_bucket(spark, words)
+    members = nodes.selectExpr("7L AS bucket", "70L AS size", "key", "n")
+    kept = nodes.join(texts, "_t").select("key", "_text")
+    # forty are of one class, the others of classes of their own
+    roots = nodes.select(F.col("key").alias("node"), F.lit(b"0").alias("root")).where("CAST(CAST(node AS string) AS int) < 40")
+    got = {(bytes(r.u), bytes(r.v)) for r in minhash._rest(members, roots, kept, 3, 85, side=8).collect()}
+    sets = {str(i).encode(): set(minhash.shingle_set(" ".join(w), 3).tolist()) for i, w in enumerate(words)}
+    across = {(a, b) for a in sets for b in sets if a < b and max(int(a), int(b)) >= 40}
+    wanted = {(a, b) for a, b in across if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert wanted and wanted <= got < across
