@@ -46,7 +46,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document left, their number and whether they decode to its text."""
     vocabulary = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    back = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    back = pieces.encode_and_decode(docs, vocabulary)
     return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

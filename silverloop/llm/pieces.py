@@ -18,7 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from silverloop.llm.common import chunks, ragged, texts_of
 
 MARK = "▁"
-# Words a worker process remembers from task to task.
-REMEMBERED = 500_000
+# Words, and parts of words, that a worker process remembers from task to task, and new ones it matches at once.
+REMEMBERED = 250_000
+AT_ONCE = 20_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _FILTER = 22
 
@@ -122,13 +123,21 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by words without the mark they begin with
+        self.units: dict[str, bytes] = {}  # by parts of words that merging never joins to others
         self.maybe = np.zeros(1 << _FILTER, bool)
         self.maybe[_filter_at(vocabulary.pair_keys)] = True
+        # pieces in order of their characters, so that searches for them go through the suffixes once
+        order = sorted(range(len(vocabulary.pieces)), key=vocabulary.pieces.__getitem__)
+        self.flat = np.frombuffer("".join([vocabulary.pieces[i] for i in order]).encode("utf-32-le"), "<u4")
+        self.ids = vocabulary.ids[order].astype(np.int32)
+        self.lengths = np.array([len(vocabulary.pieces[i]) for i in order])
+        self.length_of = np.ones(vocabulary.size + 1, np.int64)
+        self.length_of[self.ids] = self.lengths
 
     def _merge_time(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """When a pair merges; a large number if it never does."""
-        keys = a * (self.v.size + 1) + b
+        keys = a.astype(np.int64) * (self.v.size + 1) + b
         out = np.full(len(keys), 1 << 40)
         some = np.flatnonzero(self.maybe[_filter_at(keys)])
         place = np.minimum(np.searchsorted(self.v.pair_keys, keys[some]), len(self.v.pair_keys) - 1)
@@ -154,33 +163,39 @@ class Encoder:
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and id of every occurrence of every piece in a text."""
-        v, n = self.v, len(codes)
-        letters, rank = np.unique(codes, return_inverse=True)
-        width = max(map(len, v.pieces))
-        dense, covered = rank.astype(np.int64), 1
-        while covered < width:  # prefix doubling
+        n, width = len(codes), int(self.lengths.max())
+        used = np.zeros(0x110000, bool)
+        used[codes] = True
+        letters = np.flatnonzero(used)
+        number = np.cumsum(used, dtype=np.int32)  # 0 stands for what is behind the text
+        kind, top = (">u2", 0xFFFF) if len(letters) < 0xFFFF else (">u4", 0xFFFFFFFF)
+        text = np.append(number[codes], np.zeros(width, np.int32))
+        # as many characters as fit into an integer, then prefix doubling
+        bits = len(letters).bit_length()
+        covered = min(width, 62 // bits)
+        dense = np.zeros(n, np.int64)
+        for i in range(covered):
+            dense = (dense << bits) | text[i : i + n]
+        while covered < width:
+            dense = np.unique(dense, return_inverse=True)[1]
             after = np.zeros(n, np.int64)
-            after[: n - covered] = dense[covered:] + 1 if covered < n else 0
-            dense = np.unique(dense * (n + 1) + after, return_inverse=True)[1]
+            after[: max(0, n - covered)] = dense[covered:] + 1
+            dense = dense * (n + 1) + after
             covered *= 2
-        order = np.argsort(dense, kind="stable")
-        text = np.append(rank + 1, np.zeros(width, np.int64)).astype(">u4")
-        suffixes = np.lib.stride_tricks.sliding_window_view(text, width)[order].copy().view(f"S{4 * width}").ravel()
-        flat = np.frombuffer("".join(v.pieces).encode("utf-32-le"), "<u4")
-        lengths = np.array([len(p) for p in v.pieces])
-        at = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
-        there = letters[at] == flat
-        starts = np.cumsum(lengths) - lengths
-        usable = np.flatnonzero(np.logical_and.reduceat(there, starts))
-        low = np.zeros((len(usable), width), ">u4")
-        size = lengths[usable]
-        low[np.repeat(np.arange(len(usable)), size), ragged(np.zeros(len(size), np.int64), size)] = at[ragged(starts[usable], size)] + 1
+        order = np.argsort(dense)
+        size_of = np.dtype(kind).itemsize * width
+        suffixes = np.lib.stride_tricks.sliding_window_view(text.astype(kind), width)[order].view(f"S{size_of}").ravel()
+        starts = np.cumsum(self.lengths) - self.lengths
+        usable = np.flatnonzero(np.logical_and.reduceat(used[self.flat], starts))
+        low = np.zeros((len(usable), width), kind)
+        size = self.lengths[usable]
+        low[np.repeat(np.arange(len(usable)), size), ragged(np.zeros(len(size), np.int64), size)] = number[self.flat[ragged(starts[usable], size)]]
         high = low.copy()
-        high[np.arange(width) >= size[:, None]] = 0xFFFFFFFF
-        a = np.searchsorted(suffixes, low.view(f"S{4 * width}").ravel(), "left")
-        b = np.searchsorted(suffixes, high.view(f"S{4 * width}").ravel(), "right")
+        high[np.arange(width) >= size[:, None]] = top
+        a = np.searchsorted(suffixes, low.view(f"S{size_of}").ravel(), "left")
+        b = np.searchsorted(suffixes, high.view(f"S{size_of}").ravel(), "right")
         count = b - a
-        return order[ragged(a, count)], np.repeat(size, count), np.repeat(v.ids[usable], count)
+        return order[ragged(a, count)].astype(np.int32), np.repeat(size.astype(np.int32), count), np.repeat(self.ids[usable], count)
 
     def _marks(self, n: int) -> bytes:
         """Ids of ``n`` marks in a row: the leftmost two neighbours that make a piece join, again and again."""
@@ -192,31 +207,31 @@ class Encoder:
             stack.append(top)
         return np.array([self.v.marks[k] for k in stack], "<i4").tobytes()
 
-    def _match(self, words: list[str]) -> list[bytes]:
+    def _paths(self, units: list[str]) -> list[bytes]:
+        """Ids of every unit, the path of pieces through it."""
         v = self.v
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("\0".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
         begins = np.cumsum(lengths + 1) - (lengths + 1)
         start, size, piece = self._edges(codes)
-        # characters without a piece of their own are edges too
+        # characters without a piece of their own are edges too; separators are none
         single = np.zeros(len(codes), bool)
         single[start[size == 1]] = True
-        inside = ragged(begins, lengths)
-        lone = inside[~single[inside]]
-        start, size, piece = np.append(start, lone), np.append(size, np.ones(len(lone), np.int64)), np.append(piece, np.full(len(lone), v.unknown))
-        # nothing joins characters that are side by side in no piece: paths begin anew there
-        pair = (codes[:-1].astype(np.int64) << 32) + codes[1:]
-        bound = np.append(v.linked[np.minimum(np.searchsorted(v.linked, pair), len(v.linked) - 1)] != pair, True)
-        unit = inside[np.append(True, bound[inside - 1][1:] | (inside[1:] != inside[:-1] + 1))] if len(inside) else inside
-        place = start - unit[np.searchsorted(unit, start, side="right") - 1]
+        inside = np.ones(len(codes), bool)
+        inside[begins[1:] - 1] = False
+        lone = np.flatnonzero(inside & ~single).astype(np.int32)
+        start, size, piece = np.append(start, lone), np.append(size, np.ones(len(lone), np.int32)), np.append(piece, np.full(len(lone), v.unknown, np.int32))
+        unit_of = np.repeat(np.arange(len(units)), lengths + 1)  # a separator counts with the unit before it
+        place = start - begins[unit_of[start]]
+        place = place.astype(np.uint16 if lengths.max() <= 0xFFFF else np.int32)
         order = np.argsort(place, kind="stable")
         start, size, piece, place = start[order], size[order], piece[order], place[order]
-        last = np.full(len(codes) + 1, -1)  # by end position: the last piece of the path
+        last = np.full(len(codes) + 1, -1, np.int32)  # by end position: the last piece of the path
         cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             s, t, e = start[a:b], piece[a:b], start[a:b] + size[a:b]
             if place[a]:
-                # ends are counted from the position after the piece; a word's own first position has no path before it
+                # ends are counted from the position after the piece; a unit's own first position has no path before it
                 before = last[s]
                 on = before >= 0
                 s, t, e, before = s[on], t[on], e[on], before[on]
@@ -224,19 +239,15 @@ class Encoder:
                 t, e = t[fits], e[fits]
             last[e] = t
         # back from the ends of all paths at once
-        length_of = np.ones(v.size + 1, np.int64)
-        length_of[v.ids] = [len(p) for p in v.pieces]
         on_path = np.zeros(len(codes) + 1, bool)
-        now = np.unique(np.concatenate([begins + lengths, inside[bound[inside]] + 1]))
-        floor = unit[np.searchsorted(unit, now, side="left") - 1]
+        now, floor = begins + lengths, begins
         while len(now):
             on_path[now] = True
-            now = now - length_of[last[now]]
+            now = now - self.length_of[last[now]]
             more = now > floor
             now, floor = now[more], floor[more]
         ends = np.flatnonzero(on_path)
-        ids = last[ends].astype(np.int32)
-        word = np.searchsorted(begins, ends, side="left") - 1
+        ids, unit = last[ends], unit_of[ends - 1]
         strange = np.flatnonzero(ids == v.unknown)
         if len(strange):
             spelled = [v.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))].astype(np.int32) for c in codes[ends[strange] - 1].tolist()]
@@ -244,10 +255,39 @@ class Encoder:
             extra[strange] = [len(x) for x in spelled]
             out = np.repeat(ids, extra)
             out[np.repeat(ids == v.unknown, extra)] = np.concatenate(spelled)
-            ids, word = out, np.repeat(word, extra)
-        per_word = np.bincount(word, minlength=len(words)) * 4
-        raw, stops = ids.astype("<i4").tobytes(), np.cumsum(per_word)
-        out = [raw[b - n : b] for b, n in zip(stops.tolist(), per_word.tolist(), strict=True)]
+            ids, unit = out, np.repeat(unit, extra)
+        per_unit = np.bincount(unit, minlength=len(units)) * 4
+        raw, stops = ids.astype("<i4").tobytes(), np.cumsum(per_unit)
+        return [raw[b - n : b] for b, n in zip(stops.tolist(), per_unit.tolist(), strict=True)]
+
+    def _match(self, words: list[str]) -> list[bytes]:
+        """Ids of every word; a word begins with a mark."""
+        v, text = self.v, "\0".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        begins = np.cumsum(lengths + 1) - (lengths + 1)
+        # nothing joins characters that are side by side in no piece: words are cut there
+        pair = (codes[:-1].astype(np.int64) << 32) + codes[1:]
+        cut = np.ones(len(codes), bool)
+        cut[1:] = v.linked[np.minimum(np.searchsorted(v.linked, pair), len(v.linked) - 1)] != pair
+        cut[begins] = True
+        cut[begins[1:] - 1] = True
+        at = np.flatnonzero(cut)
+        stop = np.append(at[1:], len(codes))
+        within = np.ones(len(codes) + 1, bool)
+        within[begins[1:] - 1] = False
+        real = within[at]  # and no separator between words
+        at, stop = at[real], stop[real]
+        units = [text[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
+        known = self.units
+        new = list(set(units).difference(known))
+        for a in range(0, len(new), AT_ONCE):
+            part = new[a : a + AT_ONCE]
+            known.update(zip(part, self._paths(part), strict=True))
+        spelled = list(map(known.__getitem__, units))
+        raw, stops = b"".join(spelled), np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        stops = stops[np.append(np.searchsorted(at, begins[1:]), len(at)) - 1].tolist()
+        out = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         mark = np.array([v.marks[1]], "<i4").tobytes()
         for i, word in enumerate(words):
             if word.startswith(MARK + MARK):
@@ -257,16 +297,28 @@ class Encoder:
                 out[i] = self._marks(n) + out[i][4 * n :]
         return out
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Words of a text, each without the mark it begins with."""
+        if not text:
+            return []
+        if text[0] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers."""
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:  # the first words met are the most frequent ones
+        split = list(map(self._words, texts))
+        # the first ones met are the most frequent ones
+        if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        if len(self.units) > REMEMBERED:
+            self.units = dict(islice(self.units.items(), REMEMBERED // 2))
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            known.update(zip(part, self._match(part), strict=True))
+        new = list(set(chain.from_iterable(split)).difference(known))
+        for a in range(0, len(new), AT_ONCE):
+            part = new[a : a + AT_ONCE]
+            known.update(zip(part, self._match([MARK + w for w in part]), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -306,6 +358,30 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
+class Decoder:
+    """Texts of lists of ids."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.spelled = pa.array(vocabulary.spelled, pa.large_binary())
+
+    def __call__(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The text of every list, which ``offsets`` part."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.spelled)):
+            raise ValueError("an id is outside the vocabulary")
+        made = self.spelled.take(pa.array(ids))
+        _, stops, data = made.buffers()
+        raw = memoryview(data or b"")
+        stops = np.frombuffer(stops, np.int64, len(made) + 1)[offsets] if len(made) else offsets
+        # the space that encoding puts before a text goes
+        return pa.array([str(raw[a + (raw[a : min(a + 1, b)] == b" ") : b], "utf-8", "replace") for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], pa.string())
+
+
+def _of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of lists, from 0."""
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]]
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col``, ``ids_col`` and ``text`` of every row of ids.
 
@@ -318,16 +394,30 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = np.array([*sent.value.spelled, b""], object)
+        decoder = Decoder(sent.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("_ids"))
-            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-            if len(ids) and not (0 <= ids.min() and ids.max() < len(spelled) - 1):
-                raise ValueError("an id is outside the vocabulary")
-            texts = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                raw = b"".join(spelled[ids[a:b]])
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), lists, pa.array(texts, pa.string())], ["_id", "_ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), lists, decoder(*_of_lists(lists))], ["_id", "_ids", "text"])
 
     return rows.mapInArrow(run, f"_id {kind}, _ids array<int>, text string").withColumnsRenamed({"_id": id_col, "_ids": ids_col})
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``: ``id_col``, ``ids`` and the ``text`` that the ids stand for.
+
+    Both are done in one pass. As two, every task would hold two Python workers, and as workers
+    take turns, all of them would come to remember words.
+    """
+    rows = texts_of(docs, id_col, text_col)
+    kind = rows.schema["_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(sent.value), Decoder(sent.value)
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("_id"))
+            for first, last, texts in chunks(batch):
+                lists = _lists(encoder(texts))
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), lists, decoder(*_of_lists(lists))], ["_id", "ids", "text"])
+
+    return rows.mapInArrow(run, f"_id {kind}, ids array<int>, text string").withColumnRenamed("_id", id_col)

@@ -7,6 +7,7 @@ import random
 import zipfile
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -140,6 +141,48 @@ def test_sentencepiece_against_the_library(spark, vocabulary, docs, none):
     assert {r.doc_id: r.text for r in pieces.decode(odd, vocabulary).collect()} == {1: "", 2: "", 3: "�"}
 
 
+def test_one_python_pass_encodes_and_decodes(spark, vocabulary, docs, none):
+    two = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    one = pieces.encode_and_decode(docs, vocabulary)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and two._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert pieces.encode_and_decode(none, vocabulary).count() == 0
+    assert corpus_pipeline.encoded(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_decoding_of_odd_lists(vocabulary):
+    the, byte = vocabulary.spelled.index(b" the"), vocabulary.byte_ids
+    lists = [[], [the], [the, the], [1, the], [], [byte[0xE6]], [byte[0x97], byte[0xA5]], [byte[0x20], byte[0x20]], []]
+    offsets = np.cumsum([0, *map(len, lists)])
+    ids = np.array([i for x in lists for i in x], np.int32)
+    got = pieces.Decoder(vocabulary)(offsets, ids).to_pylist()
+    assert got == ["", "the", "the the", "the", "", "\ufffd", "\ufffd\ufffd", " ", ""]
+    assert pieces.Decoder(vocabulary)(np.array([0, 0]), ids[:0]).to_pylist() == [""]
+    for wrong in (-1, vocabulary.size):
+        with pytest.raises(ValueError):
+            pieces.Decoder(vocabulary)(np.array([0, 1]), np.array([wrong], np.int32))
+
+
+def test_words_are_matched_by_units(vocabulary, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    met = []
+    paths = pieces.Encoder._paths
+    monkeypatch.setattr(pieces.Encoder, "_paths", lambda self, units: met.extend(units) or paths(self, units))
+    monkeypatch.setattr(pieces, "REMEMBERED", 60)
+    monkeypatch.setattr(pieces, "AT_ONCE", 40)
+    encoder, rng = pieces.Encoder(vocabulary), random.Random(9)
+    assert encoder(["thing.\nThing thing,\nThing"]) and sum("hing" in x for x in met) == 2  # each unit once
+    units = ["word", "Straße", "日本語", "𐍈", "é", "don't", "x,", "y.", "end.\n", "\n", " ", "  ", "\t", "1234", "<s>", "..", "　", "\x00", "▁", "a" * 40]
+    for _ in range(8):
+        texts = [rng.choice(["", " "]).join(rng.choice([" ", ""]) + rng.choice(units) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+        for t, raw in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(raw, "<i4").tolist() == sp.encode(t), repr(t)
+        assert len(encoder.known) < 1000 and len(encoder.units) < 1000
+
+
 def test_pieces_side_by_side_are_those_of_merging(vocabulary):
     import sentencepiece
 
