@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from silverloop.llm.common import chunks, texts_of
 
 # Parts a worker process remembers from task to task, and new ones it encodes at once.
-REMEMBERED = 600_000
-AT_ONCE = 20_000
+# What a part takes, some 300 bytes, counts for both workers of an executor of two cores.
+REMEMBERED = 250_000
+AT_ONCE = 5_000
 # Bytes of text a task works on at a time.
 STEP_CHARS = 1_000_000
 STOPS = ",."
@@ -229,9 +230,6 @@ class _Aligner:
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, bytes] | None]:
         """Tokens, groups and links of every text; None without tokens."""
-        if len(self.known) + len(self.inner) > REMEMBERED:  # the first ones met are the most frequent ones
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-            self.inner = dict(islice(self.inner.items(), max(self.always, REMEMBERED // 8)))
         split = [self.parts(t) if t else [] for t in texts]
         absent = set(chain.from_iterable(split)).difference(self.known)
         composed = self._learn(absent) if absent else {}
@@ -246,6 +244,9 @@ class _Aligner:
             out.append((sum(counts), ";".join(groups), b"".join(links)))
         for p in composed:
             del self.known[p]
+        if len(self.known) + len(self.inner) > REMEMBERED:  # the first ones met are the most frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            self.inner = dict(islice(self.inner.items(), max(self.always, REMEMBERED // 8)))
         return out
 
 

@@ -80,6 +80,14 @@ def test_memory_of_parts_is_bounded(monkeypatch):
     assert aligner(texts[:200]) + aligner(texts[200:]) == alignment._Aligner(*PATHS)(texts)
 
 
+def test_no_more_parts_are_held_between_steps_than_remembered(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    aligner, texts = alignment._Aligner(*PATHS), odd_texts(random.Random(3), 400)
+    for a in range(0, 400, 100):
+        aligner(texts[a : a + 100])
+        assert len(aligner.known) + len(aligner.inner) <= 50
+
+
 def test_alignment_query_against_whole_texts(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     want = whole_alignment([t for _, t in docs])
