@@ -44,7 +44,7 @@ def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     vocabulary = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    found = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    found = pieces.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary)
     ids_sha256 = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
     decoded = F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256")
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256, *decoded)

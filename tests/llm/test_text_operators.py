@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import zipfile
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from silverloop.llm import htmltext, langid, pieces, tokenfiles, warczip
+from silverloop.llm import htmltext, langid, pieces, queries, tokenfiles, warczip
 from silverloop.llm.common import shared_path
 
 # Names that operators use inside, as columns of their own.
@@ -151,6 +152,20 @@ def test_one_python_pass_encodes_and_decodes(spark, vocabulary, docs, none):
     assert corpus_pipeline.encoded(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_sentencepiece_query_is_one_python_pass(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    folder = "/root/testdata/sf0.001"
+    made = queries.QUERIES["op1_sentencepiece"](spark, folder)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        ids = sp.encode(r.text or "")
+        want[r.doc_id] = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in made.collect()} == want
+
+
 def test_decoding_of_odd_lists(vocabulary):
     the, byte = vocabulary.spelled.index(b" the"), vocabulary.byte_ids
     lists = [[], [the], [the, the], [1, the], [], [byte[0xE6]], [byte[0x97], byte[0xA5]], [byte[0x20], byte[0x20]], []]
