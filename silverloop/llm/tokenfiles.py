@@ -21,9 +21,9 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,13 @@ END = 0
 HEAD = "<5I"
 BLOCK_CHARS = 2_000_000
 BLOCK_IDS = 1_000_000
-# Words a worker process remembers from task to task, and new ones it encodes at once.
+# Words a worker process remembers from task to task, new ones that are one text to the model, and texts it encodes at once.
 REMEMBERED = 1_500_000
-AT_ONCE = 20_000
+JOINED = 200
+AT_ONCE = 100
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 STOPS = ",."
-SPACE = "Ġ"  # fixed value: how the model's file writes a space
+LEADS = {" ": "Ġ", "\n": "Ċ"}  # fixed values: how the model's file writes these
 _LOOSE = re.compile(r" (?=\s|$)")
 # The same for arrays, whose patterns know fewer spaces by name.
 _LOOSE_RE2 = " ([" + "".join(f"\\x{{{c:X}}}" for c in range(0x3001) if chr(c).isspace()) + "]|$)"
@@ -95,16 +96,34 @@ class _Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = None
-        self.known: dict[str, bytes] = {}
-        self.stops = {"": b""} | dict(zip(STOPS, self._encode(list(STOPS)), strict=True))
-
-    def _encode(self, texts: list[str], model=None) -> list[bytes]:
-        out: list[bytes] = []
+        vocabulary, special = self.model.get_vocab(), self.model.get_added_tokens_decoder()
+        self.leads = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in LEADS}
+        for lead, letter in LEADS.items():
+            self.leads[lead][[i for x, i in vocabulary.items() if x.startswith(letter) and i not in special]] = True
+        # Word k has ids[ends[k] : ends[k + 1]]. Words stand for themselves with a space before them, but those
+        # that start with a line break; a stop alone is written with a space, which no word starts with.
+        self.known: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self._keep([f" {x}" for x in STOPS], *self._encode(list(STOPS)))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has."""
+        out: list[array] = []
         for a in range(0, len(texts), AT_ONCE):
-            out += [array("I", e.ids).tobytes() for e in (model or self.model).encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
-        return out
+            out += [array("I", e.ids) for e in self.model.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _encode_joined(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with ``lead`` before each of them, which none has within.
+
+        A token ends before every lead, so many words are one text to the model; they are
+        told apart by the tokens that start with the lead.
+        """
+        ids, _ = self._encode([lead + lead.join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)])
+        starts = np.flatnonzero(self.leads[lead][ids])
+        if len(starts) != len(words):  # a special token took a lead with it
+            return self._encode([lead + w for w in words])
+        return ids, np.diff(starts, append=len(ids))
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -121,8 +140,8 @@ class _Tokens:
         return out
 
     @staticmethod
-    def _atoms(part: str) -> list[tuple[str, str]]:
-        """What a part is made of: words, with the line break before them if there is one, and the stop after them.
+    def _atoms(part: str) -> list[str]:
+        """What a part is made of: words, with the line break before them if there is one, and stops after them.
 
         A token also ends before and after a lone line break, and between a letter and
         a stop that a space or line break follows.
@@ -133,26 +152,43 @@ class _Tokens:
         out = []
         for k, x in enumerate(lines):
             word = f"\n{x}" if k else x
-            ends = len(x) > 1 and x[-1] in STOPS and x[-2].isalpha()
-            out.append((word[:-1], x[-1]) if ends else (word, ""))
+            out += [word[:-1], f" {x[-1]}"] if x[-1] in STOPS and x[-2:-1].isalpha() else [word]
         return out
 
-    def _learn(self, parts: Iterable[str]) -> None:
-        known, plain, other, made = self.known, [], [], {}
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember new words."""
+        n, used = len(self.known), self.ends[len(self.known)]
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ends, self.ids = _room(self.ends, n + len(words) + 1), _room(self.ids, used + len(ids))
+        self.ends[n + 1 : n + len(words) + 1] = used + np.cumsum(lengths)
+        self.ids[used : used + len(ids)] = ids
+
+    def _remembered(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words one after another, and how many each has."""
+        starts = self.ends[which]
+        lengths = self.ends[which + 1] - starts
+        return self.ids[ragged(starts, lengths)], lengths
+
+    def _learn(self, parts: list[str]) -> None:
+        known, plain, made, atoms, counts = self.known, [], [], [], []
         for p in parts:
-            if "\n" in p or (p[-1] in STOPS and len(p) > 1):
-                made[p] = self._atoms(p)
-            elif p.isascii() and p.isalpha():  # one word to the model's pattern, which need not look at it
+            found = self._atoms(p) if "\n" in p or p[-1] in STOPS else [p]
+            if len(found) == 1:
                 plain.append(p)
             else:
-                other.append(p)
-        within = {w for atoms in made.values() for w, _ in atoms if w not in known}
-        for w in within.difference(plain, other):
-            (plain if w.isascii() and w.isalpha() else other).append(w)
-        known.update(zip(plain, self._encode([SPACE + w for w in plain], self.words), strict=True))
-        known.update(zip(other, self._encode([w if w[0] == "\n" else f" {w}" for w in other]), strict=True))
-        stops = self.stops
-        known.update({p: b"".join([known[w] + stops[e] for w, e in atoms]) for p, atoms in made.items()})
+                made.append(p)
+                atoms += found
+                counts.append(len(found))
+        spaced, broken, apart = [], [], []
+        for w in dict.fromkeys(chain(plain, atoms)):
+            if w not in known:
+                (broken if w[0] == "\n" else apart if " " in w else spaced).append(w)
+        self._keep(spaced, *self._encode_joined(spaced, " "))
+        self._keep(broken, *self._encode_joined([w[1:] for w in broken], "\n"))
+        self._keep(apart, *self._encode([f" {w}" for w in apart]))
+        if made:
+            ids, lengths = self._remembered(np.fromiter(map(known.__getitem__, atoms), np.int64, len(atoms)))
+            self._keep(made, ids, np.add.reduceat(lengths, np.cumsum(counts) - counts))
 
     def flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, ``end`` after each, and how many each text has.
@@ -180,20 +216,22 @@ class _Tokens:
         first = np.zeros(len(parts), bool)
         first[offsets[:-1]] = True
         coded = parts.filter(pa.array(~first)).dictionary_encode()
-        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        self._learn([x for x in names if x not in known])
-        spelled = list(map(known.__getitem__, names))
-        spelled += self._encode(parts.filter(pa.array(first)).to_pylist())
-        spelled.append(end)
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+        names, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        entries = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(entries < 0)
+        unknown = [names[i] for i in new.tolist()]
+        self._learn(unknown)
+        entries[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        last = np.frombuffer(end, "<u4")
+        spelled, lengths = zip(self._remembered(entries), self._encode(parts.filter(pa.array(first)).to_pylist()), (last, [len(last)]), strict=True)
+        spelled, lengths = np.concatenate(spelled), np.concatenate(lengths)
         # per text: its first part, the others, the end
-        every = np.full(len(parts) + len(texts), len(spelled) - 1)
+        every = np.full(len(parts) + len(texts), len(lengths) - 1)
         place = np.arange(len(parts)) + np.repeat(np.arange(len(texts)), np.diff(offsets))
         every[place[first]] = len(names) + np.arange(len(texts))
         every[place[~first]] = which
         starts = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(spelled), "<u4")[ragged(starts[every], lengths[every])]
+        ids = spelled[ragged(starts[every], lengths[every])]
         return ids, np.add.reduceat(lengths[every], offsets[:-1] + np.arange(len(texts)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -203,6 +241,11 @@ class _Tokens:
         return [raw[b - 4 * n : b] for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` values; it grows by doubling."""
+    return values if n <= len(values) else np.append(values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype))
+
+
 @cache
 def _tokens(path: str, special_as_text: bool) -> _Tokens:
     """One per worker process, as tasks follow each other in it."""

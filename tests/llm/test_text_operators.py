@@ -241,6 +241,51 @@ def test_token_files(spark, docs, none):
     assert tokenfiles.read(spark, tokenfiles.write(none, shared_path(spark, "t"), path)).count() == 0
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, model):
+        self.model, self.n = model, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.n += len(texts)
+        return self.model.encode_batch_fast(texts, **kw)
+
+
+def test_new_words_are_encoded_together():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, tokens, rng = Tokenizer.from_file(path), tokenfiles._Tokens(path, False), random.Random(7)
+    words = ["".join(rng.choices("abcdefé9", k=8)) for _ in range(9000)]
+    text = "".join(w + rng.choice([" ", ", ", ".\n", "\n", "\n- "]) for w in words)
+    tokens.model = counted = _Counted(tokens.model)
+    for t in (text, text[::-1]):
+        ids, n = tokens.flat([t])
+        assert ids.tolist() == model.encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    assert counted.n < 400
+
+
+def test_words_are_told_apart(tmp_path, monkeypatch):
+    from tokenizers import AddedToken, Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model.add_special_tokens([AddedToken("<m>", lstrip=True)])  # takes the space before it
+    model.save(path := str(tmp_path / "t.json"))
+    rng = random.Random(3)
+    units = ["a", "b.", "<|endoftext|>", "Ġ", "Ċ", "é", "\n", "\nc", " ", "  ", "\t", "x,\ny.", ",", "\u00a0", "\u0085", "\x1c", "\r\n", "9", "日本"]
+    texts = ["".join(rng.choice(units) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["a <m> b c", "d <m> e, <m> f\ng <m>"]
+    expected = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 300)
+    monkeypatch.setattr(tokenfiles, "JOINED", 3)
+    tokens = tokenfiles._Tokens(path, False)
+    for a in range(0, len(texts), 40):
+        got = [np.frombuffer(x, "<u4").tolist() for x in tokens(texts[a : a + 40])]
+        assert got == expected[a : a + 40]
+        assert tokens.ends[len(tokens.known)] <= len(tokens.ids)
+
+
 class _Bytes:
     def __init__(self, data):
         self.data, self.size = data, len(data)
