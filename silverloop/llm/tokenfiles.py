@@ -57,7 +57,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit integers."""
     v = values.astype("<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    starts = np.cumsum(code, dtype=np.int64) - code + np.arange(len(v))
+    data = np.empty(len(v) + int(code.sum()), np.uint8)
+    data[starts] = v.astype(np.uint8)
+    for i in range(1, int(code.max(initial=0)) + 1):
+        more = np.flatnonzero(code >= i)
+        data[starts[more] + i] = (v[more] >> np.uint32(8 * i)).astype(np.uint8)
     four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     four[: len(v)] = code
     four = four.reshape(-1, 4)
@@ -66,19 +71,14 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` integers packed."""
-    return _spread(_LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64), data)
-
-
-def _spread(lengths: np.ndarray, data: bytes) -> np.ndarray:
-    """Integers of so many bytes each."""
-    ends = np.cumsum(lengths)
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    ends = np.cumsum(lengths, dtype=np.int64)
     if len(ends) and ends[-1] != len(data):
         raise ValueError("control bytes and data don't fit together")
-    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))
-    starts = ends - lengths
+    raw, starts = np.frombuffer(data, np.uint8), ends - lengths
     out = raw[starts].astype(np.uint32)
-    for i in (1, 2, 3):
-        more = lengths > i
+    for i in range(1, int(lengths.max(initial=1))):
+        more = np.flatnonzero(lengths > i)
         out[more] |= raw[starts[more] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
@@ -100,6 +100,7 @@ class _Tokens:
         self.leads = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in LEADS}
         for lead, letter in LEADS.items():
             self.leads[lead][[i for x, i in vocabulary.items() if x.startswith(letter) and i not in special]] = True
+        self.kind = "<u2" if max(vocabulary.values()) <= 0xFFFF else "<u4"  # holds any id
         # Word k has ids[ends[k] : ends[k + 1]]. Words stand for themselves with a space before them, but those
         # that start with a line break; a stop alone is written with a space, which no word starts with.
         self.known: dict[str, int] = {}
@@ -258,18 +259,11 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=1)
 
 
-def _zip(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """Each text's ids as ``pack`` has them, compressed; all texts are packed at once."""
-    code = (ids > 0xFF).astype(np.uint8) + (ids > 0xFFFF) + (ids > 0xFFFFFF)
-    data = ids.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
-    cells = -(-counts // 4)
-    four = np.zeros(int(cells.sum()) * 4, np.uint8)
-    four[ragged(4 * (np.cumsum(cells) - cells), counts)] = code
-    four = four.reshape(-1, 4)
-    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
-    ends, cuts = np.append(0, np.cumsum(code + 1, dtype=np.int64))[np.cumsum(counts)].tolist(), np.cumsum(cells).tolist()
+def _zip(ids: np.ndarray, counts: np.ndarray, kind: str) -> list[bytes]:
+    """Each text's ids as integers of one kind, compressed."""
+    raw, cuts = ids.astype(kind).tobytes(), (np.cumsum(counts) * np.dtype(kind).itemsize).tolist()
     compress = _compressor().compress
-    return [compress(control[a:b] + data[c:d]) for a, b, c, d in zip([0, *cuts], cuts, [0, *ends], ends, strict=False)]
+    return [compress(raw[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @cache
@@ -278,16 +272,13 @@ def _decompressor() -> zstandard.ZstdDecompressor:
 
 
 def _unzip(packed: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """All ids of texts that ``_zip`` packed, one text after another."""
-    raw, cells = list(map(_decompressor().decompress, packed)), -(-counts // 4)
-    cut = list(zip(raw, cells.tolist(), strict=True))
-    control = np.frombuffer(b"".join([x[:n] for x, n in cut]), np.uint8)
-    lengths = _LENGTHS[control].ravel()[ragged(4 * (np.cumsum(cells) - cells), counts)]
-    return _spread(lengths.astype(np.int64), b"".join([x[n:] for x, n in cut]))
+    """All ids of texts that ``_zip`` made one kind of, one text after another; there is one at least."""
+    raw = b"".join(map(_decompressor().decompress, packed))
+    return np.frombuffer(raw, f"<u{len(raw) // int(counts.sum())}")
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
-    """A stored table: per document ``_id``, ``n`` and ``ids`` (packed and compressed, the end id included), and
+    """A stored table: per document ``_id``, ``n`` and ``ids`` (compressed, the end id included), and
     per task a row of how often it met which ids (``met``)."""
     rows = texts_of(docs, id_col, text_col)
 
@@ -300,7 +291,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 count = np.bincount(ids, minlength=len(total))
                 count[: len(total)] += total
                 total = count
-                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(n, pa.int64()), pa.array(_zip(ids, n), pa.binary()), pa.nulls(last - first, _MET)], schema=out)
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(n, pa.int64()), pa.array(_zip(ids, n, encode.kind), pa.binary()), pa.nulls(last - first, _MET)], schema=out)
         met = np.flatnonzero(total)
         listed = pa.array([[{"id": int(a), "n": int(b)} for a, b in zip(met, total[met], strict=True)]], _MET)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), listed], schema=out)
@@ -327,7 +318,7 @@ def write(
 
     A null id comes first; rows of equal id are in an order of their ids. Null texts
     are empty, and an empty text has its end id only. An empty table makes no shard.
-    Texts are encoded where they lie; their ids, packed, travel once by range of
+    Texts are encoded where they lie; their ids, compressed, travel once by range of
     document. Shards are as many as shuffle partitions unless ``shards`` says otherwise.
     """
     spark = docs.sparkSession

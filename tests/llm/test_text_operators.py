@@ -220,6 +220,16 @@ def test_packed_integers():
         tokenfiles.unpack(control, data[:-1], len(edge))
 
 
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_compressed_ids(kind):
+    ids, counts = np.array([0, 1, 255, 256, 50256, 65535, 0, 0], "<u4"), np.array([1, 6, 1])
+    if kind == "<u4":
+        ids[3] = 2**24
+    made = tokenfiles._zip(ids, counts, kind)
+    assert len(made) == 3 and tokenfiles._unzip(made, counts).tolist() == ids.tolist()
+    assert tokenfiles._unzip(made[1:2], counts[1:2]).tolist() == ids[1:7].tolist()
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
